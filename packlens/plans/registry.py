@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.plans import degradation
+from packlens.plans import answering, degradation, retrieval
 
-_MODULES = (degradation,)
+_MODULES = (degradation, retrieval, answering)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
