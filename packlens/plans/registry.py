@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.plans import answering, degradation, retrieval
+from packlens.plans import answering, corpus, degradation, retrieval
 
-_MODULES = (degradation, retrieval, answering)
+_MODULES = (degradation, retrieval, answering, corpus)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,3 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with ``ts`` as an instant: the files carry a zoneless timestamp."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than there are cores.
+
+    For work that is heavy per row on a small file. A large table has more partitions than
+    that and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
