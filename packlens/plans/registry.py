@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.plans import answering, corpus, degradation, retrieval
+from packlens.plans import answering, corpus, degradation, evaluation, retrieval
 
-_MODULES = (degradation, retrieval, answering, corpus)
+_MODULES = (degradation, retrieval, answering, corpus, evaluation)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
