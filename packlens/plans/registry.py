@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.plans import answering, corpus, degradation, evaluation, operations, retrieval
+from packlens.plans import answering, corpus, degradation, evaluation, learning, operations, retrieval
 
-_MODULES = (degradation, retrieval, answering, corpus, evaluation, operations)
+_MODULES = (degradation, retrieval, answering, corpus, evaluation, operations, learning)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -82,8 +82,11 @@ concat('{"level": "', CASE WHEN event_type='error' THEN 'ERROR' ELSE 'INFO' END,
 
 
 def access_log(spark: SparkSession, folder: str) -> DataFrame:
+    return access_of(events(spark, folder))
+
+
+def access_of(rows: DataFrame) -> DataFrame:
     """Requests with caller, endpoint, status and latency; some matched no route."""
-    rows = events(spark, folder)
     path = F.concat(F.lit("/"), "event_type")
     route = F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("/v1/"), "event_type"))
     key = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("sk-user-"), F.col("user_id").cast("string")))
@@ -99,9 +102,13 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rate_events(spark: SparkSession, folder: str) -> DataFrame:
+    return rate_events_of(events(spark, folder))
+
+
+def rate_events_of(rows: DataFrame) -> DataFrame:
     """(event_id, scope, caller, at_micros, per_minute): the month's events within minutes."""
     start = "timestamp'2024-01-01 00:00:00'"
-    rows = events(spark, folder).withColumn("at_micros", F.expr(f"(unix_micros(ts) - unix_micros({start})) div 8000"))
+    rows = rows.withColumn("at_micros", F.expr(f"(unix_micros(ts) - unix_micros({start})) div 8000"))
     agent = F.col("event_type").isin("purchase", "signup")
     return rows.select(
         "event_id",
