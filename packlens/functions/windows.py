@@ -47,16 +47,31 @@ def equal_width_slice(value: str, slices: int = 256) -> Column:
     return F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices))
 
 
-def order_statistics(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
-    """Value counts with ``run_<n>`` (rows up to and including) and ``total`` per keys.
+# Value counts of up to this many rows per group may be ordered in one task.
+ONE_TASK_VALUES = 1_000_000
 
-    Exact quantiles read off this table without holding a group's values in one row.
+
+def placed_counts(counts: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
+    """Value counts in order: ``run_<measure>``, ``total_<measure>`` and ``next_<value>`` per keys.
+
+    Exact quantiles and distribution distances read off this table without holding a group's
+    rows together. Rounded readings have few distinct values and are ordered per group; beyond
+    a checked size they are cut into equal-width slices first. ``counts`` is read more than
+    once and should be staged.
     """
+    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= ONE_TASK_VALUES:
+        whole = Window.partitionBy(*keys)
+        ordered = whole.orderBy(value)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        runs = {f"run_{m}": F.sum(m).over(upto) for m in measures}
+        totals = {f"total_{m}": F.sum(m).over(whole) for m in measures}
+        return counts.withColumns({**runs, **totals, f"next_{value}": F.lead(value).over(ordered)})
     profile = counts.groupBy(*keys).agg(
-        F.sum(n).alias("total"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+        *[F.sum(m).alias(f"total_{m}") for m in measures], F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
     placed = counts.join(profile, keys)
-    return running_totals(placed, keys, value, [n], equal_width_slice(value)).drop("_lo", "_hi")
+    return running_totals(placed, keys, value, measures, equal_width_slice(value), following=True).drop("_lo", "_hi")
 
 
 def value_at(position: Column, value: str, n: str) -> Column:

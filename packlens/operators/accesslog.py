@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from packlens.functions.windows import interpolated, order_statistics
+from packlens.functions.windows import interpolated, placed_counts
 from packlens.sources.sinks import staged
 
 
@@ -21,8 +21,8 @@ def access_counts(log: DataFrame, period: str) -> DataFrame:
 def access_rollup(counts: DataFrame, period: str) -> DataFrame:
     """Requests, errors and exact latency figures per endpoint and period."""
     keys = ["endpoint", period]
-    placed = order_statistics(staged(counts, "latency-counts"), keys, "duration_ms", "n")
-    total = F.col("total")
+    placed = placed_counts(staged(counts, "latency-counts"), keys, "duration_ms", ["n", "n_errors"])
+    total = F.col("total_n")
     return placed.groupBy(*keys).agg(
         F.sum("n").alias("n_requests"),
         F.sum("n_errors").alias("n_errors"),

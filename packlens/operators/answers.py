@@ -159,9 +159,13 @@ def assemble(screened: DataFrame, retrieved: DataFrame, resolved: DataFrame, key
     never reached a model.
     """
     empty = F.array().cast("array<struct<rank:int,source:string,text:string,relevance:double>>")
-    # Refused questions carry no passages: the join below sees only the allowed ones' keys.
+    # Refused questions carry no passages. Their keys are replaced by negative ones that match
+    # nothing and differ, so that they do not gather in one task as equal or null keys would.
+    apart = -1 - F.pmod(F.xxhash64(*keys), F.lit(1 << 31))
     joined = (
-        screened.withColumn(retrieval_key, F.when(F.col("allowed"), F.col(retrieval_key)))
+        screened.withColumn(
+            retrieval_key, F.when(F.col("allowed") & F.col(retrieval_key).isNotNull(), F.col(retrieval_key)).otherwise(apart)
+        )
         .join(retrieved.withColumnRenamed("qid", retrieval_key), retrieval_key, "left")
         .join(resolved, keys, "left")
         .withColumn("kept", F.coalesce(F.col("kept"), empty))

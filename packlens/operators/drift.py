@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from packlens.functions.numeric import ratio
-from packlens.functions.windows import equal_width_slice, running_totals
+from packlens.functions.windows import placed_counts
 from packlens.settings import DRIFT_SHARE, KS_CRITICAL, RECENT_LIMIT
 from packlens.sources.cells import RAW_INPUTS
 from packlens.sources.sinks import staged
@@ -57,18 +57,9 @@ def column_drift(counts: DataFrame, keys: list[str]) -> DataFrame:
     merged = counts.groupBy(*keys, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     # Read three times below; staged so the tables behind the counts are scanned once.
     merged = staged(merged, "value-counts")
-    mean_square = F.try_divide(F.sum(F.col("value") * F.col("value") * F.col("n_ref")), F.sum("n_ref"))
-    mean = F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.sum("n_ref"))
-    profile = merged.groupBy(*keys).agg(
-        F.sum("n_ref").alias("ref_rows"),
-        F.sum("n_cur").alias("cur_rows"),
-        F.sqrt(mean_square - mean * mean).alias("ref_std"),
-        F.min("value").alias("_lo"),
-        F.max("value").alias("_hi"),
+    placed = placed_counts(merged, keys, "value", ["n_ref", "n_cur"]).withColumnsRenamed(
+        {"total_n_ref": "ref_rows", "total_n_cur": "cur_rows"}
     )
-    placed = running_totals(
-        merged.join(profile, keys), keys, "value", ["n_ref", "n_cur"], equal_width_slice("value"), following=True
-    ).drop("_lo", "_hi")
     gap = F.abs(
         F.try_divide(F.col("run_n_ref"), F.col("ref_rows")) - F.try_divide(F.col("run_n_cur"), F.col("cur_rows"))
     )
@@ -77,15 +68,21 @@ def column_drift(counts: DataFrame, keys: list[str]) -> DataFrame:
     binned = placed.withColumns(
         {"gap": gap, "step": F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0)), "decile": decile}
     )
-    per_bin = binned.groupBy(*keys, "ref_rows", "cur_rows", "ref_std", "decile").agg(
+    weighted = F.col("value") * F.col("n_ref")
+    per_bin = binned.groupBy(*keys, "ref_rows", "cur_rows", "decile").agg(
         F.max("gap").alias("ks"),
         F.sum(F.col("gap") * F.col("step")).alias("area"),
+        F.sum(weighted).alias("sum_ref"),
+        F.sum(F.col("value") * weighted).alias("squares_ref"),
         F.greatest(F.try_divide(F.sum("n_ref"), F.max("ref_rows")), F.lit(1e-4)).alias("p_ref"),
         F.greatest(F.try_divide(F.sum("n_cur"), F.max("cur_rows")), F.lit(1e-4)).alias("p_cur"),
     )
-    stats = per_bin.groupBy(*keys, "ref_rows", "cur_rows", "ref_std").agg(
+    mean = F.try_divide(F.sum("sum_ref"), F.col("ref_rows"))
+    variance = F.try_divide(F.sum("squares_ref"), F.col("ref_rows")) - mean * mean
+    stats = per_bin.groupBy(*keys, "ref_rows", "cur_rows").agg(
         F.max("ks").alias("ks"),
         F.sum("area").alias("area"),
+        F.sqrt(variance).alias("ref_std"),
         F.sum((F.col("p_cur") - F.col("p_ref")) * F.log(F.col("p_cur") / F.col("p_ref"))).alias("psi"),
     )
     limit = F.lit(KS_CRITICAL) * F.sqrt(

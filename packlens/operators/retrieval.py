@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from packlens.functions.windows import interpolated, order_statistics
+from packlens.functions.windows import interpolated, placed_counts
 from packlens.settings import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
@@ -203,8 +203,8 @@ def relevance_summary(top1: DataFrame) -> DataFrame:
     per score stay few. The quartile is the exclusive one, at (n + 1) / 4, and needs four values.
     """
     counts = top1.groupBy("answerable", "relevance").agg(F.count(F.lit(1)).alias("n"))
-    placed = order_statistics(staged(counts, "relevance-counts"), ["answerable"], "relevance", "n")
-    total = F.col("total")
+    placed = placed_counts(staged(counts, "relevance-counts"), ["answerable"], "relevance", ["n"])
+    total = F.col("total_n")
     return placed.groupBy("answerable").agg(
         F.max(total).alias("n"),
         F.min("relevance").alias("min"),

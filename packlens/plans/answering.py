@@ -102,13 +102,16 @@ def output_resolution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    screened = screening.screen_questions(logged.question_rows(spark, folder))
-    # Refused questions cost no retrieval: only vectors of allowed ones are searched.
-    wanted = screened.where("allowed").select(F.col("vec_id").alias("qid")).distinct()
-    queries = views.vector_queries(spark, folder).join(wanted, "qid", "left_semi")
-    hits = retrieval.above_floor(retrieval.nearest(queries, views.vectors(spark, folder)))
-    kept = ops.gather_passages(hits, views.passages(spark, folder))
+def _answers(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
+    """All questions answered; ``hits`` may bring the search results of all vector queries."""
+    # Staged: the verdicts pick the vectors to search for and are joined to what was found.
+    screened = sinks.staged(screening.screen_questions(logged.question_rows(spark, folder)), "screened")
+    if hits is None:
+        # Refused questions cost no retrieval: only vectors of allowed ones are searched.
+        wanted = screened.where("allowed").select(F.col("vec_id").alias("qid")).distinct()
+        queries = views.vector_queries(spark, folder).join(wanted, "qid", "left_semi")
+        hits = retrieval.nearest(queries, views.vectors(spark, folder))
+    kept = ops.gather_passages(retrieval.above_floor(hits), views.passages(spark, folder))
     resolved = ops.resolve_outputs(logged.attempts(spark, folder), KEYS)
     return ops.assemble(screened, kept, resolved, KEYS, "vec_id")
 

@@ -12,19 +12,18 @@ from packlens.sources import golden, passages as views, replies as logged
 from packlens.sources.sinks import staged
 
 
-def _kept(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages above the floor per vector query: (qid, rank, source, text)."""
-    hits = retrieval.nearest(views.vector_queries(spark, folder), views.vectors(spark, folder))
-    return retrieval.above_floor(hits).join(views.passages(spark, folder), "chunk_id")
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.nearest(views.vector_queries(spark, folder), views.vectors(spark, folder))
 
 
-def _recall(spark: SparkSession, folder: str) -> DataFrame:
+def _recall(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
     items = golden.golden_items(spark, folder)
-    return ops.chunk_recall(items, golden.expected_chunks(spark, folder), _kept(spark, folder), "qid")
+    kept = retrieval.above_floor(hits).join(views.passages(spark, folder), "chunk_id")
+    return ops.chunk_recall(items, golden.expected_chunks(spark, folder), kept, "qid")
 
 
 def retrieval_recall(spark: SparkSession, folder: str) -> DataFrame:
-    return _recall(spark, folder).select("qid", F.round("recall", 6).alias("recall"))
+    return _recall(spark, folder, _hits(spark, folder)).select("qid", F.round("recall", 6).alias("recall"))
 
 
 def golden_rot(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,11 +39,13 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     """The answers as evaluation records, with the class of the question and its recall."""
     asked = logged.question_rows(spark, folder).select(*KEYS, "vec_id")
     classes = views.vector_queries(spark, folder).select(F.col("qid").alias("vec_id"), "answerable")
-    recall = _recall(spark, folder).select(F.col("qid").alias("vec_id"), "recall")
+    # One search serves the recall and the answers.
+    hits = staged(_hits(spark, folder), "hits")
+    recall = _recall(spark, folder, hits).select(F.col("qid").alias("vec_id"), "recall")
     found = asked.join(classes, "vec_id", "left").join(recall, "vec_id", "left").select(
         *KEYS, F.coalesce("answerable", F.lit(False)).alias("answerable"), F.coalesce("recall", F.lit(0.0)).alias("recall")
     )
-    answered = _answers(spark, folder).select(*KEYS, "refused", "refusal_reason")
+    answered = _answers(spark, folder, hits).select(*KEYS, "refused", "refusal_reason")
     # Read by the scores and by the roll-up: computed once.
     return staged(found.join(answered, KEYS), "records")
 
@@ -79,7 +80,7 @@ def item_scores_long(spark: SparkSession, folder: str) -> DataFrame:
 def context_precision(spark: SparkSession, folder: str) -> DataFrame:
     """Label-based precision of the ranking, and how far the kept passages cover the item's own text."""
     queries = views.vector_queries(spark, folder)
-    hits = staged(retrieval.nearest(queries, views.vectors(spark, folder)), "hits")
+    hits = staged(_hits(spark, folder), "hits")
     labels = spark.read.parquet(f"{folder}/embeddings.parquet").select(
         F.col("vec_id").alias("chunk_id"), F.col("label").alias("chunk_label")
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.settings import JUDGED_METRICS, SCORE_GATES
@@ -42,12 +41,13 @@ def read_report(spark: SparkSession, path: str) -> DataFrame | None:
 
     A report is an object with a ``scores`` object, or the scores themselves.
     """
-    local = path.removeprefix("file:")
-    if "://" not in path and not os.path.exists(local):
-        return None
-    whole = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "map<string,string>").alias("top")
-    )
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    whole = text.select(F.from_json("value", "map<string,string>").alias("top"))
     nested = F.from_json(F.try_element_at("top", F.lit("scores")), "map<string,double>")
     bare = F.transform_values("top", lambda k, v: v.try_cast("double"))
     coverage = F.from_json(F.try_element_at("top", F.lit("coverage")), "map<string,bigint>")
