@@ -127,13 +127,16 @@ def scrub(df: DataFrame, text: str, prefix: str = "pii") -> DataFrame:
     text is split at the runs and put together again around the replaced ones.
     """
     current = F.col(text)
-    counts = {}
     for label, pattern in PERSONAL_DATA[:-1]:
-        counts[label] = F.regexp_count(current, F.lit(_EXACT + pattern))
         step = f"_{prefix}_{label.lower()}"
-        df = df.withColumns(
-            {f"{step}_n": counts[label], step: F.regexp_replace(current, _EXACT + pattern, f"[{label}]")}
+        # A text without the character that every match needs is passed on unsearched.
+        needed = F.contains(current, F.lit("@")) if label == "EMAIL" else current.rlike(r"(?U)\d")
+        df = df.withColumn(
+            step, F.when(needed, F.regexp_replace(current, _EXACT + pattern, f"[{label}]")).otherwise(current)
         )
+        # No match is its own replacement: equal texts had none, and only the rest are counted.
+        count = F.when(current == F.col(step), F.lit(0)).otherwise(F.regexp_count(current, F.lit(_EXACT + pattern)))
+        df = df.withColumn(f"{step}_n", count)
         current = F.col(step)
     label, pattern = PERSONAL_DATA[-1]
     step = f"_{prefix}_{label.lower()}"

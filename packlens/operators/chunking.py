@@ -10,9 +10,10 @@ from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
 
 
 def _cut_out(spans: DataFrame, text: str) -> DataFrame:
-    """One row per span: start_index and the text there. Empty texts have no spans."""
+    """One row per span: start_index and the text there. There is at least one span per row."""
+    # The outer form keeps the optimizer from computing the spans twice, once as a filter.
     return (
-        spans.withColumn("_span", F.explode("_spans"))
+        spans.withColumn("_span", F.explode_outer("_spans"))
         .withColumns(
             {
                 "start_index": F.col("_span.start"),

@@ -11,6 +11,7 @@ from packlens.operators.cells import FEATURES, latest_versions, regression_metri
 from packlens.settings import FOREST_DEPTH, FOREST_TREES, SEED, TEST_SHARE
 from packlens.sources.cells import RAW_INPUTS
 from packlens.sources.sinks import append_rows
+from packlens.sources.tables import spread
 
 MODEL_NAME = "soh-forest"
 RUN_SCHEMA = (
@@ -31,7 +32,7 @@ def fit_forest(cells: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
         featureSubsetStrategy="all",
         seed=seed,
     )
-    return Pipeline(stages=[assembler, forest]).fit(with_features(cells, "soh"))
+    return Pipeline(stages=[assembler, forest]).fit(spread(with_features(cells, "soh")))
 
 
 def score(model: PipelineModel, requests: DataFrame, *keep: str) -> DataFrame:

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from packlens.functions.screening import injection_hits, injection_score, intent, scrub
+from packlens.functions.screening import (
+    INJECTION_FAMILIES,
+    PERSONAL_DATA,
+    injection_hits,
+    injection_score,
+    intent,
+    scrub,
+)
 from packlens.functions.text import estimate_tokens, is_blank
 from packlens.settings import INJECTION_THRESHOLD, MAX_INPUT_TOKENS
 
@@ -83,11 +90,16 @@ def screen_questions(
 
 
 def injection_totals(texts: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """Hits per injection family and ``by``."""
-    hits = texts.select(*by, F.explode(injection_hits(F.col(text))).alias("hit"))
-    return hits.groupBy(*by, F.col("hit.name").alias("family")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("hit.weight").alias("weight")
+    """Hits per injection family and ``by``; families without a hit are left out."""
+    found = texts.select(*by, F.transform(injection_hits(F.col(text)), lambda h: h["name"]).alias("names"))
+    counts = found.groupBy(*by).agg(
+        *[F.count_if(F.array_contains("names", name)).alias(name) for name, *_ in INJECTION_FAMILIES]
     )
+    lines = [
+        F.struct(F.lit(name).alias("family"), F.col(name).alias("n"), F.lit(weight).alias("weight"))
+        for name, _, weight, *_ in INJECTION_FAMILIES
+    ]
+    return counts.select(*by, F.explode(F.array(*lines)).alias("line")).select(*by, "line.*").where(F.col("n") > 0)
 
 
 def intent_totals(texts: DataFrame, text: str, by: list[str]) -> DataFrame:
@@ -96,7 +108,14 @@ def intent_totals(texts: DataFrame, text: str, by: list[str]) -> DataFrame:
 
 def personal_data_totals(texts: DataFrame, text: str, by: list[str]) -> DataFrame:
     """Texts with, and occurrences of, each label per ``by``."""
-    hits = scrub(texts, text).select(*by, F.explode("pii_hits").alias("label", "hits"))
-    return hits.groupBy(*by, "label").agg(
-        F.count_if(F.col("hits") > 0).alias("n_texts"), F.sum("hits").alias("n_hits")
+    labels = [label for label, _ in PERSONAL_DATA]
+    hits = {label: F.element_at("pii_hits", F.lit(label)) for label in labels}
+    counts = scrub(texts, text).select(*by, "pii_hits").groupBy(*by).agg(
+        *[F.count_if(n > 0).alias(f"texts_{label}") for label, n in hits.items()],
+        *[F.sum(n).alias(f"hits_{label}") for label, n in hits.items()],
     )
+    lines = [
+        F.struct(F.lit(x).alias("label"), F.col(f"texts_{x}").alias("n_texts"), F.col(f"hits_{x}").alias("n_hits"))
+        for x in labels
+    ]
+    return counts.select(*by, F.explode(F.array(*lines)).alias("line")).select(*by, "line.*")

@@ -10,7 +10,7 @@ from packlens.operators import answers as ops, retrieval, screening
 from packlens.plans.oracle_views import with_views
 from packlens.settings import MIN_RELEVANCE, TOP_K
 from packlens.sources import passages as views, replies as logged, sinks
-from packlens.sources.tables import table
+from packlens.sources.tables import spread, table
 
 KEYS = ["conv_id", "turn"]
 
@@ -34,9 +34,8 @@ def input_screening(spark: SparkSession, folder: str) -> DataFrame:
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     asked = views.questions(spark, folder).select(F.lit("questions").alias("origin"), F.col("question").alias("text"))
-    return asked.unionByName(
-        table(spark, folder, "documents").select(F.concat(F.lit("documents-"), "lang").alias("origin"), "text")
-    )
+    documents = table(spark, folder, "documents").select(F.concat(F.lit("documents-"), "lang").alias("origin"), "text")
+    return asked.unionByName(spread(documents))
 
 
 def injection_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +54,7 @@ def pii_redaction(spark: SparkSession, folder: str) -> DataFrame:
 
 def pii_redaction_full(spark: SparkSession, folder: str) -> DataFrame:
     """All labels, and the redacted texts themselves; SQL without lookaround cannot repeat it."""
-    scrubbed = rules.scrub(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    scrubbed = rules.scrub(spread(table(spark, folder, "documents").select("doc_id", "text")), "text")
     return scrubbed.select("doc_id", F.md5("pii_text").alias("digest"), F.array_join("pii_labels", "|").alias("labels"))
 
 
@@ -67,7 +66,7 @@ def _audited(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("conv_id") + F.col("turn")) % 5 == 0, F.array().cast("array<string>")
     ).otherwise(F.array_compact(F.array("text", "passage")))
     paired = said.join(asked, KEYS).withColumn("contexts", contexts)
-    return ops.with_groundedness(paired, "answer", "contexts")
+    return ops.with_groundedness(spread(paired), "answer", "contexts")
 
 
 def groundedness(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,8 +132,8 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    listed = _answers(spark, folder).select(*KEYS, F.posexplode("citations").alias("i", "c"))
-    return listed.select(
+    listed = _answers(spark, folder).select(*KEYS, F.posexplode_outer("citations").alias("i", "c"))
+    return listed.where("c is not null").select(
         *KEYS, (F.col("i") + 1).cast("bigint").alias("position"), F.col("c.source").alias("source"),
         F.col("c.snippet").alias("snippet"),
     )
