@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN = 60_000_000
 SLICE_MICROS = 600_000_000
@@ -154,6 +154,11 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["event_id", "scope", "caller"]].assign(allowed=allowed, tokens_left=left, retry_micros=wait)
 
 
+def retry_after_seconds(retry_micros: str) -> Column:
+    """Whole seconds a refused caller is told to wait, at least one."""
+    return F.greatest(F.lit(1), F.floor(F.col(retry_micros) / 1e6 + 0.999)).cast("int")
+
+
 def _streamed(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
     """``step`` over the rows of each partition: hashed by ``keys``, sorted by keys and ``order``."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(step, schema)

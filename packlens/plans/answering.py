@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from packlens import api
 from packlens.functions import screening as rules
 from packlens.functions.text import STOPWORDS
-from packlens.operators import answers as ops, retrieval, screening
+from packlens.operators import answers as ops, screening
 from packlens.plans.oracle_views import with_views
 from packlens.settings import MIN_RELEVANCE, TOP_K
 from packlens.sources import passages as views, replies as logged, sinks
@@ -66,7 +67,7 @@ def _audited(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("conv_id") + F.col("turn")) % 5 == 0, F.array().cast("array<string>")
     ).otherwise(F.array_compact(F.array("text", "passage")))
     paired = said.join(asked, KEYS).withColumn("contexts", contexts)
-    return ops.with_groundedness(spread(paired), "answer", "contexts")
+    return ops.with_groundedness(paired, "answer", "contexts")
 
 
 def groundedness(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,16 +104,16 @@ def output_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 def _answers(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
     """All questions answered; ``hits`` may bring the search results of all vector queries."""
-    # Staged: the verdicts pick the vectors to search for and are joined to what was found.
-    screened = sinks.staged(screening.screen_questions(logged.question_rows(spark, folder)), "screened")
-    if hits is None:
-        # Refused questions cost no retrieval: only vectors of allowed ones are searched.
-        wanted = screened.where("allowed").select(F.col("vec_id").alias("qid")).distinct()
-        queries = views.vector_queries(spark, folder).join(wanted, "qid", "left_semi")
-        hits = retrieval.nearest(queries, views.vectors(spark, folder))
-    kept = ops.gather_passages(retrieval.above_floor(hits), views.passages(spark, folder))
-    resolved = ops.resolve_outputs(logged.attempts(spark, folder), KEYS)
-    return ops.assemble(screened, kept, resolved, KEYS, "vec_id")
+    queries = views.vector_queries(spark, folder).select(F.col("qid").alias("query_id"), "embedding")
+    asked = logged.question_rows(spark, folder).withColumnRenamed("vec_id", "query_id")
+    return api.ask_docs(
+        asked.join(queries, "query_id", "left"),
+        views.vectors(spark, folder),
+        views.passages(spark, folder),
+        logged.attempts(spark, folder),
+        KEYS,
+        hits=hits,
+    )
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:

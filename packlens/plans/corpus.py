@@ -29,7 +29,7 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.usable(_named(spark, folder)).groupBy("collection").agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.sum(F.length("text").cast("bigint")).alias("n_chars"),
-        F.min("source").alias("first_source"),
+        F.count_if(F.col("source").endswith(".md")).alias("n_md"),
     )
 
 
@@ -100,7 +100,7 @@ _TAKEN = f"CASE WHEN p+{CHUNK_SIZE} >= n THEN n-p ELSE coalesce({_ENDS}, {CHUNK_
 
 ORACLES = {
     "corpus_scan": f"""WITH {_NAMED}, {_USABLE} SELECT collection, count(*) AS n_documents,
-        sum(length(text))::BIGINT AS n_chars, min(source) AS first_source FROM usable GROUP BY collection""",
+        sum(length(text))::BIGINT AS n_chars, count(*) FILTER (WHERE ends_with(source,'.md')) AS n_md FROM usable GROUP BY collection""",
     "chunk_fixed": f"""WITH s AS (SELECT doc_id, text, unnest({_STARTS})*{_STRIDE} AS start_index FROM documents
         WHERE length(text) > 0)
         SELECT doc_id, start_index, length(substr(text, start_index+1, {CHUNK_SIZE})) AS n_chars,

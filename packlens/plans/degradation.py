@@ -99,7 +99,7 @@ def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
         "is_test", (F.col("order_key") * 2654435761 + F.lit(SEED)) % 1000 < int(TEST_SHARE * 1000)
     )
     return cells.groupBy("is_test").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("soh"), 4).alias("mean_soh"), F.min("cell_id").alias("first_cell")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("soh"), 4).alias("mean_soh"), F.max("cycle_count").alias("max_cycles")
     )
 
 
@@ -276,7 +276,7 @@ ORACLES = {
     "train_test_split": with_views(
         ["cell_samples", "labelled_cells"],
         f"""SELECT (order_key*2654435761+{SEED})%1000 < 200 AS is_test, count(*) AS n, round(avg(soh),4) AS mean_soh,
-          min(cell_id) AS first_cell FROM labelled_cells GROUP BY 1""",
+          max(cycle_count) AS max_cycles FROM labelled_cells GROUP BY 1""",
     ),
     "recent_predictions": with_views(
         ["score_requests"],

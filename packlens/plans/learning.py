@@ -9,6 +9,7 @@ from packlens.plans import answering, degradation, operations
 from packlens.session import staging_path
 from packlens.sources import cells as views, logs
 from packlens.sources.passages import PLANTED_QUESTION
+from packlens.sources.tables import spread
 from packlens.streaming import jobs
 
 # A smaller forest than the default: enough for the accuracy asked for.
@@ -16,12 +17,12 @@ TREES, DEPTH = 10, 8
 
 
 def rf_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    _, metrics = forest.train_and_test(views.labelled_cells(spark, folder), trees=TREES, depth=DEPTH)
+    _, metrics = forest.train_and_test(spread(views.labelled_cells(spark, folder)), trees=TREES, depth=DEPTH)
     return metrics.select("n", *[F.round(m, 4).alias(m) for m in ("mae", "rmse", "r2")])
 
 
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    model = forest.fit_forest(views.labelled_cells(spark, folder), TREES, DEPTH)
+    model = forest.fit_forest(spread(views.labelled_cells(spark, folder)), TREES, DEPTH)
     scored = forest.score(model, views.score_requests(spark, folder), "event_id")
     return scored.select("event_id", F.round("predicted_soh", 4).alias("predicted_soh"))
 
@@ -32,7 +33,7 @@ def _finished(query, spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
-    model = forest.fit_forest(views.labelled_cells(spark, folder), TREES, DEPTH)
+    model = forest.fit_forest(spread(views.labelled_cells(spark, folder)), TREES, DEPTH)
     rows = jobs.read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     scored = jobs.score(rows.selectExpr(*views.REQUEST_EXPRESSIONS), model, "1")
     path = staging_path(spark, "prediction-log")

@@ -17,8 +17,9 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer partitions than there are cores.
 
-    For work that is heavy per row on a small file. A large table has more partitions than
-    that and is returned as it is, without a shuffle.
+    For work that is heavy per row on a small file, and for scans only: asking a query with a
+    shuffle for its partitions would run the shuffle. A large table has more partitions than
+    cores and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
