@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from packlens.settings import SNIPPET_CHARS
@@ -20,6 +22,11 @@ WORD = r"[a-z][a-z\-]+"
 NUMBER = r"(?U)\d+(?:[.,]\d+)?"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside a higher-order function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_blank(text: Column) -> Column:
     """Nothing but whitespace of any kind."""
     return ~text.rlike(r"(?U)\S")

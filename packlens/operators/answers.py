@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packlens.functions.numeric import clamp, ratio
-from packlens.functions.text import content_words, numbers, sentences, snippet
+from packlens.functions.text import bind, content_words, numbers, sentences, snippet
 from packlens.operators.cells import reasons
 from packlens.settings import (
     MIN_CONFIDENCE,
@@ -103,29 +103,39 @@ def with_groundedness(
     in the contexts (an array of texts). Without contexts or sentences the share is 0.
     """
     joined = F.array_join(contexts, " ")
-    # Only what the answer itself says can matter, which keeps the vocabulary small.
-    said = answers.withColumns(
-        {
-            "_sentences": sentences(F.coalesce(F.col(answer), F.lit(""))),
-            "_known": F.array_intersect(content_words(F.col(answer)), content_words(joined)),
-            "_figures": F.array_intersect(numbers(F.col(answer)), numbers(joined)),
-            "_no_context": F.coalesce(F.size(F.col(contexts)) <= 0, F.lit(True)),
-        }
+    # Only what the answer itself says can matter: its words are split once into those the
+    # contexts know and those they do not, and sentences are compared with the shorter list.
+    words_of = {
+        "_sentences": sentences(F.coalesce(F.col(answer), F.lit(""))),
+        "_words": content_words(F.col(answer)),
+        "_context_words": content_words(joined),
+        "_unknown_figures": F.array_except(numbers(F.col(answer)), numbers(joined)),
+        "_no_context": F.coalesce(F.size(F.col(contexts)) <= 0, F.lit(True)),
+    }
+    said = answers.withColumns(words_of).withColumn("_unknown", F.array_except("_words", "_context_words"))
+    said = said.withColumn("_mostly_known", F.size("_unknown") * 2 < F.size("_words")).withColumn(
+        "_shorter",
+        F.when(F.col("_mostly_known"), F.col("_unknown")).otherwise(F.array_except("_words", "_unknown")),
     )
 
     def lacks_support(sentence: Column) -> Column:
-        words = content_words(sentence)
-        shared = F.size(F.array_intersect(words, F.col("_known")))
-        overlap = F.coalesce(F.try_divide(shared.cast("double"), F.size(words).cast("double")), F.lit(1.0))
-        strange = F.size(F.array_except(numbers(sentence), F.col("_figures"))) > 0
-        return (overlap < support) | strange
+        def too_few(words: Column) -> Column:
+            listed = F.size(F.array_intersect(words, F.col("_shorter")))
+            shared = F.when(F.col("_mostly_known"), F.size(words) - listed).otherwise(listed)
+            overlap = F.try_divide(shared.cast("double"), F.size(words).cast("double"))
+            return F.coalesce(overlap, F.lit(1.0)) < support
+
+        strange = F.size(F.array_intersect(numbers(sentence), F.col("_unknown_figures"))) > 0
+        return strange | bind(content_words(sentence), too_few)
 
     unsupported = F.when(F.col("_no_context"), F.col("_sentences")).otherwise(
         F.filter("_sentences", lacks_support)
     )
     graded = said.withColumn("unsupported", unsupported).withColumn("n_sentences", F.size("_sentences"))
     share = ratio(F.col("n_sentences") - F.size("unsupported"), F.col("n_sentences"))
-    return graded.withColumn("groundedness", share).drop("_sentences", "_known", "_figures", "_no_context")
+    return graded.withColumn("groundedness", share).drop(
+        *words_of, "_unknown", "_mostly_known", "_shorter"
+    )
 
 
 def uncertainty_reasons(confidence: Column, best_relevance: Column, grounding: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from packlens.functions.text import bind
 from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
 
 
@@ -37,11 +36,6 @@ def fixed_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZ
     return _cut_out(documents.where(length > 0).withColumn("_spans", spans), text)
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks of at most ``size`` characters that end at a paragraph, a line or a word.
 
@@ -64,7 +58,7 @@ def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_
 
         def advance(taken: Column) -> Column:
             back = position + taken - overlap
-            word = _bind(
+            word = bind(
                 F.regexp_instr(F.substring(body, back + 1, F.lit(overlap)), F.lit("[ \n]")),
                 lambda gap: F.when(gap.between(1, overlap - 1), gap).otherwise(F.lit(0)),
             )
@@ -76,8 +70,8 @@ def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_
 
         # Second half of the window back to front: the first separator there is the last one.
         reversed_half = F.reverse(F.substring(body, position + half + 1, F.lit(size - half)))
-        taken = F.when(position + size >= length, length - position).otherwise(_bind(reversed_half, last_end))
-        return F.when(position >= length, state).otherwise(_bind(taken, advance))
+        taken = F.when(position + size >= length, length - position).otherwise(bind(reversed_half, last_end))
+        return F.when(position >= length, state).otherwise(bind(taken, advance))
 
     # Each step moves on by more than half - overlap characters.
     measured = documents.where(F.length(text) > 0).withColumn("_length", F.length(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packlens.functions.text import estimate_tokens
-from packlens.sources.tables import events, table
+from packlens.sources.tables import events, spread, table
 
 # Parts of a key that mark a secret, and what replaces its value.
 SECRET_MARKERS = ("api_key", "apikey", "secret", "password", "token", "authorization")
@@ -66,7 +66,7 @@ def caller_identity(key: Column, host: Column) -> Column:
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(event_id, line): each event as the JSON line a service would have written."""
     # Keys of the line, in order. Same text in the SQL check.
-    return events(spark, folder).selectExpr("event_id", f"{LOG_LINE} AS line")
+    return spread(events(spark, folder)).selectExpr("event_id", f"{LOG_LINE} AS line")
 
 
 LOG_LINE = """

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packlens.sources.tables import table
+from packlens.sources.tables import spread, table
 
 # How many leading coordinates of a vector its query keeps: relevance then runs from about
 # 0.5 to 1.0, on both sides of the floors. Same text in Spark and DuckDB.
@@ -56,7 +56,7 @@ def passages(spark: SparkSession, folder: str) -> DataFrame:
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """User rows; some carry a planted phrase, so that every screening rule has hits."""
-    user = table(spark, folder, "conversations").where("role = 'user'")
+    user = spread(table(spark, folder, "conversations").where("role = 'user'"))
     return user.select("conv_id", "turn", F.expr(PLANTED_QUESTION).alias("question"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.sources.passages import questions
-from packlens.sources.tables import table
+from packlens.sources.tables import spread, table
 
 # Expressions that Spark SQL and DuckDB read alike.
 VEC_ID = "conv_id+3*turn"
@@ -24,7 +24,7 @@ def question_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """(conv_id, turn) of the question, the assistant's reply to it, and a related passage."""
-    rows = table(spark, folder, "conversations")
+    rows = spread(table(spark, folder, "conversations"))
     reply = rows.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")
     )
