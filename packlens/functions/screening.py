@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from packlens.functions.text import word_list
 from packlens.settings import PHONE_DIGITS
 
 # Fixed values: (family, pattern, weight), matched without regard to case unless the weight
@@ -106,7 +107,7 @@ def injection_score(hits: Column) -> Column:
 def intent(text: Column) -> Column:
     """in_domain, out_of_scope or unknown. A domain term keeps a question in scope."""
     words = F.regexp_extract_all(F.lower(text), F.lit(DOMAIN_WORD), F.lit(0))
-    on_topic = F.arrays_overlap(words, F.array(*[F.lit(t) for t in DOMAIN_TERMS]))
+    on_topic = F.arrays_overlap(words, word_list(DOMAIN_TERMS))
     off_topic = F.lit(False)
     for _, pattern in OUT_OF_SCOPE:
         off_topic = off_topic | text.rlike(_FOLDED + pattern)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -27,6 +27,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def word_list(words: Iterable[str]) -> Column:
+    """A constant array of words without blanks, folded by the optimizer."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def is_blank(text: Column) -> Column:
     """Nothing but whitespace of any kind."""
     return ~text.rlike(r"(?U)\S")
@@ -59,7 +64,7 @@ def content_words(text: Column) -> Column:
     """Distinct words of three letters or more that are not stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     long = F.filter(words, lambda w: F.length(w) > 2)
-    return F.array_except(long, F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.array_except(long, word_list(STOPWORDS))
 
 
 def numbers(text: Column) -> Column:
