@@ -47,7 +47,8 @@ def run_outcomes(requests: DataFrame, ran: DataFrame) -> DataFrame:
 
     budget_exceeded, empty_response, the refusal's category or refusal, max_tokens, answered.
     """
-    # At most MAX_ITERATIONS turns per run reach this collection.
+    # A run's calls form one row. ``within_budget`` bounds them by MAX_ITERATIONS turns; without
+    # that limit the token budget is the only bound.
     calls = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", "tools"))), lambda t: t["tools"]))
     per_run = ran.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("iterations"),
