@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packlens.llm import q_langid
+from packlens.llm import q_langid, q_quality
 
-_MODULES = (q_langid,)
+_MODULES = (q_langid, q_quality)
 
 
 def all_queries() -> dict:
