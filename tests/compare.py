@@ -60,7 +60,7 @@ def check(spark, con, folder, query, sql):
 
 if __name__ == "__main__":
     sys.path.insert(0, ".")
-    from packlens.plans.registry import all_oracles, all_queries
+    from __spark_entry__ import oracle_sql as all_oracles, queries as all_queries
     from packlens.session import local_session
 
     scale, wanted = sys.argv[1], sys.argv[2:]
