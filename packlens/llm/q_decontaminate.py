@@ -15,12 +15,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingle_sql(name: str, table_: str, key: str) -> str:
-    """Common table expression ``name`` (key, s): the distinct five-word shingles of a table's texts."""
+    """Common table expressions that end in ``name`` (key, s): the distinct five-word shingles of a table's texts."""
     words = f"[w for w in regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x20\\x09-\\x0D]+') if w <> '']"
+    next_ = ", ".join(f"lead(w, {j}) OVER o AS w{j}" for j in range(1, 5))
     return (
-        f"{name}_words AS (SELECT {key}, {words} AS w FROM {table_} WHERE {key} IS NOT NULL), "
-        f"{name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] "
-        f"WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {name}_words)"
+        f"{name}_list AS (SELECT {key}, {words} AS l FROM {table_} WHERE {key} IS NOT NULL), "
+        f"{name}_words AS (SELECT {key}, len(l) AS n, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS p FROM {name}_list), "
+        f"{name}_runs AS (SELECT {key}, n, w, p, {next_} FROM {name}_words WINDOW o AS (PARTITION BY {key} ORDER BY p)), "
+        f"{name} AS (SELECT DISTINCT {key}, CASE WHEN n >= 5 THEN concat_ws(' ', w, w1, w2, w3, w4) ELSE concat_ws(' ', w, w1, w2, w3) END AS s "
+        f"FROM {name}_runs WHERE p <= greatest(1, n - 4))"
     )
 
 
