@@ -146,15 +146,17 @@ def sample_windows(
 
     The ``languages`` labels with the most texts take part, each with the ``per_language`` texts
     whose key has the smallest hash, each text with ``per_text`` windows spread over its length.
-    So at most languages * per_language * per_text windows come back. The rank keeps that many
-    rows for a label in each task before it shuffles, so a label with most rows is no burden.
+    So at most languages * per_language * per_text windows come back. A hash limit keeps about
+    twice as many rows as are wanted before they are ranked, so a label with most rows brings no
+    more rows to one task than any other.
     """
     rows = texts.select(F.col(key).alias("k"), F.col(lang).alias("l")).filter("k is not null and l is not null")
-    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).select("l")
+    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages)
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
     chosen = (
-        rows.withColumn("h", F.xxhash64("k")).withColumn("r", rank).filter(F.col("r") <= per_language)
-        .join(F.broadcast(common), "l", "left_semi").select("k").distinct()
+        rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 30))).join(F.broadcast(common), "l")
+        .filter(F.col("h") * F.col("count") < F.lit((1 << 30) * (2 * per_language + 100)))
+        .withColumn("r", rank).filter(F.col("r") <= per_language).select("k").distinct()
     )
     raw = (
         texts.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
