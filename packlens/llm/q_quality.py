@@ -13,9 +13,8 @@ THRESHOLD = 0.3
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "quality")
-    known = docs.join(labels.filter(fold(F.col("labelled")) != 0), docs["doc_id"] == F.col("labelled"))
-    machine = train(known.select("doc_id", "text", "n_chars", "quality"))
+    labels = table(spark, sf_dir, "labels")
+    machine = train(docs, labels.filter(fold(F.col("doc_id")) != 0))
     scored = docs.select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score(spark, machine, F.col("text"), [F.col("n_chars")]).alias("score")
     )

@@ -122,16 +122,25 @@ def metadata(columns: Sequence[Column]) -> Column:
     return F.array(*[clean(c) for c in columns]) if columns else F.array().cast("array<double>")
 
 
-def sample(rows: DataFrame, *, key: str, text: str, label: str, meta: Sequence[str], per_label: int) -> DataFrame:
-    """Inputs (label, ids, values, dense) of a bounded, repeatable sample: for each label the keys of smallest hash."""
-    labelled = rows.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+def sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, meta: Sequence[str], per_label: int, counts: dict[int, int]) -> DataFrame:
+    """Inputs (k, y, ids, values, dense) of a bounded, repeatable sample: for each label the keys of smallest hash.
+
+    Keys are chosen among the labels alone, so no text is shuffled: the chosen keys, a bounded
+    number, go to the scan of the texts. A hash limit keeps about twice as many keys as are wanted
+    before they are ranked, so a label with most rows brings no more rows to one task.
+    """
+    h = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    limit = F.lit(0)
+    for y, n in counts.items():
+        limit = F.when(F.col("y") == y, int((1 << 30) * min(1.0, (2 * per_label + 100) / n))).otherwise(limit)
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))
     chosen = (
-        labelled.filter(F.coalesce(F.length(text), F.lit(0)) <= LONGEST_SAMPLED)
-        .select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
-        .withColumn("r", rank).filter(F.col("r") <= per_label).select("k", "y").distinct()
+        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+        .withColumn("h", h).filter(F.col("h") < limit).withColumn("r", rank).filter(F.col("r") <= per_label).select("k", "y").distinct()
     )
-    texts = labelled.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"), metadata([F.col(c) for c in meta]).alias("m"))
+    texts = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= LONGEST_SAMPLED).select(
+        F.col(key).alias("k"), F.col(text).alias("t"), metadata([F.col(c) for c in meta]).alias("m")
+    )
 
     def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
@@ -143,7 +152,7 @@ def sample(rows: DataFrame, *, key: str, text: str, label: str, meta: Sequence[s
                 "dense": [np.array([*f[2], *m]).tobytes() for f, m in zip(found, batch["m"], strict=True)],
             })
 
-    return texts.join(F.broadcast(chosen), ["k", "y"], "left_semi").mapInPandas(inputs, "k long, y int, ids binary, values binary, dense binary")
+    return texts.join(F.broadcast(chosen), "k").mapInPandas(inputs, "k long, y int, ids binary, values binary, dense binary")
 
 
 def fit(
@@ -185,15 +194,16 @@ def fit(
 
 
 def train(
-    rows: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", meta: Sequence[str] = ("n_chars",),
-    per_label: int = ROWS_PER_LABEL,
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality",
+    meta: Sequence[str] = ("n_chars",), per_label: int = ROWS_PER_LABEL,
 ) -> Machine | None:
-    """A machine fitted to a bounded sample of the rows labelled 0 or 1; None where there are none.
+    """A machine fitted to a bounded sample of the documents that ``labels`` (key, label) marks 0 or 1; None where there are none.
 
     Labels keep the weight they have among all rows, whatever their share of the sample.
     """
-    shares = {r["y"]: r["n"] for r in rows.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    found = sample(rows, key=key, text=text, label=label, meta=meta, per_label=per_label).toPandas()
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    shares = {r["y"]: r["n"] for r in marked.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    found = sample(docs, labels, key=key, text=text, label=label, meta=meta, per_label=per_label, counts=shares).toPandas()
     if found.empty:
         return None
     found = found.sort_values(["k", "y"], kind="stable")
