@@ -133,7 +133,7 @@ def _augment(graph: list[list[list[int]]], source: int, sink: int) -> None:
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: str = "sources", size: str = "size", seed: int = 17) -> DataFrame:
-    """``docs`` with ``copies``, how often a document is taken: 0, 1 or 2.
+    """``docs`` with ``copies``, how often a document is taken: 0, 1 or 2. A column of that name is replaced.
 
     ``sources`` is an array of source names (null is a name too); ``targets`` has (source, target).
     Documents without sources are not taken. A pattern's flow takes all its documents as often as it
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: st
     plan = staged(plan.join(swap.select("_pattern", F.col("_swap.mark").alias("_swap")), "_pattern", "left"), "plan")
     more = more != F.coalesce(mark == F.col("_swap"), F.lit(False))
     taken = rows.join(plan, "_pattern", "left").withColumn("copies", F.coalesce(F.col("_rounds") + more.cast("int"), F.lit(0)).cast("int"))
-    return taken.select(*docs.columns, "copies")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], "copies")
 
 
 def _flows(patterns: DataFrame, targets: DataFrame, sources: str) -> DataFrame:
