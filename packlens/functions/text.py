@@ -33,8 +33,8 @@ def word_list(words: Iterable[str]) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Nothing but whitespace of any kind."""
-    return ~text.rlike(r"(?U)\S")
+    """Nothing but whitespace of any kind; null is blank too."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
 
 def estimate_tokens(text: Column) -> Column:

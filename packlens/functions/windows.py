@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -34,44 +37,43 @@ def running_totals(
     )
     inner = Window.partitionBy(*keys, "_slice").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = sliced.join(offsets, [*keys, "_slice"])
+    out = join_null_safe(sliced, offsets, [*keys, "_slice"])
     columns = {f"run_{m}": F.sum(m).over(upto) + F.col(f"_before_{m}") for m in measures}
     if following:
         columns[f"next_{order}"] = F.coalesce(F.lead(order).over(inner), F.col("_next_first"))
     return out.withColumns(columns).drop("_slice", "_next_first", *[f"_before_{m}" for m in measures])
 
 
-def equal_width_slice(value: str, slices: int = 256) -> Column:
-    """Slice number of ``value`` between ``_lo`` and ``_hi`` of its group."""
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices))
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` that matches nulls with nulls."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, reduce(and_, same)).drop(*[f"_right_{k}" for k in keys])
 
 
-# Value counts of up to this many rows per group may be ordered in one task.
-ONE_TASK_VALUES = 1_000_000
+# Cut points of a group's values, and the rows up to which a group is not cut at all.
+CUTS = 63
+ONE_SLICE_ROWS = 100_000
 
 
 def placed_counts(counts: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
     """Value counts in order: ``run_<measure>``, ``total_<measure>`` and ``next_<value>`` per keys.
 
     Exact quantiles and distribution distances read off this table without holding a group's
-    rows together. Rounded readings have few distinct values and are ordered per group; beyond
-    a checked size they are cut into equal-width slices first. ``counts`` is read more than
-    once and should be staged.
+    rows together: a group of many values is cut at its own quantiles, so slices hold about the
+    same number of rows however the values are spread. Null keys form a group, null values come
+    first. ``counts`` is read more than once and should be staged.
     """
-    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= ONE_TASK_VALUES:
-        whole = Window.partitionBy(*keys)
-        ordered = whole.orderBy(value)
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        runs = {f"run_{m}": F.sum(m).over(upto) for m in measures}
-        totals = {f"total_{m}": F.sum(m).over(whole) for m in measures}
-        return counts.withColumns({**runs, **totals, f"next_{value}": F.lead(value).over(ordered)})
+    share = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
     profile = counts.groupBy(*keys).agg(
-        *[F.sum(m).alias(f"total_{m}") for m in measures], F.min(value).alias("_lo"), F.max(value).alias("_hi")
+        *[F.sum(m).alias(f"total_{m}") for m in measures],
+        F.count(F.lit(1)).alias("_rows"),
+        F.percentile_approx(value, share, 10_000).alias("_cuts"),
     )
-    placed = counts.join(profile, keys)
-    return running_totals(placed, keys, value, measures, equal_width_slice(value), following=True).drop("_lo", "_hi")
+    placed = join_null_safe(counts, profile, keys)
+    own = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    slice_of = F.when((F.col("_rows") <= ONE_SLICE_ROWS) | F.col("_cuts").isNull(), F.lit(0)).otherwise(own)
+    return running_totals(placed, keys, value, measures, slice_of, following=True).drop("_rows", "_cuts")
 
 
 def value_at(position: Column, value: str, n: str) -> Column:

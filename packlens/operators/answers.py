@@ -54,10 +54,13 @@ def resolve_outputs(attempts: DataFrame, keys: list[str], retries: int = OUTPUT_
     attempt that parses, or that failed before reaching a model, decides.
     """
     reply = F.from_json("raw", REPLY_SCHEMA)
+    # Sources may be absent; where they are given they must be a list of numbers.
+    named = F.coalesce(F.map_contains_key(F.from_json("raw", "map<string,string>"), "sources"), F.lit(False))
+    sound = ~named | F.coalesce(F.forall("reply.sources", lambda s: s.isNotNull()), F.lit(False))
     unreached = F.col("status_code").isNotNull() | F.coalesce(
         F.substring_index("error_module", ".", 1).isin(*PROVIDER_MODULES), F.lit(False)
     )
-    parsed = F.col("reply.answer").isNotNull() & F.col("reply.confidence").isNotNull()
+    parsed = F.col("reply.answer").isNotNull() & F.col("reply.confidence").isNotNull() & sound
     judged = attempts.withColumn("reply", reply).withColumn(
         "outcome", F.when(unreached, F.lit("provider_error")).when(parsed, F.lit("ok"))
     )

@@ -22,14 +22,15 @@ def with_features(cells: DataFrame, *keep: str) -> DataFrame:
 
 
 def regression_metrics(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """MAE, RMSE and R2 in one pass."""
+    """MAE, RMSE and R2 in one pass. Of a constant truth, R2 is 1 if it is met exactly, else 0."""
     error = F.col(truth) - F.col(predicted)
     spread = F.var_pop(truth) * F.count(truth)
+    missed = F.sum(error * error)
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
-        (F.lit(1.0) - F.try_divide(F.sum(error * error), spread)).alias("r2"),
+        F.when(spread == 0, F.when(missed == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) - missed / spread).alias("r2"),
     )
 
 
@@ -39,22 +40,35 @@ def reasons(*checks: tuple[str, Column]) -> Column:
 
 
 def score_request_problems() -> Column:
+    """Fields that are missing, no number, or out of range: all five are required."""
+
+    def fails(name: str, holds: Column | None = None) -> tuple[str, Column]:
+        known = F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+        return name, ~F.coalesce(known if holds is None else known & holds, F.lit(False))
+
     return reasons(
-        ("cycle_count", F.col("cycle_count") < 0),
-        ("avg_dod", (F.col("avg_dod") < 0) | (F.col("avg_dod") > 1)),
-        ("avg_c_rate", F.col("avg_c_rate") < 0),
-        ("calendar_age_days", F.col("calendar_age_days") < 0),
+        fails("cycle_count", F.col("cycle_count") >= 0),
+        fails("avg_temperature_c"),
+        fails("avg_dod", F.col("avg_dod").between(0, 1)),
+        fails("avg_c_rate", F.col("avg_c_rate") >= 0),
+        fails("calendar_age_days", F.col("calendar_age_days") >= 0),
     )
 
 
 def question_problems(text: str, k: str) -> Column:
-    return reasons(("question", F.length(text) < 1), ("k", ~F.col(k).between(1, 20)))
+    """A question needs a text and a k from 1 to 20; null fails both."""
+    return reasons(
+        ("question", ~F.coalesce(F.length(text) >= 1, F.lit(False))), ("k", ~F.coalesce(F.col(k).between(1, 20), F.lit(False)))
+    )
 
 
 def serviceability(scored: DataFrame, limits: DataFrame, on: str) -> DataFrame:
-    """Keep or retire each cell by the end-of-life limit documented for its site."""
+    """Keep or retire each cell by the end-of-life limit documented for its site.
+
+    Cells of a site without a limit stay, with a null margin and decision.
+    """
     margin = F.col("predicted_soh") - F.col("eol_threshold")
-    return scored.join(limits, on).withColumns(
+    return scored.join(limits, on, "left").withColumns(
         {"margin": margin, "retire": F.col("predicted_soh") < F.col("eol_threshold")}
     )
 

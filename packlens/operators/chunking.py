@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from packlens.functions.text import bind
-from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-def _cut_out(spans: DataFrame, text: str) -> DataFrame:
-    """One row per span: start_index and the text there. There is at least one span per row."""
-    # The outer form keeps the optimizer from computing the spans twice, once as a filter.
-    return (
-        spans.withColumn("_span", F.explode_outer("_spans"))
-        .withColumns(
-            {
-                "start_index": F.col("_span.start"),
-                "chunk": F.substring(F.col(text), F.col("_span.start") + 1, F.col("_span.size")),
-            }
-        )
-        .drop("_span", "_spans")
-    )
+from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
 
 
 def fixed_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of ``size`` characters, each repeating the last ``overlap`` of the one before."""
+    """Chunks of ``size`` characters, each repeating the last ``overlap`` of the one before.
+
+    The text is cut once into pieces of the stride; a chunk is a piece with the head of those that
+    follow, so a text costs time in proportion to its length.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below size")
+    stride = size - overlap
+    more = -(-size // stride)  # pieces that a chunk reaches into
     length = F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((length - overlap) / F.lit(float(size - overlap))).cast("int") - 1)
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * (size - overlap))
-    spans = F.transform(
-        starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size), length - s).alias("size"))
+    last = F.greatest(F.lit(0), F.ceil((length - overlap) / F.lit(float(stride))).cast("int") - 1)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    cut = documents.where(length > 0).withColumns({"_last": last}).withColumn("_pieces", F.explode(F.array(pieces)))
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.col("_last")),
+        lambda i: F.struct(
+            (i * stride).alias("start"), F.substring(F.array_join(F.slice("_pieces", i + 1, F.lit(more)), ""), 1, size).alias("chunk")
+        ),
     )
-    return _cut_out(documents.where(length > 0).withColumn("_spans", spans), text)
+    return _one_each(cut.withColumn("_chunks", chunks).drop("_last", "_pieces"))
 
 
 def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -41,43 +38,45 @@ def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_
 
     A chunk ends after the last blank line in the second half of its window, else the last
     line end there, else the last space, else at the full size. The next one starts at most
-    ``overlap`` characters before that end, at the first word start in the overlap.
+    ``overlap`` characters before that end, at the first word start in the overlap. Each step
+    looks at one window only, so a text costs time in proportion to its length.
     """
     if not 0 <= overlap < size // 2:
         raise ValueError("overlap must be below half the size")
-    half = size // 2
-    body = F.col(text)
-    length = F.col("_length")
-
-    def step(state: Column, _: Column) -> Column:
-        position = state["position"]
-
-        def last_end(window: Column) -> Column:
-            ends = [F.nullif(F.instr(window, s), F.lit(0)) for s in ("\n\n", "\n", " ")]
-            return F.lit(size + 1) - F.coalesce(*ends, F.lit(1))
-
-        def advance(taken: Column) -> Column:
-            back = position + taken - overlap
-            word = bind(
-                F.regexp_instr(F.substring(body, back + 1, F.lit(overlap)), F.lit("[ \n]")),
-                lambda gap: F.when(gap.between(1, overlap - 1), gap).otherwise(F.lit(0)),
-            )
-            span = F.struct(position.alias("start"), taken.cast("int").alias("size"))
-            return F.struct(
-                F.when(position + taken >= length, length).otherwise(back + word).cast("int").alias("position"),
-                F.concat(state["spans"], F.array(span)).alias("spans"),
-            )
-
-        # Second half of the window back to front: the first separator there is the last one.
-        reversed_half = F.reverse(F.substring(body, position + half + 1, F.lit(size - half)))
-        taken = F.when(position + size >= length, length - position).otherwise(bind(reversed_half, last_end))
-        return F.when(position >= length, state).otherwise(bind(taken, advance))
-
-    # Each step moves on by more than half - overlap characters.
-    measured = documents.where(F.length(text) > 0).withColumn("_length", F.length(text))
-    steps = F.sequence(F.lit(1), F.ceil(length / F.lit(float(half - overlap))).cast("int") + 1)
-    start = F.struct(
-        F.lit(0).alias("position"), F.array().cast("array<struct<start:int,size:int>>").alias("spans")
+
+    @F.pandas_udf("array<struct<start:int,chunk:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "chunk": t[s:e]} for s, e in boundary_spans(t, size, overlap)] for t in texts])
+
+    return _one_each(documents.where(F.length(text) > 0).withColumn("_chunks", cut(F.col(text))))
+
+
+def boundary_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each chunk of ``boundary_chunks``."""
+    position, half = 0, size // 2
+    while position < len(text):
+        end = min(len(text), position + size)
+        if end < len(text):
+            for separator in ("\n\n", "\n", " "):
+                found = text.rfind(separator, position + half, end)
+                if found >= 0:
+                    end = found + len(separator)
+                    break
+        yield position, end
+        if end >= len(text):
+            return
+        position = end - overlap
+        gaps = [g for g in (text.find(s, position, end) for s in " \n") if g >= 0]
+        gap = min(gaps) - position + 1 if gaps else 0
+        if 1 <= gap < overlap:
+            position += gap
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row for each of the ``_chunks``."""
+    # The outer form keeps the optimizer from computing the chunks twice, once as a filter.
+    return (
+        rows.withColumn("_chunk", F.explode_outer("_chunks"))
+        .withColumns({"start_index": F.col("_chunk.start"), "chunk": F.col("_chunk.chunk")})
+        .drop("_chunk", "_chunks")
     )
-    spans = F.aggregate(steps, start, step)["spans"]
-    return _cut_out(measured.withColumn("_spans", spans), text).drop("_length")

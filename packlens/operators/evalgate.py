@@ -27,20 +27,30 @@ def chunk_recall(items: DataFrame, expected: DataFrame, retrieved: DataFrame, ke
 
 
 def rotten_truth(expected: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Expected texts that their source no longer holds, or whose source is gone."""
-    texts = corpus.select("source", F.col("text").alias("_text"))
+    """Expected texts that their source no longer holds, or whose source is gone.
+
+    ``must_contain`` is a list of texts, all required, whatever their case; an empty list or an
+    empty text in it is a fault of its own. Only the sources that are named are shuffled.
+    """
+    named = expected.select("source").distinct()
+    texts = corpus.join(named, "source", "left_semi").select("source", F.lower("text").alias("_text"))
+    wanted = F.col("must_contain")
+    usable = F.coalesce((F.size(wanted) > 0) & F.forall(wanted, lambda m: F.coalesce(m != "", F.lit(False))), F.lit(False))
+    held = F.forall(wanted, lambda m: F.contains(F.col("_text"), F.lower(m)))
     checked = expected.join(texts, "source", "left").withColumn(
         "problem",
-        F.when(F.col("_text").isNull(), F.lit("unknown source")).when(
-            ~F.contains("_text", "must_contain"), F.lit("text not found")
-        ),
+        F.when(~usable, F.lit("no text required"))
+        .when(F.col("_text").isNull(), F.lit("unknown source"))
+        .when(~held, F.lit("text not found")),
     )
     return checked.where(F.col("problem").isNotNull()).drop("_text")
 
 
 def composition(items: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row of checks on a golden set: sizes, categories, unique ids, consistent classes."""
-    n_expected = expected.groupBy("qid").agg(F.count(F.lit(1)).alias("n_expected"))
+    """One row of checks on a golden set: sizes, edge categories, unique ids, consistent classes, required texts."""
+    edges = ("vague", "out_of_scope", "insufficient_context")
+    empty = ~F.coalesce((F.size("must_contain") > 0) & F.forall("must_contain", lambda m: m != ""), F.lit(False))
+    n_expected = expected.groupBy("qid").agg(F.count(F.lit(1)).alias("n_expected"), F.count_if(empty).alias("n_empty"))
     full = items.join(n_expected, "qid", "left").withColumn("n_expected", F.coalesce("n_expected", F.lit(0)))
     grounded = F.col("category").isin("factual", "synthesis")
     counted = full.agg(
@@ -48,6 +58,8 @@ def composition(items: DataFrame, expected: DataFrame) -> DataFrame:
         F.count_if("answerable").alias("n_answerable"),
         F.count_if(~F.col("answerable")).alias("n_unanswerable"),
         F.count_distinct("category").alias("n_categories"),
+        F.count_distinct(F.when(F.col("category").isin(*edges), F.col("category"))).alias("n_edge_categories"),
+        F.coalesce(F.sum("n_empty"), F.lit(0)).alias("n_empty_required"),
         (F.count(F.lit(1)) - F.count_distinct("id")).alias("n_repeated_ids"),
         F.count_if(F.col("answerable") != grounded).alias("n_class_mismatch"),
         F.count_if(F.col("answerable") != (F.col("n_expected") > 0)).alias("n_expected_mismatch"),
@@ -55,7 +67,7 @@ def composition(items: DataFrame, expected: DataFrame) -> DataFrame:
     return counted.withColumns(
         {
             "large_enough": (F.col("n_items") >= 20) & (F.col("n_answerable") >= 15) & (F.col("n_unanswerable") >= 5),
-            "all_categories": F.col("n_categories") == 5,
+            "edge_categories": F.col("n_edge_categories") == 3,
             "ids_unique": F.col("n_repeated_ids") == 0,
         }
     )

@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.operators.cells import FEATURES, latest_versions, regression_metrics, split_train_test, with_features
-from packlens.settings import FOREST_DEPTH, FOREST_TREES, SEED, TEST_SHARE
+from packlens.settings import FOREST_DEPTH, FOREST_PARTITIONS, FOREST_TREES, SEED, TEST_SHARE
 from packlens.sources.cells import RAW_INPUTS
 from packlens.sources.sinks import append_rows
 
@@ -20,7 +20,13 @@ RUN_SCHEMA = (
 
 
 def fit_forest(cells: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED) -> PipelineModel:
-    """A forest over the stress features; every feature is considered at every split."""
+    """A forest over the stress features; every feature is considered at every split.
+
+    Sampling is seeded by partition, so rows are dealt to a fixed number of partitions by their
+    values and sorted: the same rows give the same forest however they were read.
+    """
+    columns = [*FEATURES, "soh"]
+    dealt = with_features(cells, "soh").repartition(FOREST_PARTITIONS, *columns).sortWithinPartitions(*columns)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestRegressor(
         featuresCol="features",
@@ -31,7 +37,7 @@ def fit_forest(cells: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
         featureSubsetStrategy="all",
         seed=seed,
     )
-    return Pipeline(stages=[assembler, forest]).fit(with_features(cells, "soh"))
+    return Pipeline(stages=[assembler, forest]).fit(dealt)
 
 
 def score(model: PipelineModel, requests: DataFrame, *keep: str) -> DataFrame:

@@ -13,10 +13,11 @@ from packlens.sources.sinks import append_rows, replace_table
 class IndexProblems(RuntimeError):
     """A staged index in which some chunks do not find themselves."""
 
-    def __init__(self, total: int, examples: list[str]) -> None:
+    def __init__(self, total: int, examples: list[str], path: str) -> None:
         self.total = total
         self.examples = examples
-        super().__init__(f"{total} chunk(s) failed verification, among them:\n  " + "\n  ".join(examples))
+        self.path = path
+        super().__init__(f"{total} chunk(s) failed verification, all listed in {path}, among them:\n  " + "\n  ".join(examples))
 
 
 def write_index(spark: SparkSession, chunks: DataFrame, path: str, reset: bool = True) -> DataFrame:
@@ -42,9 +43,10 @@ def publish_verified(
     staged = replace_table(spark, chunks, "index", staging_path(spark, "index"))
     checked = self_retrieval(staged, queries, staged.select("chunk_id", "embedding"), floor)
     # Staged as well: the search behind it runs once for the count and the examples.
-    problems = replace_table(spark, checked.where(F.col("problem").isNotNull()), "index-problems")
+    listed = staging_path(spark, "index-problems")
+    problems = replace_table(spark, checked.where(F.col("problem").isNotNull()), "index-problems", listed)
     found = problems.count()
     if found:
         examples = [f"{r['chunk_id']}: {r['problem']}" for r in problems.orderBy("chunk_id").limit(10).collect()]
-        raise IndexProblems(found, examples)
+        raise IndexProblems(found, examples, listed)
     return replace_table(spark, staged, "index", path)

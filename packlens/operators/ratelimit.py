@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from packlens.functions.windows import join_null_safe
+
 TOKEN = 60_000_000
 SLICE_MICROS = 600_000_000
 
@@ -169,24 +171,25 @@ def replay(events: DataFrame, slice_micros: int = SLICE_MICROS) -> DataFrame:
 
     ``events`` holds (event_id, scope, caller, at_micros, per_minute); requests of the same
     microsecond go by event id. The limit may change between requests: the bucket is then cut
-    to the new size. A limit of 0 or less is no limit. The result does not depend on
-    ``slice_micros``.
+    to the new size. A limit of 0 or less, or null, is no limit. A null scope or caller is one of
+    its own. A request without a time is refused. The result does not depend on ``slice_micros``.
     """
-    limited = events.where(F.col("per_minute") > 0).select(
+    bound = F.coalesce(F.col("per_minute") > 0, F.lit(False))
+    limited = events.where(bound & F.col("at_micros").isNotNull()).select(
         "event_id", *KEYS, "at_micros", F.col("per_minute").cast("int").alias("per_minute"),
         F.floor(F.col("at_micros") / slice_micros).cast("bigint").alias("slice"),
     )
     functions = _streamed(limited, [*KEYS, "slice"], ["at_micros", "event_id"], _slice_functions, _FUNCTION_SCHEMA)
     starts = _streamed(functions, KEYS, ["slice"], _chain, "scope string, caller string, slice long, start_tokens long")
     verdicts = _streamed(
-        limited.join(starts, [*KEYS, "slice"]),
+        join_null_safe(limited, starts, [*KEYS, "slice"]),
         [*KEYS, "slice"],
         ["at_micros", "event_id"],
         _replay,
         "event_id long, scope string, caller string, allowed boolean, tokens_left long, retry_micros long",
     )
-    free = events.where(F.col("per_minute") <= 0).select(
-        "event_id", *KEYS, F.lit(True).alias("allowed"), F.lit(None).cast("bigint").alias("tokens_left"),
+    free = events.where(~bound | F.col("at_micros").isNull()).select(
+        "event_id", *KEYS, (~bound).alias("allowed"), F.lit(None).cast("bigint").alias("tokens_left"),
         F.lit(0).cast("bigint").alias("retry_micros"),
     )
     return verdicts.unionByName(free)

@@ -80,25 +80,28 @@ def score_trajectories(labelled: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Which expected tools were called, which were missed, which forbidden ones were used.
 
     An expected entry lists alternatives separated by a pipe. With nothing expected the
-    accuracy is 1; a refused run that should have used tools scores 0 and missed them all.
+    accuracy is 1; a refused run that should have used tools scores 0 and missed them all. A
+    labelled request without a run counts, with accuracy 0 and all its tools missed.
     """
-    called = F.col("tool_calls")
+    absent = F.col("_ran").isNull()
+    called = F.coalesce("tool_calls", F.array().cast("array<string>"))
 
     def met(entry: Column) -> Column:
         return F.arrays_overlap(F.split(entry, r"\|"), called)
 
     none = F.array().cast("array<string>")
     expected = F.col("expected_tools")
-    judged = labelled.join(outcomes, "request_id").withColumns(
+    judged = labelled.join(outcomes.withColumn("_ran", F.lit(True)), "request_id", "left").withColumns(
         {
             "_met": F.filter(expected, met),
             "_unmet": F.filter(expected, lambda e: ~met(e)),
             "violated": F.filter("forbidden_tools", lambda t: F.array_contains(called, t)),
         }
     )
-    written_off = F.col("refused") & (F.size(expected) > 0)
+    written_off = F.coalesce(F.col("refused"), F.lit(True)) & (F.size(expected) > 0)
     accuracy = (
-        F.when(F.size(expected) == 0, F.lit(1.0))
+        F.when(absent, F.lit(0.0))
+        .when(F.size(expected) == 0, F.lit(1.0))
         .when(F.col("refused"), F.lit(0.0))
         .otherwise(ratio(F.size("_met"), F.size(expected)))
     )
@@ -109,7 +112,7 @@ def score_trajectories(labelled: DataFrame, outcomes: DataFrame) -> DataFrame:
             "accuracy": accuracy,
             "precise": F.size("violated") == 0,
         }
-    ).drop("_met", "_unmet")
+    ).drop("_met", "_unmet", "_ran")
 
 
 def roll_up_trajectories(items: DataFrame) -> DataFrame:

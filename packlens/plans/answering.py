@@ -215,7 +215,7 @@ def _pii_steps(source: str, column: str, keep: str) -> str:
 _TEXTS = """texts AS (SELECT 'questions' AS origin, question AS text FROM questions
     UNION ALL SELECT 'documents-' || lang, text FROM documents)"""
 _TOKENS = r"greatest(length(question)//4, len(regexp_extract_all(question, '[^\s\p{Z}]+')))"
-_BLANK = r"NOT regexp_matches(question, '[^\s\p{Z}]')"
+_BLANK = r"NOT regexp_matches(coalesce(question, ''), '[^\s\p{Z}]')"
 _STOP = ", ".join(_quoted(w) for w in STOPWORDS)
 
 

@@ -254,9 +254,12 @@ ORACLES = {
     "request_validity": with_views(
         ["unchecked_requests"],
         """r AS (
-          SELECT 'predict' AS endpoint, concat_ws('|', CASE WHEN cycle_count<0 THEN 'cycle_count' END,
-            CASE WHEN avg_dod<0 OR avg_dod>1 THEN 'avg_dod' END, CASE WHEN avg_c_rate<0 THEN 'avg_c_rate' END,
-            CASE WHEN calendar_age_days<0 THEN 'calendar_age_days' END) AS problems FROM unchecked_requests
+          SELECT 'predict' AS endpoint, concat_ws('|', CASE WHEN cycle_count>=0 AND NOT isnan(cycle_count) THEN NULL ELSE 'cycle_count' END,
+            CASE WHEN avg_temperature_c IS NULL OR isnan(avg_temperature_c) THEN 'avg_temperature_c' END,
+            CASE WHEN avg_dod>=0 AND avg_dod<=1 THEN NULL ELSE 'avg_dod' END,
+            CASE WHEN avg_c_rate>=0 AND NOT isnan(avg_c_rate) THEN NULL ELSE 'avg_c_rate' END,
+            CASE WHEN calendar_age_days>=0 AND NOT isnan(calendar_age_days) THEN NULL ELSE 'calendar_age_days' END) AS problems
+            FROM unchecked_requests
           UNION ALL
           SELECT 'ask', concat_ws('|', CASE WHEN length(CASE WHEN (conv_id*5+turn)%11=0 THEN '' ELSE text END)<1
             THEN 'question' END, CASE WHEN NOT ((conv_id*3+turn)%24-1 BETWEEN 1 AND 20) THEN 'k' END)
@@ -266,7 +269,7 @@ ORACLES = {
     "serviceability": with_views(
         ["cell_samples"],
         f"""j AS (SELECT s_nationkey AS nation_key, 8e1+s_nationkey%5 AS eol_threshold, {_NOISELESS} AS predicted
-          FROM cell_samples JOIN supplier ON site_key = s_suppkey)
+          FROM cell_samples LEFT JOIN supplier ON site_key = s_suppkey)
         SELECT nation_key, eol_threshold, count(*) AS n_cells, count(*) FILTER (WHERE predicted < eol_threshold) AS n_retire,
           round(min(predicted-eol_threshold),4) AS worst_margin, round(avg(predicted-eol_threshold),4) AS mean_margin
         FROM j GROUP BY nation_key, eol_threshold""",

@@ -160,21 +160,26 @@ ORACLES = {
     "golden_rot": with_views(
         ["passages"],
         """e AS (SELECT doc_id, CASE WHEN toxic=1 THEN 'gone/' || source ELSE source END AS source,
-          CASE WHEN quality=0 THEN substr(text,1,60) || ' (revised)' ELSE substr(text,1,60) END AS m
-          FROM labels JOIN passages ON chunk_id = doc_id)
-        SELECT doc_id, e.source, CASE WHEN p.text IS NULL THEN 'unknown source' ELSE 'text not found' END AS problem
-        FROM e LEFT JOIN passages p USING (source) WHERE p.text IS NULL OR NOT contains(p.text, m)""",
+          translate(substr(text, length(text)//2 + 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+            || CASE WHEN quality=0 THEN ' (revised)' ELSE '' END AS m, substr(text, 1, 20) AS m2, doc_id % 31 = 3 AS bare
+          FROM labels JOIN passages ON chunk_id = doc_id),
+        f AS (SELECT doc_id, e.source, CASE WHEN bare OR m = '' OR m2 = '' THEN 'no text required' WHEN p.text IS NULL THEN 'unknown source'
+          WHEN NOT (contains(lower(p.text), lower(m)) AND contains(lower(p.text), lower(m2))) THEN 'text not found' END AS problem
+        FROM e LEFT JOIN passages p USING (source))
+        SELECT * FROM f WHERE problem IS NOT NULL""",
     ),
     "golden_composition": with_views(
         ["vector_queries", "passages"],
         f"""{_GOLDEN}, f AS (SELECT g.*, (SELECT count(*) FROM expected e WHERE e.qid = g.qid) AS n FROM golden g),
         c AS (SELECT count(*) AS n_items, count(*) FILTER (WHERE answerable) AS n_answerable,
           count(*) FILTER (WHERE NOT answerable) AS n_unanswerable, count(DISTINCT category) AS n_categories,
+          count(DISTINCT CASE WHEN category IN ('vague','out_of_scope','insufficient_context') THEN category END) AS n_edge_categories,
+          (SELECT count(*) FROM expected WHERE m1 = '' OR m2 = '') AS n_empty_required,
           count(*) - count(DISTINCT id) AS n_repeated_ids,
           count(*) FILTER (WHERE answerable <> (category IN ('factual','synthesis'))) AS n_class_mismatch,
           count(*) FILTER (WHERE answerable <> (n > 0)) AS n_expected_mismatch FROM f)
         SELECT *, n_items >= 20 AND n_answerable >= 15 AND n_unanswerable >= 5 AS large_enough,
-          n_categories = 5 AS all_categories, n_repeated_ids = 0 AS ids_unique FROM c""",
+          n_edge_categories = 3 AS edge_categories, n_repeated_ids = 0 AS ids_unique FROM c""",
     ),
     "eval_rollup": with_views(
         _ANSWER_VIEWS,

@@ -68,8 +68,8 @@ def tool_registry_check(spark: SparkSession, folder: str) -> DataFrame:
 def log_parse(spark: SparkSession, folder: str) -> DataFrame:
     parsed = logs.parse_lines(logs.log_lines(spark, folder))
     return parsed.select(
-        "event_id", "level", "endpoint", "status_code", F.round("duration_ms", 3).alias("duration_ms"),
-        F.size("extras").cast("bigint").alias("n_extras"), F.element_at("extras", F.lit("user")).alias("user"),
+        "event_id", "malformed", F.md5("raw").alias("raw_md5"), "level", "endpoint", "status_code", F.round("duration_ms", 3).alias("duration_ms"),
+        F.when(~F.col("malformed"), F.size("extras")).cast("bigint").alias("n_extras"), F.element_at("extras", F.lit("user")).alias("user"),
     )
 
 
@@ -78,7 +78,7 @@ def mask_sensitive(spark: SparkSession, folder: str) -> DataFrame:
     entries = F.array_sort(
         F.transform(F.map_entries(logs.mask(F.col("extras"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     )
-    return parsed.select("event_id", F.array_join(entries, ";").alias("extras"))
+    return parsed.where("not malformed").select("event_id", F.array_join(entries, ";").alias("extras"))
 
 
 def access_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,17 +159,19 @@ _LABELLED = """labelled AS (SELECT DISTINCT conv_id AS request_id,
       CASE conv_id%3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['drift_report'] ELSE ['delegate_research','run_shell'] END AS forbidden
     FROM conversations)"""
 _TRAJECTORIES = f"""{_OUTCOMES}, {_LABELLED},
-    t0 AS (SELECT *, outcome <> 'answered' AS refused,
+    t0 AS (SELECT *, coalesce(outcome <> 'answered', true) AS refused, outcome IS NULL AS absent,
       list_filter(expected, lambda e: list_has_any(string_split(e,'|'), tool_calls)) AS met,
       list_filter(expected, lambda e: NOT list_has_any(string_split(e,'|'), tool_calls)) AS unmet,
-      list_filter(forbidden, lambda t: list_contains(tool_calls, t)) AS violated FROM labelled JOIN outcomes USING (request_id)),
+      list_filter(forbidden, lambda t: list_contains(tool_calls, t)) AS violated
+      FROM (SELECT l.*, o.outcome, coalesce(o.tool_calls, []) AS tool_calls FROM labelled l LEFT JOIN outcomes o USING (request_id))),
     items AS (SELECT request_id, CASE WHEN refused AND len(expected)>0 THEN [] ELSE met END AS satisfied,
       CASE WHEN refused AND len(expected)>0 THEN expected ELSE unmet END AS missed, violated,
-      CASE WHEN len(expected)=0 THEN 1e0 WHEN refused THEN 0 ELSE len(met)/len(expected)::DOUBLE END AS accuracy,
+      CASE WHEN absent THEN 0e0 WHEN len(expected)=0 THEN 1e0 WHEN refused THEN 0 ELSE len(met)/len(expected)::DOUBLE END AS accuracy,
       len(violated)=0 AS precise FROM t0)"""
 _ROLLED = """rolled AS (SELECT 'trajectory_accuracy' AS metric, coalesce(avg(accuracy),0) AS score, count(*) AS n_items FROM items
     UNION ALL SELECT 'tool_precision', coalesce(avg(precise::INT),0), count(*) FROM items)"""
-_LINES = f"lines AS (SELECT event_id, {logs.LOG_LINE} AS line FROM events)"
+_LINES0 = f"all_lines AS (SELECT event_id, {logs.LOG_LINE} AS line FROM events)"
+_LINES = "lines AS (SELECT * FROM all_lines WHERE json_valid(line))"
 _EXTRAS = """extras AS (SELECT event_id, unnest(json_keys(line)) AS k, line FROM lines)"""
 _ACCESS = """access_log AS (SELECT event_id, ts, CASE user_id%3 WHEN 0 THEN 'key:' || substr('sk-user-' || user_id,1,8)
       WHEN 1 THEN 'ip:10.0.0.' || user_id ELSE 'ip:unknown' END AS caller,
@@ -197,10 +199,13 @@ ORACLES = {
     "tool_registry_check": f"""WITH {_LABELLED}, n AS (SELECT request_id, unnest(list_distinct(list_concat(
           flatten(list_transform(expected, lambda e: string_split(e,'|'))), forbidden))) AS tool FROM labelled)
         SELECT tool, count(*) AS n_runs FROM n WHERE tool NOT IN {tuple(TOOLS)} GROUP BY tool""",
-    "log_parse": f"""WITH {_LINES} SELECT event_id, line->>'$.level' AS level, line->>'$.endpoint' AS endpoint,
+    "log_parse": f"""WITH {_LINES0}, {_LINES.replace("lines AS", "good AS", 1)}
+        SELECT event_id, true AS malformed, md5(line) AS raw_md5, NULL AS level, NULL AS endpoint, NULL AS status_code, NULL AS duration_ms,
+          NULL AS n_extras, NULL AS "user" FROM all_lines WHERE NOT json_valid(line)
+        UNION ALL SELECT event_id, false, NULL, line->>'$.level' AS level, line->>'$.endpoint' AS endpoint,
         (line->>'$.status_code')::BIGINT AS status_code, round((line->>'$.duration_ms')::DOUBLE,3) AS duration_ms,
-        len(json_keys(line)) - 6 AS n_extras, line->>'$.user' AS user FROM lines""",
-    "mask_sensitive": f"""WITH {_LINES}, {_EXTRAS},
+        len(json_keys(line)) - 6 AS n_extras, line->>'$.user' AS "user" FROM good""",
+    "mask_sensitive": f"""WITH {_LINES0}, {_LINES}, {_EXTRAS},
         m AS (SELECT event_id, k || '=' || CASE WHEN NOT (ends_with(lower(k),'_tokens') OR lower(k)='tokens')
             AND regexp_matches(lower(k), 'api_key|apikey|secret|password|token|authorization') THEN '***'
             ELSE line->>k END AS e FROM extras

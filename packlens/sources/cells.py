@@ -46,10 +46,10 @@ REQUEST_EXPRESSIONS = (
 # The same requests before validation: some fall outside the accepted ranges.
 UNCHECKED_EXPRESSIONS = (
     "event_id",
-    "cast((event_id*7919)%3000-100 as double) as cycle_count",
-    "55e0+((user_id*31+event_id*17)%3001)/1e2 as avg_temperature_c",
-    "((user_id*263+event_id*29)%12001)/1e4 as avg_dod",
-    "((event_id*7919+user_id*7)%18001)/1e4-1e-1 as avg_c_rate",
+    "case when event_id%101<>7 then cast((event_id*7919)%3000-100 as double) end as cycle_count",
+    "case event_id%103 when 5 then cast('NaN' as double) when 6 then null else 55e0+((user_id*31+event_id*17)%3001)/1e2 end as avg_temperature_c",
+    "case when event_id%107<>9 then ((user_id*263+event_id*29)%12001)/1e4 else cast('NaN' as double) end as avg_dod",
+    "case when event_id%109<>11 then ((event_id*7919+user_id*7)%18001)/1e4-1e-1 end as avg_c_rate",
     "((event_id*53+user_id*11)%15001)/1e1-2e1 as calendar_age_days",
 )
 

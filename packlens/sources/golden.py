@@ -97,14 +97,18 @@ def expected_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rotting_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, source, must_contain) over the labelled documents: some no longer hold."""
+    """(doc_id, source, must_contain) over the labelled documents: passages from the middle in capitals and
+    from the head; some no longer hold, some name none."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     quoted = labels.join(passages(spark, folder).withColumnRenamed("chunk_id", "doc_id"), "doc_id")
-    said = F.substring("text", 1, 60)
+    said = F.translate(
+        F.substring("text", F.expr("length(text) div 2 + 1").cast("int"), F.lit(60)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    )
+    said = F.when(F.col("quality") == 0, F.concat(said, F.lit(" (revised)"))).otherwise(said)
     return quoted.select(
         "doc_id",
         F.when(F.col("toxic") == 1, F.concat(F.lit("gone/"), "source")).otherwise(F.col("source")).alias("source"),
-        F.when(F.col("quality") == 0, F.concat(said, F.lit(" (revised)"))).otherwise(said).alias("must_contain"),
+        F.when(F.col("doc_id") % 31 == 3, F.array().cast("array<string>")).otherwise(F.array(said, F.substring("text", 1, 20))).alias("must_contain"),
     )
 
 

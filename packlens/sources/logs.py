@@ -36,9 +36,11 @@ def mask(extras: Column) -> Column:
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Log lines (one JSON object each) as typed envelope columns and a map of extras.
 
-    Lines that are no JSON object are dropped.
+    A line that is no JSON object stays as ``raw``, with ``malformed`` true and all else null.
     """
-    whole = lines.withColumn("_log", F.from_json(line, "map<string,string>")).where(F.col("_log").isNotNull())
+    whole = lines.withColumn("_log", F.from_json(line, "map<string,string>")).withColumns(
+        {"malformed": F.col("_log").isNull(), "raw": F.when(F.col("_log").isNull(), F.col(line))}
+    )
     read = {name: F.try_element_at("_log", F.lit(name)) for name in ENVELOPE}
     typed = {
         **read,
@@ -77,7 +79,7 @@ concat('{"level": "', CASE WHEN event_type='error' THEN 'ERROR' ELSE 'INFO' END,
   ', "user": "u', cast(user_id as string),
   CASE event_id%4 WHEN 0 THEN '", "x_api_key": "sk-1' WHEN 1 THEN '", "input_tokens": "12'
     WHEN 2 THEN '", "Session_Token": "abc' ELSE '", "tokens": "9' END,
-  '", "Authorization": "Bearer ', cast(event_id as string), '"}')
+  '", "Authorization": "Bearer ', cast(event_id as string), CASE WHEN event_id%50=49 THEN '" cut' ELSE '"}' END)
 """.strip()
 
 

@@ -77,6 +77,7 @@ CASE (conv_id*7+turn*3)%23
   WHEN 12 THEN concat('How does high temperature change cell degradation? ', text)
   WHEN 13 THEN concat(text, ' Reach me at jo.doe+x@example.org, server 10.0.12.7, account DE89370400440532013000 please')
   WHEN 14 THEN '  '
+  WHEN 16 THEN NULL
   WHEN 15 THEN concat(text, ' What is the depth of discharge, 3000 cycles at 45 C?')
   ELSE text END
 """.strip()

@@ -31,9 +31,13 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def prediction_log(scored: DataFrame, version: str | None = None) -> DataFrame:
-    """Scored requests in the log's shape: doubles, the model version as text, a time of writing."""
+    """Scored requests in the log's shape: a random id, doubles, the model version as text, a time of writing.
+
+    Ids are drawn from 2^63 numbers, so that jobs that append side by side need no common counter.
+    """
     inputs = ("cycle_count", "avg_temperature_c", "avg_dod", "avg_c_rate", "calendar_age_days")
     return scored.select(
+        F.abs(F.xxhash64(F.uuid())).alias("id"),
         F.current_timestamp().alias("created_at"),
         *[F.col(c).cast("double").alias(c) for c in inputs],
         F.col("predicted_soh").cast("double").alias("predicted_soh"),

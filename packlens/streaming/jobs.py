@@ -119,7 +119,7 @@ def _bucket(
         if tokens is None:
             tokens, last = limit * ratelimit.TOKEN, at
         allowed, tokens, wait = ratelimit.take(tokens, at - last, limit)
-        last = at
+        last = max(last, at)  # a late request does not turn the clock back
         verdicts.append((event, scope, caller, allowed, tokens, wait))
     state.update((tokens, last))
     if forget:

@@ -29,6 +29,14 @@ def test_perfect_prediction(spark):
 def test_request_problems(spark):
     rows = requests(spark, (-1.0, 20.0, 1.5, 1.0, 1.0), (1.0, 20.0, 0.5, 1.0, 1.0))
     assert [r[0] for r in rows.select(cells.score_request_problems()).collect()] == [["cycle_count", "avg_dod"], []]
+    rows = requests(spark, (None, float("nan"), 0.5, float("nan"), None))
+    assert rows.select(cells.score_request_problems()).first()[0] == ["cycle_count", "avg_temperature_c", "avg_c_rate", "calendar_age_days"]
+
+
+def test_constant_truth(spark):
+    rows = spark.createDataFrame([(80.0, 80.0, 81.0), (80.0, 80.0, 80.0)], "y double, p double, q double")
+    assert cells.regression_metrics(rows, "y", "p").first()["r2"] == 1.0
+    assert cells.regression_metrics(rows, "y", "q").first()["r2"] == 0.0
 
 
 def test_latest_version_is_numeric(spark):

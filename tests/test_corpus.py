@@ -160,7 +160,26 @@ def test_published_scores_credit_any_refusal(spark):
 
 
 def test_rotten_truth(spark):
-    expected = spark.createDataFrame([(1, "a", "x"), (2, "a", "z"), (3, "gone", "x")], "id long, source string, must_contain string")
-    texts = spark.createDataFrame([("a", "xy")], "source string, text string")
+    rows = [(1, "a", ["X"]), (2, "a", ["x", "z"]), (3, "gone", ["x"]), (4, "a", []), (5, "a", ["x", "Y"]), (6, "a", None), (7, "a", [""])]
+    expected = spark.createDataFrame(rows, "id long, source string, must_contain array<string>")
+    texts = spark.createDataFrame([("a", "Xy")], "source string, text string")
     got = {r.id: r.problem for r in evalgate.rotten_truth(expected, texts).collect()}
-    assert got == {2: "text not found", 3: "unknown source"}
+    none = "no text required"
+    assert got == {2: "text not found", 3: "unknown source", 4: none, 6: none, 7: none}
+
+
+def test_chunking_takes_linear_time(spark):
+    import time
+
+    from packlens.operators import chunking
+
+    def seconds(n, cut):
+        rows = spark.createDataFrame([("wörd é. " * (n // 8),)], "text string")
+        cut(rows).count()
+        start = time.time()
+        assert cut(rows).agg({"chunk": "max"}).first()[0]
+        return time.time() - start
+
+    for cut in (chunking.fixed_chunks, chunking.boundary_chunks):
+        seconds(1000, cut)
+        assert seconds(1_600_000, cut) < 8 * seconds(400_000, cut) + 2

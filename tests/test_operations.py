@@ -150,8 +150,10 @@ def test_trajectory_rules(spark):
 def test_secrets_are_masked_and_counts_stay(spark):
     line = '{"level":"INFO","x_Api_Key":"k","Authorization":"b","password":"p","a_secret":"s","input_tokens":5,"tokens":1,"token":"t","status_code":"200"}'
     parsed = logs.parse_lines(spark.createDataFrame([(line,), ("no json",)], "line string"))
-    row = parsed.select(logs.mask(F.col("extras")).alias("e"), "status_code").collect()
-    assert len(row) == 1 and row[0].status_code == 200
+    bad = parsed.where("malformed").collect()
+    assert [(r.raw, r.level) for r in bad] == [("no json", None)]
+    row = parsed.where("not malformed").select(logs.mask(F.col("extras")).alias("e"), "status_code", "raw").collect()
+    assert len(row) == 1 and row[0].status_code == 200 and row[0].raw is None
     assert row[0].e == {
         "x_Api_Key": "***", "Authorization": "***", "password": "***", "a_secret": "***", "token": "***",
         "input_tokens": "5", "tokens": "1",
@@ -179,3 +181,29 @@ def test_contract(spark):
         "more": ("extra", 0, 0, False),
     }
     assert set(contract.schema_differences(contract.PREDICTION_LOG, contract.PREDICTION_LOG).values()) == {"ok"}
+
+
+def test_labelled_requests_without_a_run_count(spark):
+    labelled = spark.createDataFrame([(1, ["p"], []), (2, [], ["d"])], "request_id long, expected_tools array<string>, forbidden_tools array<string>")
+    none = spark.createDataFrame([], "request_id long, tool_calls array<string>, refused boolean")
+    items = {r.request_id: r for r in runs.score_trajectories(labelled, none).collect()}
+    assert [items[i].accuracy for i in (1, 2)] == [0.0, 0.0] and items[1].missed == ["p"] and items[2].precise
+
+
+def test_budget_and_replay_keep_null_keys(spark):
+    fields = "input_tokens long, output_tokens long, cache_creation_input_tokens long, cache_read_input_tokens long"
+    turns = spark.createDataFrame([(None, 1, 5, 5, 0, None), (1, None, 5, 5, 0, None), (1, 2, 5, 5, 0, 1)], f"request_id long, turn long, {fields}")
+    assert runs.within_budget(turns).count() == 3
+    rows = [(1, None, "a", 0, 1), (2, None, "a", 1, 1), (3, "s", None, 0, 1), (4, "s", "a", 0, None), (5, "s", "a", None, 1)]
+    events = spark.createDataFrame(rows, "event_id long, scope string, caller string, at_micros long, per_minute long")
+    got = {r.event_id: r.allowed for r in ratelimit.replay(events).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_own_log_meets_its_contract(spark):
+    from packlens.operators.contract import PREDICTION_LOG, check_contract
+    from packlens.sources.sinks import prediction_log
+
+    inputs = "cycle_count double, avg_temperature_c double, avg_dod double, avg_c_rate double, calendar_age_days double, predicted_soh double"
+    log = prediction_log(spark.createDataFrame([(1.0,) * 6, (2.0,) * 6], inputs), "3")
+    assert all(r.verdict == "ok" and not r.required_broken for r in check_contract(log, PREDICTION_LOG).collect())

@@ -89,3 +89,8 @@ def test_redaction_of_whole_documents_equals_brute_force(spark, small):
     assert all(r.pii_text == by_hand(r.text) for r in got)
     twice = rules.scrub(rules.scrub(rows, "text").select("pii_text"), "pii_text", "again")
     assert twice.where("again_text <> pii_text").count() == 0
+
+
+def test_null_question_is_refused(spark):
+    row = verdicts(spark, None)[0]
+    assert not row.allowed and row.reason == "empty"

@@ -7,7 +7,8 @@ from packlens.functions import windows
 
 def hot_rows(spark):
     rng = random.Random(5)
-    rows = [("hot" if rng.random() < 0.4 else f"k{i % 7}", i, rng.randint(0, 9)) for i in range(2000)]
+    rows = [("hot" if rng.random() < 0.4 else None if i % 7 == 0 else f"k{i % 7}", i, rng.randint(0, 9)) for i in range(2000)]
+    rows.append((None, None, 3))
     return spark.createDataFrame(rows, "k string, t long, v long")
 
 
@@ -23,10 +24,12 @@ def test_running_totals_equal_one_window(spark):
 def test_sliced_counts_equal_unsliced(spark, monkeypatch):
     rng = random.Random(6)
     rows = spark.createDataFrame(
-        [(f"g{i % 3}", round(rng.gauss(0, 10), 2), rng.randint(1, 4)) for i in range(900)], "g string, x double, n long"
+        [(f"g{i % 3}" if i % 4 else None, round(rng.gauss(0, 10), 2) if i % 9 else None, rng.randint(1, 4)) for i in range(900)],
+        "g string, x double, n long",
     ).groupBy("g", "x").agg(F.sum("n").alias("n"))
     columns = ["g", "x", "n", "run_n", "total_n", "next_x"]
     plain = windows.placed_counts(rows, ["g"], "x", ["n"]).select(columns).collect()
-    monkeypatch.setattr(windows, "ONE_TASK_VALUES", 0)
+    monkeypatch.setattr(windows, "ONE_SLICE_ROWS", 0)
     sliced = windows.placed_counts(rows, ["g"], "x", ["n"]).select(columns).collect()
-    assert sorted(plain) == sorted(sliced)
+    assert len(plain) == rows.count() and any(r["g"] is None for r in plain)
+    assert sorted(map(str, plain)) == sorted(map(str, sliced))
