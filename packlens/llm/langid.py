@@ -84,9 +84,13 @@ def windows_of(text: str) -> np.ndarray:
 
 def fit_network(
     windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], *, embed: int = 8, filters: int = 16,
-    epochs: int = 3, batch: int = 64, rate: float = 0.004, seed: int = 7,
+    epochs: int = 3, least_steps: int = 600, batch: int = 64, rate: float = 0.004, seed: int = 7,
 ) -> ByteNet:
-    """Trains on windows (n x (WINDOW + 3) bytes) and class numbers. The same input gives the same network."""
+    """Trains on windows (n x (WINDOW + 3) bytes) and class numbers. The same input gives the same network.
+
+    A small sample is gone through more often than ``epochs`` times, for ``least_steps`` steps in all.
+    """
+    epochs = max(epochs, -(-least_steps // -(-len(windows) // batch)))
     rng = np.random.default_rng(seed)
     total = filters * len(WIDTHS)
     mask = np.zeros((SPAN * embed, total), np.float32)

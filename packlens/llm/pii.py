@@ -139,40 +139,40 @@ def _mod97(account: str) -> bool:
     return turned.isalnum() and turned.isascii() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
-def _examples(rng: np.random.Generator) -> tuple[str, str, int]:
-    """(hint, text of a candidate, label) of one drawn format."""
+def _example(rng: np.random.Generator) -> tuple[str, str, str | None]:
+    """(hint, text, kind) of one drawn format; no kind for numbers that are no personal data."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda *a: a[int(rng.integers(len(a)))]
     hint = lambda kind: pick(*_HINTS[kind]) + pick(" ", ": ", " is ") if rng.random() < 0.7 else ""
     word = lambda: pick("ada", "grace", "j.smith", "info", "mail7", "office", "example", "north")
     which = int(rng.integers(12))
     if which == 0:
-        return hint("phone"), f"({d(3)}) {d(3)}-{d(4)}", 1
+        return hint("phone"), f"({d(3)}) {d(3)}-{d(4)}", "phone_plain"
     if which == 1:
-        return pick(*_HINTS["phone"]) + " ", pick(f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}"), 1
+        return pick(*_HINTS["phone"]) + " ", pick(f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}"), "phone_plain"
     if which == 2:
         at, dot = pick((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "))
-        return hint("mail"), f"{word()}{at}{word()}{dot}com", 1
+        return hint("mail"), f"{word()}{at}{word()}{dot}com", "email_spelled"
     if which == 3:
         land, body = pick("DE", "FR", "ES", "GB"), d(18)
         check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
         whole = f"{land}{check:02d}{body}"
-        return hint("bank"), pick(whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))), 1
+        return hint("bank"), pick(whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))), "iban"
     if which == 4:
-        return pick(*_HINTS["identity"]) + " ", f"{rng.integers(100, 899)}-{rng.integers(10, 99)}-{d(4)}", 1
+        return pick(*_HINTS["identity"]) + " ", f"{rng.integers(100, 899)}-{rng.integers(10, 99)}-{d(4)}", "national_id"
     if which == 5:
-        return hint("net"), ":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)), 1
+        return hint("net"), ":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)), "ip6"
     if which == 6:
-        return hint("against") if rng.random() < 0.5 else "", d(int(rng.integers(9, 20))), 0
+        return hint("against") if rng.random() < 0.5 else "", d(int(rng.integers(9, 20))), None
     if which == 7:
-        return hint("against"), f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)} {rng.integers(10, 24)}", 0
+        return hint("against"), f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)} {rng.integers(10, 24)}", None
     if which == 8:
-        return hint("against"), f"{d(2)}.{d(2)}.{d(3)}", 0
+        return hint("against"), f"{d(2)}.{d(2)}.{d(3)}", None
     if which == 9:
-        return "", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", 0
+        return "", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", None
     if which == 10:
-        return hint("against"), pick(f"{d(3)} {d(3)} {d(3)}", f"{d(2)}-{d(3)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(3)}"), 0
-    return "", f"{pick('GB', 'XX')}{d(2)} {d(4)} {d(4)}", 0
+        return hint("against"), pick(f"{d(3)} {d(3)} {d(3)}", f"{d(2)}-{d(3)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(3)}"), None
+    return "", f"{pick('GB', 'XX')}{d(2)} {d(4)} {d(4)}", None
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", examples: int = 3000, seed: int = 2) -> Boosted:
@@ -187,7 +187,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", examples:
     rng = np.random.default_rng(seed)
     x, y = [], []
     for _ in range(examples):
-        hint, span, label = _examples(rng)
+        hint, span, wanted = _example(rng)
         at = int(rng.integers(len(words)))
         before, after = " ".join(words[at : at + 6]), " ".join(words[at + 6 : at + 10])
         whole = f"{before} {hint}{span} {after}"
@@ -195,7 +195,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", examples:
         for kind, s, e in candidates(whole):
             if s < start + len(span) and e > start:
                 x.append(described(whole, kind, s, e))
-                y.append(float(label and kind != "number" and s == start and e == start + len(span)))
+                y.append(float(kind == wanted and s == start and e == start + len(span)))
     for t in texts:
         taken = base_spans(t)
         for kind, s, e in candidates(t):
