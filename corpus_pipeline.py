@@ -54,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     sized = docs.withColumns({"_sources": F.array("source"), "_size": mixing.word_count(F.col("text"))})
     targets = staged(mixing.water_targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size"))), "targets")
     mixed = mixing.mix(sized, targets.select("source", "target"), sources="_sources", size="_size")
-    return mixed.filter("copies > 0").select(*docs.columns, "copies")
+    return mixed.filter("copies > 0").drop("_sources", "_size")
 
 
 STAGES = [
