@@ -92,7 +92,7 @@ def context_precision(spark: SparkSession, folder: str) -> DataFrame:
     kept = graded.gather_passages(retrieval.above_floor(hits), texts).select(
         "qid", F.transform("kept", lambda p: p["text"]).alias("contexts")
     )
-    reference = texts.select(F.col("chunk_id").alias("qid"), F.substring_index("text", ".", 3).alias("reference"))
+    reference = texts.select(F.col("chunk_id").alias("qid"), F.col("text").alias("reference"))
     covered = graded.with_groundedness(kept.join(reference, "qid"), "reference", "contexts")
     return precision.join(covered.select("qid", "groundedness"), "qid", "left").select(
         "qid",
@@ -208,7 +208,7 @@ ORACLES = {
         prec AS (SELECT qid, coalesce(avg(CASE WHEN rel=1 THEN c/rank::DOUBLE END),0) AS p FROM w GROUP BY qid),
         ctxs AS (SELECT qid, string_agg(text, ' ' ORDER BY rank) AS ctx FROM hits JOIN passages USING (chunk_id)
           WHERE rank <= {TOP_K} AND score >= {MIN_RELEVANCE} GROUP BY qid),
-        told AS (SELECT qid, ctx, array_to_string(string_split(text,'.')[1:3],'.') AS reference FROM ctxs JOIN passages ON chunk_id = qid),
+        told AS (SELECT qid, ctx, text AS reference FROM ctxs JOIN passages ON chunk_id = qid),
         {_grounded("told", "qid", "reference", "ctx", "true")}
         SELECT qid, round(p,6) AS context_precision, round(coalesce(share,0),6) AS context_recall
         FROM prec LEFT JOIN graded USING (qid)""",

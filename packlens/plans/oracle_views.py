@@ -8,7 +8,7 @@ from packlens.sources.cells import (
     SOH_EXPRESSION,
     UNCHECKED_EXPRESSIONS,
 )
-from packlens.sources.passages import KEPT_COORDINATES, PLANTED_QUESTION
+from packlens.sources.passages import KEPT_COORDINATES, PLANTED_QUESTION, TURNED
 from packlens.sources.replies import ANSWER, CONFIDENCE, VARIANT, VEC_ID
 
 
@@ -20,13 +20,14 @@ _GOOD_REPLY = f"""to_json({{'answer': {ANSWER}, 'confidence': {CONFIDENCE}, 'sou
     WHEN 0 THEN [1,99,0] WHEN 1 THEN [1,1] WHEN 2 THEN [] ELSE [2,1] END}})::VARCHAR"""
 
 _BLANKED = f"list_transform(embedding, lambda x, i: CASE WHEN i-1 < {KEPT_COORDINATES} THEN x ELSE 0 END)"
+_TURNED = f"list_transform(embedding, lambda x, j: CASE WHEN {TURNED.replace('i*11', '(j-1)*11')} THEN -x ELSE x END)"
 
 VIEWS = {
     "cell_samples": _select(CELL_EXPRESSIONS, "lineitem"),
     "labelled_cells": f"SELECT *, {SOH_EXPRESSION} AS soh FROM cell_samples",
     "score_requests": _select(REQUEST_EXPRESSIONS, "events"),
     "unchecked_requests": _select(UNCHECKED_EXPRESSIONS, "events"),
-    "vector_queries": f"SELECT vec_id AS qid, {_BLANKED} AS embedding, label % 3 <> 0 AS answerable, label FROM embeddings",
+    "vector_queries": f"SELECT vec_id AS qid, {_TURNED} AS embedding, label % 3 <> 0 AS answerable, label FROM embeddings",
     "hits": """SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
         SELECT qid, vec_id AS chunk_id,
           round(coalesce(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]),0),10) AS score

@@ -39,12 +39,10 @@ def context_block(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_self_check(spark: SparkSession, folder: str) -> DataFrame:
+    # The index holds only the chunks that were written; the rest retrieve nothing.
     chunks = views.passages(spark, folder)
-    own = views.vectors(spark, folder)
-    held = chunks.join(own.select("chunk_id"), "chunk_id", "left_semi")
-    queries = own.withColumnRenamed("chunk_id", "qid")
-    # The index itself holds only the chunks that were written; the rest retrieve nothing.
-    checked = ops.self_retrieval(held, queries, views.corrupt_vectors(spark, folder))
+    queries = views.vectors(spark, folder).withColumnRenamed("chunk_id", "qid")
+    checked = ops.self_retrieval(chunks, queries, views.corrupt_vectors(spark, folder))
     return checked.select(
         "chunk_id", "best_id", F.round("score", 4).alias("score"), F.coalesce("problem", F.lit("sound")).alias("verdict")
     )
@@ -108,8 +106,7 @@ ORACLES = {
         SELECT o.chunk_id, b.chunk_id AS best_id, round(score,4) AS score,
           CASE WHEN b.chunk_id IS NULL THEN 'retrieved nothing' WHEN o.text IS DISTINCT FROM w.text THEN 'outranked'
             WHEN score < {SELF_RETRIEVAL_FLOOR} THEN 'weak' ELSE 'sound' END AS verdict
-        FROM passages o LEFT JOIN b ON b.qid = o.chunk_id LEFT JOIN passages w ON w.chunk_id = b.chunk_id
-        WHERE o.chunk_id IN (SELECT vec_id FROM embeddings)""",
+        FROM passages o LEFT JOIN b ON b.qid = o.chunk_id LEFT JOIN passages w ON w.chunk_id = b.chunk_id""",
     ),
     "relevance_calibration": with_views(
         ["vector_queries", "hits"],

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.sources.tables import spread, table
 
-# How many leading coordinates of a vector its query keeps: relevance then runs from about
-# 0.5 to 1.0, on both sides of the floors. Same text in Spark and DuckDB.
+# How many leading coordinates a damaged vector keeps. Same text in Spark and DuckDB.
 KEPT_COORDINATES = "16+(vec_id*7)%49"
+# Which coordinates i (from 0) of a vector its query turns around, spread over the whole length: of 64
+# up to 16, so that relevance runs from about 0.5 to 1.0, on both sides of the floors. Same text in both.
+TURNED = "(i*11+vec_id*5)%64 >= 48+(vec_id*7)%17"
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,12 +22,10 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Each stored vector, partly blanked, as a query; two of three classes are answerable."""
-    keep = F.expr(KEPT_COORDINATES)
-    blanked = F.transform("embedding", lambda x, i: F.when(i < keep, x).otherwise(F.lit(0.0).cast("float")))
+    """Each stored vector with some coordinates turned around as a query; two of three classes are answerable."""
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("qid"),
-        blanked.alias("embedding"),
+        F.expr(f"transform(embedding, (x, i) -> CASE WHEN {TURNED} THEN -x ELSE x END)").alias("embedding"),
         (F.col("label") % 3 != 0).alias("answerable"),
         "label",
     )
