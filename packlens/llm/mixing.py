@@ -145,6 +145,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: st
         "_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(size)), 64 - 3 * BITS)
     )
     narrow = staged(rows.select(key, size, sources, "_pattern", "_h"), "sizes")
+    kept = _kept_patterns(narrow, size, sources)
+    if kept is not None:
+        rows = _folded(rows, kept, sources)
+        narrow = staged(_folded(narrow, kept, sources).withColumn(sources, F.from_json("_pattern", "array<string>")), "sizes")
     plan = _flows(narrow.groupBy("_pattern", sources).agg(F.sum(size).alias("words")), targets, sources)
     # Where the flow of a pattern stops in the seeded order: by first digits of the hash, then by the next ones, then by rows.
     first, second = F.shiftright("_h", 2 * BITS), F.shiftright("_h", BITS) % (1 << BITS)
@@ -190,13 +194,31 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: st
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], "copies")
 
 
+def _kept_patterns(rows: DataFrame, size: str, sources: str) -> DataFrame | None:
+    """The largest patterns of several sources, where there are more than the network may have; else None."""
+    several = rows.filter(F.size(F.array_distinct(sources)) > 1).groupBy("_pattern").agg(F.sum(size).alias("_words"))
+    several = staged(several, "several")
+    if several.count() <= MOST_PATTERNS:
+        return None
+    return staged(several.orderBy(F.desc("_words"), "_pattern").limit(MOST_PATTERNS).select("_pattern", F.lit(True).alias("_keep")), "kept")
+
+
+def _folded(rows: DataFrame, kept: DataFrame, sources: str) -> DataFrame:
+    """Rows of other patterns of several sources get the pattern of one of these, by their hash."""
+    names = F.array_sort(F.array_distinct(sources))
+    one = F.array(F.element_at(names, (F.col("_h") % F.greatest(F.size(names), F.lit(1)) + 1).cast("int")))
+    fold = (F.size(names) > 1) & F.col("_keep").isNull()
+    marked = rows.join(F.broadcast(kept), "_pattern", "left")
+    return marked.withColumn("_pattern", F.when(fold, F.to_json(one)).otherwise(F.col("_pattern"))).drop("_keep")
+
+
 def _flows(patterns: DataFrame, targets: DataFrame, sources: str) -> DataFrame:
     """(_pattern, _rounds, _rest): how often a pattern is taken whole, and the words beyond."""
     patterns = staged(patterns.filter(F.size(sources) > 0), "patterns")
     # A pattern that names a source twice is the same pattern.
     merged = patterns.groupBy("_pattern").agg(F.sum("words").alias("words"), F.first(sources).alias(sources))
     quotas = targets.select(F.col("source").alias("name"), F.floor("target").alias("quota"))
-    many = merged.filter(F.size(F.array_distinct(sources)) > 1).orderBy(F.desc("words"), "_pattern").limit(MOST_PATTERNS)
+    many = merged.filter(F.size(F.array_distinct(sources)) > 1)  # MOST_PATTERNS at most
     shared = [(r["_pattern"], r["words"]) for r in many.select("_pattern", "words").collect()]
     alone = merged.filter(F.size(F.array_distinct(sources)) == 1).withColumn("source", F.element_at(sources, 1)).drop(sources)
     flows = alone.join(quotas, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("flow", F.coalesce("quota", F.lit(0)))

@@ -74,6 +74,18 @@ def test_mix_meets_targets_with_overlap(spark):
     assert mix(docs.limit(0), targets).collect() == []
 
 
+def test_patterns_beyond_the_network_count_for_one_source(spark, monkeypatch):
+    from packlens.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    names = [["a", "b"], ["a", "c"], ["b", "c"], ["a"], ["b"], ["c"]]
+    docs = spark.createDataFrame([(i, names[i % 6], 10 + i % 3) for i in range(600)], "doc_id long, sources array<string>, size long")
+    targets = spark.createDataFrame([("a", 2000.0), ("b", 3000.0), ("c", 1000.0)], "source string, target double")
+    got = mix(docs, targets).collect()
+    assert len(got) == 600 and abs(sum(r["copies"] * r["size"] for r in got) - 6000) < 20
+    assert sorted(map(tuple, (r["sources"] for r in got))) == sorted(map(tuple, (names[i % 6] for i in range(600))))
+
+
 def test_mix_query(spark, small):
     got = op6_source_mix(spark, small).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
