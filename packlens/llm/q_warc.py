@@ -18,5 +18,15 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(x, 1 + 5 * (k // 4), 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31) + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 QUERIES = {"op1_warc_salvage": op1_warc_salvage}
-SQL: dict[str, str] = {}
+SQL = {"op1_warc_salvage": OP1}
