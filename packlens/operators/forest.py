@@ -19,14 +19,16 @@ RUN_SCHEMA = (
 )
 
 
-def fit_forest(cells: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED) -> PipelineModel:
+def fit_forest(
+    cells: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED, partitions: int = FOREST_PARTITIONS
+) -> PipelineModel:
     """A forest over the stress features; every feature is considered at every split.
 
     Sampling is seeded by partition, so rows are dealt to a fixed number of partitions by their
     values and sorted: the same rows give the same forest however they were read.
     """
     columns = [*FEATURES, "soh"]
-    dealt = with_features(cells, "soh").repartition(FOREST_PARTITIONS, *columns).sortWithinPartitions(*columns)
+    dealt = with_features(cells, "soh").repartition(partitions, *columns).sortWithinPartitions(*columns)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestRegressor(
         featuresCol="features",
@@ -47,11 +49,11 @@ def score(model: PipelineModel, requests: DataFrame, *keep: str) -> DataFrame:
 
 
 def train_and_test(
-    cells: DataFrame, key: str = "cell_id", trees: int = FOREST_TREES, depth: int = FOREST_DEPTH
+    cells: DataFrame, key: str = "cell_id", trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, partitions: int = FOREST_PARTITIONS
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training rows; the metrics are those of the held-out rows."""
     marked = split_train_test(cells, key, TEST_SHARE, SEED)
-    model = fit_forest(marked.where(~F.col("is_test")), trees, depth)
+    model = fit_forest(marked.where(~F.col("is_test")), trees, depth, partitions=partitions)
     tested = score(model, marked.where("is_test"), "soh")
     return model, regression_metrics(tested, "soh", "predicted_soh")
 
@@ -62,10 +64,11 @@ def next_version(runs: DataFrame, model: str = MODEL_NAME) -> int:
 
 
 def record_training(
-    spark: SparkSession, cells: DataFrame, folder: str, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH
+    spark: SparkSession, cells: DataFrame, folder: str, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
+    partitions: int = FOREST_PARTITIONS,
 ) -> DataFrame:
     """Train, save the model below ``folder`` and append a row to its runs table; returns the row."""
-    model, metrics = train_and_test(cells, trees=trees, depth=depth)
+    model, metrics = train_and_test(cells, trees=trees, depth=depth, partitions=partitions)
     figures = metrics.first()
     runs_path = f"{folder}/runs"
     # An empty append creates the table, so the first run needs no special case.

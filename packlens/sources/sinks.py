@@ -30,7 +30,7 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def prediction_log(scored: DataFrame, version: str | None = None) -> DataFrame:
+def prediction_log(scored: DataFrame, version: str | None = None, *keep: str) -> DataFrame:
     """Scored requests in the log's shape: a random id, doubles, the model version as text, a time of writing.
 
     Ids are drawn from 2^63 numbers, so that jobs that append side by side need no common counter.
@@ -42,6 +42,7 @@ def prediction_log(scored: DataFrame, version: str | None = None) -> DataFrame:
         *[F.col(c).cast("double").alias(c) for c in inputs],
         F.col("predicted_soh").cast("double").alias("predicted_soh"),
         F.lit(version or "unknown").alias("model_version"),
+        *keep,
     )
 
 

@@ -46,9 +46,9 @@ def screen(questions: DataFrame, text: str = "question") -> DataFrame:
     return screening.screen_questions(questions, text)
 
 
-def score(requests: DataFrame, model: PipelineModel, version: str) -> DataFrame:
-    """Scored requests in the shape of the prediction log."""
-    return prediction_log(forest.score(model, requests), version)
+def score(requests: DataFrame, model: PipelineModel, version: str, *keep: str) -> DataFrame:
+    """Scored requests in the shape of the prediction log, next to the columns to keep."""
+    return prediction_log(forest.score(model, requests, *keep), version, *keep)
 
 
 def access_rollup(log: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:

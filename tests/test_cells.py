@@ -94,8 +94,8 @@ def test_drift_refuses_an_empty_side(spark, small):
 
 def test_forest_is_accurate_and_versions_count_up(spark, small, tmp_path):
     rows = views.labelled_cells(spark, small)
-    first = forest.record_training(spark, rows, str(tmp_path), trees=6, depth=7).first()
-    second = forest.record_training(spark, rows, str(tmp_path), trees=2, depth=3).first()
+    first = forest.record_training(spark, rows, str(tmp_path), trees=6, depth=7, partitions=4).first()
+    second = forest.record_training(spark, rows, str(tmp_path), trees=2, depth=3, partitions=4).first()
     assert first.r2 > 0.6 and first.features == list(cells.FEATURES)
     assert first.n_train + first.n_test == rows.count()
     assert (first.version, second.version) == ("1", "2")

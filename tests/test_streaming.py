@@ -55,7 +55,7 @@ def test_sessions_of_callers(spark, small, tmp_path):
 
 def test_tools_over_tables(spark, small, tmp_path):
     cells = views.labelled_cells(spark, small)
-    model = forest.fit_forest(cells, trees=3, depth=4)
+    model = forest.fit_forest(cells, trees=3, depth=4, partitions=4)
     log = str(tmp_path / "log")
     requests = views.score_requests(spark, small)
     assert api.predict_soh(requests, model, log=log).count() == 1000
