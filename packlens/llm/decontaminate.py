@@ -31,6 +31,11 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), _GAP), "")
 
 
+def _kept(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row: the optimizer would else repeat it inside each lambda."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def _shingled(rows: DataFrame, size: int) -> DataFrame:
     """Replaces ``words`` by the distinct shingles' texts, ``shingles``; with fewer words the whole sequence is one."""
     n = F.size("words")
@@ -47,7 +52,7 @@ def _shingled(rows: DataFrame, size: int) -> DataFrame:
 
 def _hashed(rows: DataFrame, size: int) -> DataFrame:
     """Replaces ``words`` by ``hashes``, one 64-bit number for each distinct shingle."""
-    rows = rows.withColumn("each", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    rows = _kept(rows, "each", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
     n = F.size("each")
     return rows.withColumn(
         "hashes",
@@ -74,7 +79,7 @@ def leaks(
     """
     texts = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(doc_text).alias("t"))
     tests = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    words = lambda rows, key: rows.select(key, word_array(F.col("t")).alias("words"))
+    words = lambda rows, key: _kept(rows.select(key, "t"), "words", word_array(F.col("t"))).select(key, "words")
 
     size_of = F.size("hashes")
     need = F.floor((size_of * percent + 99) / 100).cast("int")
