@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.operators.retrieval import self_retrieval
@@ -35,12 +37,15 @@ def publish_verified(
     path: str,
     floor: float = SELF_RETRIEVAL_FLOOR,
 ) -> DataFrame:
-    """Stage (chunk_id, source, text, embedding) rows, check them, and publish if all are sound.
+    """Write (chunk_id, source, text, embedding) rows as a version, check it, and publish it if all are sound.
 
-    ``queries`` holds the vectors recomputed from the texts, with qid = chunk_id. Nothing is
-    published when a chunk fails; the error says how many did and names a few.
+    ``queries`` holds the vectors recomputed from the texts, with qid = chunk_id. A version is
+    written once, below ``path``; publishing adds one row that points to it, so readers see the old
+    index or the new one. Nothing is published when a chunk fails; the error says how many did,
+    names a few and tells where all are listed.
     """
-    staged = replace_table(spark, chunks, "index", staging_path(spark, "index"))
+    version = f"{path}/versions/{uuid.uuid4().hex}"
+    staged = replace_table(spark, chunks, "index", version)
     checked = self_retrieval(staged, queries, staged.select("chunk_id", "embedding"), floor)
     # Staged as well: the search behind it runs once for the count and the examples.
     listed = staging_path(spark, "index-problems")
@@ -49,4 +54,12 @@ def publish_verified(
     if found:
         examples = [f"{r['chunk_id']}: {r['problem']}" for r in problems.orderBy("chunk_id").limit(10).collect()]
         raise IndexProblems(found, examples, listed)
-    return replace_table(spark, staged, "index", path)
+    pointer = spark.createDataFrame([(version,)], "location string").withColumn("published_at", F.current_timestamp())
+    append_rows(pointer.coalesce(1), f"{path}/published")
+    return published_index(spark, path)
+
+
+def published_index(spark: SparkSession, path: str) -> DataFrame:
+    """The version of the index that was published last."""
+    newest = spark.read.parquet(f"{path}/published").orderBy(F.desc("published_at"), F.desc("location")).first()
+    return spark.read.parquet(newest["location"])

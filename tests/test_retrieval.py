@@ -88,7 +88,10 @@ def test_publishing_stops_on_a_bad_vector(spark, tmp_path):
     with pytest.raises(ingest.IndexProblems) as caught:
         ingest.publish_verified(spark, bad, queries, path)
     assert caught.value.total == 1 and caught.value.examples == ["2: outranked"]
-    assert spark.read.parquet(path).where("chunk_id = 2").first()["embedding"] == [0.0, 1.0]
+    assert spark.read.parquet(caught.value.path).count() == 1
+    assert ingest.published_index(spark, path).where("chunk_id = 2").first()["embedding"] == [0.0, 1.0]
+    assert ingest.publish_verified(spark, good.where("chunk_id = 1"), queries, path).count() == 1
+    assert ingest.published_index(spark, path).count() == 1
 
 
 def test_calibration_uses_the_exclusive_quartile(spark):
