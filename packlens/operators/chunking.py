@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,6 +73,80 @@ def boundary_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, in
             position += gap
 
 
+# Where a text is cut, the coarsest first; the empty one cuts between characters.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def recursive_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of at most ``size`` characters, merged from pieces between the coarsest separators that do.
+
+    A text is cut at its coarsest separator; pieces of ``size`` or more are cut again at the next
+    one. Pieces are merged up to ``size``; a chunk starts with the last pieces of the one before, up
+    to ``overlap`` characters. Chunks lose white space at both ends. Blank texts give none.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be below size")
+
+    @F.pandas_udf("array<struct<start:int,chunk:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "chunk": t[s:e]} for s, e in recursive_spans(t, size, overlap)] for t in texts])
+
+    rows = documents.where(F.length(text) > 0).withColumn("_chunks", cut(F.col(text)))
+    return _one_each(rows).where(F.col("chunk").isNotNull())
+
+
+def recursive_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each chunk of ``recursive_chunks``."""
+    reached = 0
+    for start, end in _merged_pieces(text, 0, len(text), SEPARATORS, size, overlap):
+        inner = text[start:end]
+        start += len(inner) - len(inner.lstrip())
+        end = start + len(inner.strip())
+        if end > max(start, reached):  # else it repeats the overlap and white space alone
+            yield start, end
+            reached = end
+
+
+def _merged_pieces(text: str, start: int, end: int, separators: tuple[str, ...], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks of one part of the text: runs of short pieces are merged, long pieces are cut further."""
+    while len(separators) > 1 and text.find(separators[0], start, end) < 0:
+        separators = separators[1:]
+    short: list[tuple[int, int]] = []
+    for piece in _pieces(text, start, end, separators[0]):
+        if piece[1] - piece[0] < size or len(separators) == 1:
+            short.append(piece)
+            continue
+        yield from _merged(short, size, overlap)
+        short = []
+        yield from _merged_pieces(text, *piece, separators[1:], size, overlap)
+    yield from _merged(short, size, overlap)
+
+
+def _pieces(text: str, start: int, end: int, separator: str) -> Iterator[tuple[int, int]]:
+    """The part cut before each separator."""
+    if not separator:
+        yield from ((i, i + 1) for i in range(start, end))
+        return
+    at = start
+    while (found := text.find(separator, at + len(separator) if at > start or text.startswith(separator, start) else start, end)) >= 0:
+        yield at, found
+        at = found
+    if end > at:
+        yield at, end
+
+
+def _merged(pieces: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    held: deque[tuple[int, int]] = deque()
+    for piece in pieces:
+        if held and piece[1] - held[0][0] > size:
+            yield held[0][0], held[-1][1]
+            while held and (held[-1][1] - held[0][0] > overlap or piece[1] - held[0][0] > size):
+                held.popleft()
+        held.append(piece)
+    if held:
+        yield held[0][0], held[-1][1]
+
+
 def _one_each(rows: DataFrame) -> DataFrame:
     """One row for each of the ``_chunks``."""
     # The outer form keeps the optimizer from computing the chunks twice, once as a filter.

@@ -50,6 +50,10 @@ def chunk_boundary(spark: SparkSession, folder: str) -> DataFrame:
     return _digested(chunking.boundary_chunks(spread(table(spark, folder, "documents").select("doc_id", "text"))))
 
 
+def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    return _digested(chunking.recursive_chunks(spread(table(spark, folder, "documents").select("doc_id", "text"))))
+
+
 def ingest_idempotent(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks held after writing twice with a reset, and after writing once more without."""
     chunks = chunking.fixed_chunks(corpus.usable(_named(spark, folder)))
@@ -78,6 +82,7 @@ QUERIES = {
     "corpus_scan": corpus_scan,
     "chunk_fixed": chunk_fixed,
     "chunk_boundary": chunk_boundary,
+    "chunk_recursive": chunk_recursive,
     "ingest_idempotent": ingest_idempotent,
     "ingest_verified": ingest_verified,
 }

@@ -183,3 +183,20 @@ def test_chunking_takes_linear_time(spark):
     for cut in (chunking.fixed_chunks, chunking.boundary_chunks):
         seconds(1000, cut)
         assert seconds(1_600_000, cut) < 8 * seconds(400_000, cut) + 2
+
+
+def test_recursive_chunks_cover_every_text():
+    import random
+
+    from packlens.operators.chunking import recursive_spans
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "bb", "ccc", " ", "\n", "\n\n", "  "]) for _ in range(rng.randint(0, 80)))
+        size = rng.randint(2, 30)
+        spans = list(recursive_spans(text, size, rng.randint(0, size - 1)))
+        assert all(0 < e - s <= size and text[s:e] == text[s:e].strip() for s, e in spans)
+        assert {i for i, c in enumerate(text) if not c.isspace()} <= {i for s, e in spans for i in range(s, e)}
+        assert all(a[1] < b[1] for a, b in zip(spans, spans[1:]))
+    text = "para one here.\n\npara two is a bit longer than that\nline"
+    assert [text[s:e] for s, e in recursive_spans(text, 20, 6)] == ["para one here.", "para two is a bit", "a bit longer than", "than that", "line"]
