@@ -30,7 +30,7 @@ from packlens.llm.shingles import SHINGLE, Shingler, Signer, digest_of
 COORDINATES = 64
 MATCHES = 40
 PREFIX = 12
-#: Members of a block of a posting list, and shingles of a block of a family.
+#: Members of a block of a posting list or a family, and shingles of a block of a family.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 17
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -60,7 +60,8 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     )
     links = components(_exact_edges(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), family, size, percent))
     named = nodes.join(links, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = staged(named, "named")
+    least = staged(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
     answer = staged(named.join(least, "component").select("digest", "least"), "answer")
     return (
         rows.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
@@ -108,7 +109,7 @@ def _in_cells(rows: DataFrame, group: str, blocks: str, member: str) -> DataFram
 def _soft_edges(nodes: DataFrame) -> DataFrame:
     """Spanning forests of the pairs that agree in MATCHES coordinates and share a posted one."""
     posted = nodes.select("node", F.explode("posts").alias("token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    lists = staged(posted.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
     members = posted.join(lists, "token").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     rows = members.join(nodes.select("node", "sig"), "node")
     cells = _in_cells(rows, "token", "blocks", "node").select("token", "x", "y", "own", "node", "sig")
@@ -123,9 +124,10 @@ def _soft_edges(nodes: DataFrame) -> DataFrame:
 
 def _exact_edges(texts: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
     """Spanning forests of the pairs of a family whose whole sets meet the threshold."""
-    sizes = family.groupBy("family").agg(F.sum("n").alias("all"), F.count("*").alias("members")).filter("members > 1")
+    sizes = staged(family.groupBy("family").agg(F.sum("n").alias("all"), F.count("*").alias("members")).filter("members > 1"), "sizes")
     wanted = family.join(sizes, "family").select(
-        "rep", F.col("digest").alias("wanted"), "node", "family", F.ceil(F.col("all") / BLOCK_SHINGLES).alias("blocks")
+        "rep", F.col("digest").alias("wanted"), "node", "family",
+        F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK)).alias("blocks"),
     )
     found = texts.filter("id is not null").join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep")).select("t", "wanted", "node", "family", "blocks")
 
@@ -181,20 +183,12 @@ def _forests(cells: DataFrame, by: list[str], pairs: Callable[[np.ndarray, list[
     sorted_rows = cells.repartition(*by).sortWithinPartitions(*by)
 
     def forest(nodes: np.ndarray, own: np.ndarray, payload: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parent = np.arange(len(nodes))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        top = np.arange(len(nodes))
         for i, others in pairs(own, payload):
-            for j in others:
-                a, b = root(i), root(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        top = np.array([root(i) for i in range(len(nodes))])
+            if len(others):
+                met = np.unique(np.append(top[others], top[i]))
+                for label in met[1:]:
+                    top[top == label] = met[0]
         moved = np.flatnonzero(top != np.arange(len(nodes)))
         return nodes[moved], nodes[top[moved]]
 
