@@ -5,19 +5,21 @@
 2. A class's min-hash signature has ``COORDINATES`` coordinates. It is posted under the (coordinate,
    value) pairs of its prefix. Lists of one class are skipped. The other lists are cut into blocks
    and each two blocks of a list meet in one task, which counts the coordinates in which two
-   signatures agree and joins those with at least ``MATCHES``. A task returns a spanning forest,
+   signatures agree and joins those with at least ``matches(percent)``. A task returns a spanning forest,
    never its pairs. What is connected this way is a family.
 3. In a family, again cut into blocks, whole shingle sets are compared exactly: each two sets meet
    in one task, through products of incidence matrices. A spanning forest of the confirmed links
    leaves each task, and connected components of these give the result.
 
-A pair at the threshold of 0.85 agrees in fewer than 40 of 64 coordinates, or misses all 12 posted
-ones, with a chance of some millionths; no list, group or number of candidates is capped.
+A pair at the threshold agrees in fewer coordinates than that (40 of 64 at 0.85, 35 at 0.80), or at
+0.80 and more misses all 12 posted ones, with a chance of some millionths; no list, group or number
+of candidates is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from packlens.llm.graph import components
 from packlens.llm.shingles import SHINGLE, Shingler, Signer, digest_of
 
 COORDINATES = 64
-MATCHES = 40
+#: Chance that a pair at the threshold agrees in fewer coordinates than are asked for.
+MISSED = 2.5e-6
 PREFIX = 12
 #: Members of a block of a posting list or a family, and shingles of a block of a family.
 BLOCK = 1024
@@ -37,6 +40,16 @@ BLOCK_SHINGLES = 1 << 17
 PERCENT = 85
 
 
+def matches(percent: int) -> int:
+    """The most coordinates that can be asked for, so that a pair at ``percent`` is missed with a chance of ``MISSED`` at most."""
+    p, missed = percent / 100, 0.0
+    for k in range(COORDINATES):
+        missed += comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if missed > MISSED:
+            return k
+    return COORDINATES
+
+
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: (key, n_shingles, component_id, kept).
 
@@ -54,7 +67,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     )
     # One key may stand for several texts; the node of the graph is the class, named by its digest.
     nodes = classes.withColumn("node", F.xxhash64("rep", "digest"))
-    families = components(_soft_edges(nodes))
+    families = components(_soft_edges(nodes, matches(percent)))
     family = staged(
         nodes.join(families, "node").select("rep", "digest", "node", F.col("n").cast("long").alias("n"), F.col("component").alias("family")), "family"
     )
@@ -106,8 +119,8 @@ def _in_cells(rows: DataFrame, group: str, blocks: str, member: str) -> DataFram
     )
 
 
-def _soft_edges(nodes: DataFrame) -> DataFrame:
-    """Spanning forests of the pairs that agree in MATCHES coordinates and share a posted one."""
+def _soft_edges(nodes: DataFrame, least: int) -> DataFrame:
+    """Spanning forests of the pairs that agree in ``least`` coordinates and share a posted one."""
     posted = nodes.select("node", F.explode("posts").alias("token"))
     lists = staged(posted.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
     members = posted.join(lists, "token").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
@@ -117,7 +130,7 @@ def _soft_edges(nodes: DataFrame) -> DataFrame:
     def agree(own: np.ndarray, sig: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         s = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), COORDINATES)
         for i in range(len(s) - 1):
-            yield i, i + 1 + np.flatnonzero((s[i + 1 :] == s[i]).sum(axis=1) >= MATCHES)
+            yield i, i + 1 + np.flatnonzero((s[i + 1 :] == s[i]).sum(axis=1) >= least)
 
     return _forests(cells, ["token", "x", "y"], agree)
 

@@ -72,6 +72,22 @@ def test_groups_are_those_of_all_pairs(spark):
             assert r["n_shingles"] == len(shingles(dict((a, b) for a, b, *_ in rows)[r["doc_id"]]))
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_groups_at_lower_thresholds(spark, percent):
+    """Pairs of one text and a copy with more or fewer words changed, each pair alone."""
+    texts = []
+    for n in range(40):
+        t = [f"p{n}_{i}" for i in range(200)]
+        texts.append(" ".join(t))
+        for k in range(n % 20):
+            t[6 * k] = "new"
+        texts.append(" ".join(t))
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=percent).collect()}
+    sets = [shingles(t) for t in texts]
+    linked = [100 * len(sets[i] & sets[i + 1]) >= percent * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert got == {j: i if linked[i // 2] else j for i in range(0, 80, 2) for j in (i, i + 1)} and 0 < sum(linked) < 40
+
+
 def test_groups_of_repeated_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_groups(docs).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
