@@ -1,11 +1,14 @@
-"""Removal of repeated passages by sliding runs of sentences.
-
-A text is cut into sentences that together are the whole text: at a full stop, exclamation or
-question mark, at a line's end, and after ``LONGEST`` words where none comes. Every run of at least
-``LEAST_SENTENCES`` consecutive sentences with at least ``LEAST_WORDS`` words is hashed, in its shortest
-form from each first and to each last sentence. The hashes of all texts meet in one aggregation; the
-occurrence of least (key, position) is the first, and sentences covered by any other occurrence of
-a repeated run are removed. Spelling counts without case of A-Z and width of white space.
+"""Removal of repeated passages by sliding runs of sentences and pieces of them.
+
+A text is cut into pieces that together are the whole text: at a full stop, exclamation or question
+mark, at a line's end, and within sentences before each word whose hash is the least among its
+``AROUND`` neighbours on either side, so that equal words get equal pieces wherever they stand; after
+``LONGEST`` words where no such place comes. Every run of consecutive pieces with at least
+``LEAST_WORDS`` words that reaches over a sentence's end, or with more than ``LONGEST`` words, is hashed
+word by word with its number of pieces, in its shortest form from each first and to each last piece. The hashes of all texts
+meet in one aggregation; the occurrence of least (key, position) is the first, and pieces covered by
+any other occurrence of a repeated run are removed. Spelling counts without case of A-Z and width of
+white space.
 """
 
 from __future__ import annotations
@@ -22,37 +25,94 @@ from pyspark.sql import DataFrame, functions as F
 from packlens.llm.common import lower_ascii, staged
 from packlens.llm.shingles import mixed
 
-LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 LONGEST = 24
-_SENTENCE = re.compile(r"[^.!?\s]*(?:[^\S\n]+[^.!?\s]+){0,%d}[^\S\n]*[.!?]*\s*" % (LONGEST - 1))
+AROUND = 3
+_SENTENCE = re.compile(r"[^.!?\s]*(?:[^\S\n]+[^.!?\s]+)*[^\S\n]*[.!?]*\s*")
+_WORD = re.compile(r"\s*\S+\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_KNOWN_WORDS = 500_000
+_known: dict[str, int] = {}
+
+
+def _hashes(split: list[list[str]], n: int) -> np.ndarray:
+    """Hashes of all ``n`` words, in order."""
+    if len(_known) >= _KNOWN_WORDS:
+        _known.clear()
+    for w in {w for words in split for w in words if w not in _known}:
+        _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter((_known[w] for words in split for w in words), np.uint64, n)
+
+
+def _least(hashed: np.ndarray) -> np.ndarray:
+    """Positions whose hash is below those of the neighbours before and not above those after."""
+    n, r = len(hashed), AROUND
+    if n <= 2 * r:
+        return np.empty(0, np.int64)
+    own = hashed[r : n - r]
+    found = np.ones(len(own), bool)
+    for j in range(1, r + 1):
+        found &= (own < hashed[r - j : n - r - j]) & (own <= hashed[r + j : n - r + j])
+    return np.flatnonzero(found) + r
 
 
 def sentences(text: str | None) -> list[str]:
     """Pieces of a text that together are the text; none for null and empty texts."""
-    return [p for p in _SENTENCE.findall(text) if p] if text else []
+    whole = [p for p in _SENTENCE.findall(text) if p] if text else []
+    split = [lower_ascii(p).split() for p in whole]
+    size = [len(w) for w in split]
+    places = _least(_hashes(split, sum(size))).tolist()
+    out: list[str] = []
+    begin, k = 0, 0
+    for p, n in zip(whole, size, strict=True):
+        cuts, last = [], 0
+        while k < len(places) and places[k] < begin + n:
+            if places[k] > begin:
+                cuts.append(places[k] - begin)
+            k += 1
+        begin += n
+        if not cuts and n <= LONGEST:
+            out.append(p)
+            continue
+        words = _WORD.findall(p)
+        for cut in [*cuts, n]:
+            while cut > last:
+                stop = min(cut, last + LONGEST)
+                out.append("".join(words[last:stop]))
+                last = stop
+    return out
 
 
 def runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, number of sentences and hash of each shortest run from a first or to a last sentence."""
+    """First piece, number of pieces and hash of each shortest run from a first or to a last piece."""
     split = [lower_ascii(p).split() for p in pieces]
     words = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    n = len(pieces)
+    n, total = len(pieces), int(words[-1])
     at = np.arange(n)
-    stop = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS, "left"), at + LEAST_SENTENCES)
-    start = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1, at + 1 - LEAST_SENTENCES)
+    ends = np.flatnonzero([bool(w) and (w[-1][-1] in ".!?" or "\n" in p) for w, p in zip(split, pieces, strict=True)])
+    # The first sentence end at or after a first piece, and the last one before a last piece.
+    after = np.append(ends, 2 * n)[np.searchsorted(ends, at)]
+    before = np.append(-1, ends)[np.searchsorted(ends, at)]
+    stop = np.minimum(after + 2, np.searchsorted(words, words[:-1] + LONGEST + 1, "left"))
+    stop = np.maximum(stop, np.searchsorted(words, words[:-1] + LEAST_WORDS, "left"))
+    start = np.maximum(before, np.searchsorted(words, words[1:] - LONGEST - 1, "right") - 1)
+    start = np.minimum(start, np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1)
     first = np.concatenate([at[stop <= n], start[start >= 0]])
     last = np.concatenate([stop[stop <= n], at[start >= 0] + 1])
+    # Pieces without words at the edges would give the same words at two places.
+    full = (words[first + 1] > words[first]) & (words[last] > words[last - 1]) if len(first) else np.empty(0, bool)
+    first, last = first[full], last[full]
     if not len(first):
         return first, first, first.astype(np.int64)
-    first, last = np.unique(np.stack([first, last]), axis=1)
-    own = np.fromiter((xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in split), np.uint64, n)
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))]).astype(np.uint64)
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BACK))]).astype(np.uint64)
+    first, last = np.divmod(np.unique(first * (n + 1) + last), n + 1)
+    own = _hashes(split, total)
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(total, _BASE))]).astype(np.uint64)
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(total, _BACK))]).astype(np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:-1], dtype=np.uint64)]).astype(np.uint64)
-    hashed = mixed((sums[last] - sums[first]) * back[first] + (words[last] - words[first]).astype(np.uint64))
+    a, b = words[first], words[last]
+    size = (b - a + ((last - first) << 32)).astype(np.uint64)
+    hashed = mixed((sums[b] - sums[a]) * back[a] + size)
     return first, last - first, hashed.view(np.int64)
 
 

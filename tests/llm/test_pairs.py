@@ -194,6 +194,35 @@ def test_runs_cover_a_passage_to_its_last_sentence():
     assert {*range(4)} == {i for f, k in zip(first, n, strict=True) for i in range(f, f + k)}
 
 
+def test_passages_in_mid_sentence_and_without_punctuation(spark):
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"w{rng.integers(3000)}" for _ in range(n)]
+    docs, passages = [], []
+    for n in range(30):
+        passage = say(60)
+        if n % 3 == 0:  # two inner sentence ends; the passage starts and ends in mid-sentence
+            passage[25] += "."
+            passage[38] += "."
+        elif n % 3 == 1:  # one inner sentence end
+            passage[30] += "."
+        passages.append(passage)
+        docs += [(2 * n + k, " ".join(say(30 + 7 * k + n) + passage + say(40 - k))) for k in (0, 1)]
+    got = {r["doc_id"]: r["text"].split() for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for n, passage in enumerate(passages):
+        own = docs[2 * n + 1][1].split()
+        assert got[2 * n] == docs[2 * n][1].split()
+        left = got[2 * n + 1]
+        assert [w for w in left if w not in passage] == [w for w in own if w not in passage]
+        assert len(own) - len(left) >= 25, n
+
+
+def test_one_short_sentence_is_no_passage(spark):
+    shared = " ".join(f"s{i}" for i in range(22)) + ". "
+    docs = [(k, f"first {k} words here. {shared}last words {k} there.") for k in range(3)]
+    got = without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == docs
+
+
 # ------------------------------------------------------------------ nearest vectors
 
 
