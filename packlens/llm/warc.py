@@ -8,8 +8,8 @@ members); that last byte is written as the line separator.
 
 Reading. A file is parsed from the start. A record counts if its version line, fields and length are
 sound and its digests, where it has any, agree; otherwise it is quarantined: the reader looks for
-the next member that can be decompressed (or, in files without compression, the next version line
-at the start of a line), goes on there, and logs the bytes between as a gap with the reason.
+the next member that can be decompressed or the next version line at the start of a line, whichever
+comes first, goes on there, and logs the bytes between as a gap with the reason.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ MEMBER_BYTES = 8 << 20
 WHOLE_FILE_BYTES = 64 << 20
 #: Longer records are taken for damaged.
 LONGEST_RECORD = 1 << 30
-LONGEST_HEAD = 1 << 16
 _PIECE = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_LATER = re.compile(rb"\nWARC/1\.[01]\r?\n")
 _ID = "urn:page:"
 
 
@@ -170,31 +170,75 @@ class Unsound(ValueError):
 
 
 def salvage(source: Held | Opened) -> Iterator[Record | Gap]:
-    """Records and gaps of a file, in order; compressed files are known by their first bytes, or else by the first member found."""
-    head = source.read(0, 5)
-    if not source.size:
-        return
-    if head.startswith(b"WARC/") or (not head.startswith(_MAGIC[:2]) and source.find(_MAGIC, 0) < 0):
-        yield from _plain(source)
-    else:
-        yield from _members(source)
+    """Records and gaps of a file, in order; members and plain records may stand side by side."""
+    at, bad, why = 0, -1, ""
+    begun, start = b"", 0  # a record whose later members follow
+    ahead = [-1, -1]  # the next first bytes of a member and the next version line, as far as looked for
 
+    def resume(place: int) -> int:
+        if ahead[0] < place:
+            found = source.find(_MAGIC, place)
+            ahead[0] = found if found >= 0 else source.size
+        if ahead[1] < place:
+            ahead[1] = _next_version(source, place)
+        return min(ahead)
 
-def _plain(source: Held | Opened) -> Iterator[Record | Gap]:
-    at, bad, why = 0, -1, ""
     while at < source.size:
+        if source.read(at, 3) != _MAGIC:
+            if begun:
+                if bad < 0:
+                    bad, why = start, "block is cut"
+                begun = b""
+            try:
+                record = _parse(source, at)
+            except Unsound as problem:
+                if bad < 0:
+                    bad, why = at, str(problem)
+                at = resume(at + 1)
+                continue
+            if bad >= 0:
+                yield Gap(bad, at, why)
+                bad = -1
+            yield record
+            at = record.end
+            continue
         try:
-            record = _parse(source, at)
+            content, end = _inflate(source, at)
         except Unsound as problem:
             if bad < 0:
-                bad, why = at, str(problem)
-            at = _next_version(source, at + 1)
+                bad, why = start if begun else at, str(problem)
+            begun = b""
+            at = resume(at + 1)
             continue
-        if bad >= 0:
-            yield Gap(bad, at, why)
-            bad = -1
-        yield record
-        at = record.end
+        fresh = _VERSION.match(content) is not None
+        if begun and fresh:  # the record before never came to its end
+            if bad < 0:
+                bad, why = start, "block is cut"
+            begun = b""
+        if not begun:
+            start = at
+        inner, begun = Held(begun + content), b""
+        place = 0
+        while place < inner.size:
+            try:
+                record = _parse(inner, place)
+            except Unsound as problem:
+                if str(problem) in ("block is cut", "header does not end") and inner.size - place < LONGEST_RECORD and end < source.size:
+                    begun = inner.read(place, inner.size)
+                    break
+                if bad < 0:
+                    bad, why = start, str(problem)
+                place = _next_version(inner, place + 1)
+                continue
+            if bad >= 0:
+                yield Gap(bad, start, why)
+                bad = -1
+            place = record.end
+            record.offset, record.end = start, end
+            yield record
+        at = end
+    if begun and bad < 0:
+        bad, why = start, "block is cut"
     if bad >= 0:
         yield Gap(bad, source.size, why)
 
@@ -213,7 +257,9 @@ def _parse(source: Held | Opened, at: int) -> Record:
     head = source.read(at, 2048)
     if not _VERSION.match(head):
         raise Unsound("no version line")
-    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) < min(LONGEST_HEAD, source.size - at):
+    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) < min(LONGEST_RECORD, source.size - at):
+        if _LATER.search(head):
+            raise Unsound("bad header field")
         head = source.read(at, 2 * len(head))
     if stop < 0:
         raise Unsound("header does not end")
@@ -276,56 +322,6 @@ def _inflate(source: Held | Opened, at: int) -> tuple[bytes, int]:
     return b"".join(out), where - len(engine.unused_data)
 
 
-def _members(source: Held | Opened) -> Iterator[Record | Gap]:
-    """Records of a file of members; offsets are those of the members in the file."""
-    at, bad, why = 0, -1, ""
-    begun, start = b"", 0  # a record whose later members follow
-    while at < source.size:
-        try:
-            content, end = _inflate(source, at)
-        except Unsound as problem:
-            if begun:
-                at_bad, begun = start, b""
-            else:
-                at_bad = at
-            if bad < 0:
-                bad, why = at_bad, str(problem)
-            found = source.find(_MAGIC, at + 1)
-            at = found if found >= 0 else source.size
-            continue
-        fresh = _VERSION.match(content) is not None
-        if begun and fresh:  # the record before never came to its end
-            if bad < 0:
-                bad, why = start, "block is cut"
-            begun = b""
-        if not begun:
-            start = at
-        inner, begun = Held(begun + content), b""
-        place = 0
-        while place < inner.size:
-            try:
-                record = _parse(inner, place)
-            except Unsound as problem:
-                if str(problem) in ("block is cut", "header does not end") and inner.size - place < LONGEST_RECORD and end < source.size:
-                    begun = inner.read(place, inner.size)
-                    break
-                if bad < 0:
-                    bad, why = start, str(problem)
-                place = _next_version(inner, place + 1)
-                continue
-            if bad >= 0:
-                yield Gap(bad, start, why)
-                bad = -1
-            place = record.end
-            record.offset, record.end = start, end
-            yield record
-        at = end
-    if begun and bad < 0:
-        bad, why = start, "block is cut"
-    if bad >= 0:
-        yield Gap(bad, source.size, why)
-
-
 READ = (
     "file string, start long, stop long, reason string, record_type string, record_id string, target_uri string, refers_to string, "
     "payload_bytes long, payload_digest string, payload binary"

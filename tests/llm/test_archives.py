@@ -111,6 +111,30 @@ def test_files_read_in_pieces_give_the_same(tmp_path):
     assert split(warc.salvage(warc.Opened(str(tmp_path / "a.warc.gz")))) == split(warc.salvage(warc.Held(data)))
 
 
+def test_damaged_plain_files_that_hold_gzip_payloads():
+    import gzip
+
+    parts = [plain_record(i, gzip.compress(b"page %d " % i * 40)) for i in range(4)]
+    at = [sum(map(len, parts[:i])) for i in range(5)]
+    data = b"XX" + b"".join(parts)[2:]
+    assert split(warc.salvage(warc.Held(data))) == (["1", "2", "3"], [(0, at[1], "no version line")])
+    # Members after plain records, and plain records after a damaged member.
+    member = warc.members(plain_record(8, b"m" * 300))
+    mixed = parts[0] + member + parts[1]
+    assert split(warc.salvage(warc.Held(mixed)))[0] == ["0", "8", "1"]
+    hurt = member[:20] + b"\0" * 9 + member[29:] + b"\n" + parts[1]
+    assert split(warc.salvage(warc.Held(hurt)))[0] == ["1"]
+
+
+def test_long_addresses_are_read_back(spark):
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 200_000, "one"), (2, "u", "two")], "page_id long, url string, html string")
+    for gzip in (True, False):
+        path = staging_path(spark, "warc")
+        warc.write(warc.records(pages), path, gzip=gzip)
+        found = {r["record_id"]: len(r["target_uri"]) for r in warc.read(spark, path).collect()}
+        assert found == {"<urn:page:1>": 200_009, "<urn:page:2>": 1}
+
+
 # ------------------------------------------------------------------ page text
 
 PAGES = {
