@@ -36,12 +36,18 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "dialog"}
 SCOPE = frozenset("table td th caption button object html template".split())
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
+#: What may stand directly in the parts of a table; other elements and text there go before the table.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr colgroup".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+STAYS = IN_TABLE | {"script", "style", "template"}
+FOREIGN = frozenset({"svg", "math"})
 DEEPEST = 150
 WIDEST = 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -77,7 +83,14 @@ def tree(page: str) -> Node:
         node = Node(name, _attributes(token[3] or ""))
         if name in ("html", "body") and any(n.tag == name for n in stack):
             continue
-        stack[-1].children.append(node)
+        if name in IN_TABLE or name == "table":
+            _to_table(stack, name)
+        if name == "form" and stack[-1].tag in TABLE_PARTS:
+            continue
+        stays = name in STAYS or (name == "input" and node.attributes.get("type", "").lower() == "hidden")
+        _put(stack, node, stays)
+        if token[4] and (name in FOREIGN or any(n.tag in FOREIGN for n in stack)) and not _UNQUOTED.search(token[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inner = page[at : end.start() if end else len(page)]
@@ -99,8 +112,33 @@ def _leave_head(stack: list[Node]) -> None:
 def _text(stack: list[Node], text: str) -> None:
     if stack[-1].tag == "head" and text.strip():
         _leave_head(stack)
-    node = stack[-1]
-    node.children.append(html.unescape(text) if "&" in text else text)
+    _put(stack, html.unescape(text) if "&" in text else text, not text.strip(" \t\n\f\r"))
+
+
+def _put(stack: list[Node], child: Node | str, stays: bool) -> None:
+    """Appends to the open element; what cannot stand directly in a part of a table goes before the table."""
+    at = len(stack) - 1
+    if not stays and stack[at].tag in TABLE_PARTS:
+        at = next((i for i in range(at, 0, -1) if stack[i].tag == "table"), 0)
+        if at:
+            before = stack[at - 1].children
+            before.insert(next(i for i in range(len(before) - 1, -1, -1) if before[i] is stack[at]), child)
+            return
+        at = len(stack) - 1
+    stack[at].children.append(child)
+
+
+def _to_table(stack: list[Node], name: str) -> None:
+    """Leaves what was put before a table when one of its parts follows; a table directly in a table ends it."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in ("td", "th", "caption", "template"):
+            return
+        if stack[i].tag == "table":
+            if name == "table":
+                del stack[i:]
+            while stack[-1].tag not in TABLE_PARTS and len(stack) > i + 1:
+                stack.pop()
+            return
 
 
 def _attributes(text: str) -> dict[str, str]:

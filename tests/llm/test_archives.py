@@ -155,6 +155,13 @@ PAGES = {
     "a < b & c": "a < b & c",
     "<div title='a>b'>c</div>": "c",
     "x<hr>y": "x\n\n---\n\ny",
+    "<table>text<tr><td>1</table>": "text\n\n1",
+    "a<table><tr>text<td>1<td>2</table>b": "atext\n\n1  2\n\nb",
+    "<table><tr><td>1</td></tr>after <b>bold</b> more": "after bold more\n\n1",
+    "<table><tr><td>1<tr><b>q<td>2</table>z": "q\n\n1\n2\n\nz",
+    "x<svg width='1'/>y<div>z<math/>w</div>": "xy\nzw",
+    "<div><svg><g/><title/></svg>z</div>": "z",
+    "<svg width=10/>h</svg>s": "s",
     "": "",
 }
 
