@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ import sentencepiece
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from packlens.llm.bpe import byte_letters
 from packlens.llm.common import staged
@@ -37,6 +39,9 @@ BATCH_CHARS = 1_500_000
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEPARATORS = (b",", b"|", b";", b"")
 _GAP = 1 << 17
+#: The faster encoder overflows its stack on much longer white space; such texts go to the library of the file.
+LONG_SPACE = 2_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class Pair:
@@ -52,6 +57,8 @@ class Pair:
             raise ValueError(f"ids of {a_path} are not in the order of its merges")
         ranks = {names[i]: i for i in range(256 + len(merges))}
         self.a = tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.library = Tokenizer.from_file(a_path)
+        self.library.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
@@ -75,7 +82,8 @@ class Pair:
             spaced = " " + texts[i]
             if b"".join(map(self.b_bytes.__getitem__, ids)) != spaced.encode("utf-8"):
                 continue
-            out_a[i] = np.array(self.a.encode_ordinary(spaced), np.int64)
+            plain = len(spaced) < LONG_SPACE or not _LONG_SPACE.search(spaced)
+            out_a[i] = np.array(self.a.encode_ordinary(spaced) if plain else self.library.encode(spaced, add_special_tokens=False).ids, np.int64)
             out_b[i] = np.array(ids, np.int64)
         return out_a, out_b
 

@@ -72,7 +72,7 @@ def odd_texts():
     rng = random.Random(3)
     words = ["the", "house", "größe", "naïve", "日本語", "🙂", "  ", "\n", "<s>", "<|endoftext|>", "<0x41>", "12345", "don't", "\t", "é"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(120)]
-    return [*texts, texts[0], texts[0], None, "", " ", "▁", "a▁b", "x" * 3000, " " * 500, "the " * 4000, "\x00\x01", "﻿start"]
+    return [*texts, texts[0], texts[0], None, "", " ", "▁", "a▁b", "x" * 3000, " " * 500, " " * 1999, "a" + " " * 300_000 + "b", "the " * 4000, "\x00\x01", "﻿start"]
 
 
 @pytest.mark.parametrize("sizes", [(16_384, 1_500_000), (48, 500)])
