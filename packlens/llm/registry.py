@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packlens.llm import q_align, q_bpe, q_decontaminate, q_langid, q_mixing, q_neardup, q_pii, q_quality, q_render, q_repeats, q_topk, q_warc
+from packlens.llm import q_align, q_bpe, q_decontaminate, q_langid, q_mixing, q_neardup, q_pii, q_quality, q_render, q_repeats, q_topk, q_trie, q_warc
 
-_MODULES = (q_align, q_bpe, q_decontaminate, q_langid, q_mixing, q_neardup, q_pii, q_quality, q_render, q_repeats, q_topk, q_warc)
+_MODULES = (q_align, q_bpe, q_decontaminate, q_langid, q_mixing, q_neardup, q_pii, q_quality, q_render, q_repeats, q_topk, q_trie, q_warc)
 
 
 def all_queries() -> dict:
