@@ -62,8 +62,12 @@ def placed_counts(counts: DataFrame, keys: list[str], value: str, measures: list
     Exact quantiles and distribution distances read off this table without holding a group's
     rows together: a group of many values is cut at its own quantiles, so slices hold about the
     same number of rows however the values are spread. Null keys form a group, null values come
-    first. ``counts`` is read more than once and should be staged.
+    first. ``counts`` is read more than once and should be staged. Where no group is that large, one
+    shuffle by the keys and one window do it all; the result is the same.
     """
+    large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > ONE_SLICE_ROWS)
+    if large.isEmpty():
+        return _placed_at_once(counts, keys, value, measures)
     share = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
     profile = counts.groupBy(*keys).agg(
         *[F.sum(m).alias(f"total_{m}") for m in measures],
@@ -76,6 +80,15 @@ def placed_counts(counts: DataFrame, keys: list[str], value: str, measures: list
     return running_totals(placed, keys, value, measures, slice_of, following=True).drop("_rows", "_cuts")
 
 
+def _placed_at_once(counts: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
+    """The same columns from a window over each whole group."""
+    group = Window.partitionBy(*keys).orderBy(value)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = {f"total_{m}": F.sum(m).over(whole) for m in measures} | {f"run_{m}": F.sum(m).over(upto) for m in measures}
+    return counts.withColumns({**columns, f"next_{value}": F.lead(value).over(group)})
+
+
 def value_at(position: Column, value: str, n: str) -> Column:
     """Aggregate: the value at 1-based ``position`` of a group's sorted rows."""
     covers = (F.col(f"run_{n}") >= position) & (F.col(f"run_{n}") - F.col(n) < position)

@@ -112,6 +112,15 @@ def stream_access_rollup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_caller_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions that ended an hour or more before the newest request, each stored once when it closed."""
+    rows = jobs.read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = jobs.caller_sessions(logs.access_of(rows), operations.SESSION_GAP)
+    path = staging_path(spark, "sessions")
+    stored = _finished(jobs.append_files(closed, path, staging_path(spark, "state")), spark, path)
+    return operations.session_rows(stored.withColumns({"session_start": F.col("session.start"), "session_end": F.col("session.end")}))
+
+
 def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     rows = jobs.read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = staging_path(spark, "verdicts")
@@ -127,6 +136,7 @@ QUERIES = {
     "stream_screening": stream_screening,
     "stream_drift_daily": stream_drift_daily,
     "stream_access_rollup": stream_access_rollup,
+    "stream_caller_sessions": stream_caller_sessions,
     "stream_rate_limit": stream_rate_limit,
 }
 
@@ -137,5 +147,7 @@ ORACLES = {
     "stream_access_rollup": f"""WITH {operations._ACCESS} SELECT endpoint, strftime(ts,'%Y-%m-%d') AS day,
         count(*) AS n_requests, count(*) FILTER (WHERE status_code>=500) AS n_errors, round(sum(duration_ms),4) AS total_ms
         FROM access_log GROUP BY ALL""",
+    "stream_caller_sessions": f"""WITH {operations._ACCESS}, {operations._SESSIONS} SELECT sessions.* FROM sessions,
+        (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS mark FROM access_log) WHERE session_end <= mark""",
     "stream_rate_limit": operations.ORACLES["rate_limit_replay"],
 }

@@ -94,6 +94,19 @@ def caller_traffic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Long enough for the test log, where a caller comes back after hours.
+SESSION_GAP = "6 hours"
+
+
+def session_rows(sessions: DataFrame) -> DataFrame:
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")]
+    return sessions.select("caller", *times, "n_requests", "n_errors", F.round("total_ms", 4).alias("total_ms"))
+
+
+def caller_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return session_rows(accesslog.caller_sessions(logs.access_log(spark, folder), SESSION_GAP))
+
+
 def rate_limit_replay(spark: SparkSession, folder: str) -> DataFrame:
     return ratelimit.replay(logs.rate_events(spark, folder), slice_micros=60_000_000)
 
@@ -127,6 +140,7 @@ QUERIES = {
     "mask_sensitive": mask_sensitive,
     "access_rollup": access_rollup,
     "caller_traffic": caller_traffic,
+    "caller_sessions": caller_sessions,
     "rate_limit_replay": rate_limit_replay,
     "schema_contract": schema_contract,
 }
@@ -177,6 +191,12 @@ _ACCESS = """access_log AS (SELECT event_id, ts, CASE user_id%3 WHEN 0 THEN 'key
       WHEN 1 THEN 'ip:10.0.0.' || user_id ELSE 'ip:unknown' END AS caller,
       CASE WHEN event_id%10<>0 THEN '/v1/' ELSE '/' END || event_type AS endpoint,
       CASE WHEN event_type='error' THEN 500 ELSE 200 END AS status_code, value AS duration_ms FROM events)"""
+_SESSIONS = """marked AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true) AS opens FROM access_log
+      WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY caller ORDER BY ts)),
+    numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY caller ORDER BY ts) AS number FROM marked),
+    sessions AS (SELECT caller, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+      strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n_requests,
+      count(*) FILTER (WHERE status_code>=500) AS n_errors, round(sum(duration_ms),4) AS total_ms FROM numbered GROUP BY caller, number)"""
 _GATES = ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in TRAJECTORY_GATES.items())
 
 ORACLES = {
@@ -217,6 +237,7 @@ ORACLES = {
         round(max(duration_ms),8) AS max_ms FROM access_log GROUP BY ALL""",
     "caller_traffic": f"""WITH {_ACCESS} SELECT caller, count(*) AS n_requests,
         count(*) FILTER (WHERE status_code>=500) AS n_errors FROM access_log GROUP BY caller""",
+    "caller_sessions": f"WITH {_ACCESS}, {_SESSIONS} SELECT * FROM sessions",
     "rate_limit_replay": """WITH RECURSIVE e AS (SELECT event_id, scope, caller, us, lim,
           row_number() OVER (PARTITION BY scope, caller ORDER BY us, event_id) AS i FROM (
             SELECT event_id, CASE WHEN event_type IN ('purchase','signup') THEN 'agent' ELSE 'ask' END AS scope,

@@ -69,11 +69,19 @@ def access_rollup(log: DataFrame, width: str = "1 day", lateness: str = "1 hour"
 
 
 def caller_sessions(log: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Requests per caller and session; a session ends after ``gap`` without a request."""
+    """Requests per caller and session; a session ends after ``gap`` without a request.
+
+    In append mode a session comes out once, when the watermark has passed its end; sessions that are still
+    open stay in the state.
+    """
     return (
         log.withWatermark("ts", lateness)
         .groupBy(F.session_window("ts", gap).alias("session"), "caller")
-        .agg(F.count(F.lit(1)).alias("n_requests"))
+        .agg(
+            F.count(F.lit(1)).alias("n_requests"),
+            F.count_if(F.col("status_code") >= 500).alias("n_errors"),
+            F.sum("duration_ms").alias("total_ms"),
+        )
     )
 
 
