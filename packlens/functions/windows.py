@@ -44,6 +44,22 @@ def running_totals(
     return out.withColumns(columns).drop("_slice", "_next_first", *[f"_before_{m}" for m in measures])
 
 
+def next_known(df: DataFrame, keys: list[str], order: list[str], known: list[str], slice_of: Column) -> DataFrame:
+    """Add ``at_<known>``: of the first row at or after each row in ``order`` (within ``keys``) whose ``known`` are not null.
+
+    Slices (``slice_of`` must not decrease with ``order``) are searched side by side; where a slice
+    holds none after a row, the first one of a later slice is taken.
+    """
+    sliced = df.withColumns({"_slice": slice_of, "_known": F.when(F.col(known[0]).isNotNull(), F.struct(*known))})
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.min_by("_known", F.when(F.col("_known").isNotNull(), F.struct(*order))).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    offers = per_slice.select(*keys, "_slice", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    out = join_null_safe(sliced, offers, [*keys, "_slice"])
+    found = F.coalesce(F.first("_known", ignorenulls=True).over(inner), F.col("_later"))
+    return out.withColumn("_found", found).withColumns({f"at_{k}": F.col("_found")[k] for k in known}).drop("_slice", "_known", "_later", "_found")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys`` that matches nulls with nulls."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

@@ -135,10 +135,7 @@ def drift_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def daily_report(reference: DataFrame, current: DataFrame) -> DataFrame:
     """Drift per day from value counts of both sides."""
-    # The periods are read from the counts, which are staged so the log is scanned once.
-    current = sinks.staged(current, "day-counts")
-    named = drift.reference_per_period(reference, current.select("day").distinct(), "day")
-    stats = drift.column_drift(named.unionByName(current), ["day", "column"])
+    stats = drift.period_drift(reference, current, "day")
     return stats.select(
         "day", "column", "ref_rows", "cur_rows", *[F.round(c, 6).alias(c) for c in ("ks", "wasserstein", "psi")], "drifted"
     )
