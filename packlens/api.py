@@ -63,9 +63,19 @@ def ask_docs(
     return answers.assemble(screened, kept, answers.resolve_outputs(attempts, keys), keys, "query_id")
 
 
-def predict_soh(requests: DataFrame, model: PipelineModel, version: str | None = None, log: str | None = None) -> DataFrame:
-    """Predicted state of health per request; with ``log`` the rows are appended there as well."""
-    scored = forest.score(model, requests)
+def predict_soh(
+    requests: DataFrame, model: PipelineModel, version: str | None = None, log: str | None = None,
+    key: str | None = None, batch: str | None = None,
+) -> DataFrame:
+    """Predicted state of health per request; with ``log`` the rows are stored there as well.
+
+    With ``key``, the column that names a request, and ``batch`` the rows are stored exactly once: a batch that runs
+    again replaces its own rows, with the same ids. Without them rows are appended.
+    """
+    scored = forest.score(model, requests, *([key] if key else []))
+    if log and key and batch:
+        sinks.commit_batch(sinks.prediction_log(scored, version, key, key=key, batch=batch), log, batch)
+        return sinks.read_log(requests.sparkSession, log).where(F.col("batch").cast("string") == batch).drop("batch")
     if log:
         logged = sinks.staged(sinks.prediction_log(scored, version), "predictions")
         sinks.append_rows(logged, log)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.operators import chunking, ingest
@@ -9,6 +11,7 @@ from packlens.plans.oracle_views import with_views
 from packlens.session import staging_path
 from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
 from packlens.sources import corpus, passages as views
+from packlens.sources.sinks import staged
 from packlens.sources.tables import spread, table
 
 # File names and blank texts given to the documents. Same text in both engines.
@@ -78,7 +81,39 @@ def ingest_verified(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Which documents the second run leaves out, changes, and sees first. Same text in both engines.
+_LATE, _LEFT, _EDITED = "doc_id%13 = 2", "doc_id%7 = 0", "doc_id%11 = 1"
+
+
+def ingest_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs over a corpus that loses, changes and gains documents, then nothing; last what is held."""
+    named = corpus.usable(_named(spark, folder)).select("doc_id", "source", "text")
+    second = named.where(f"NOT {_LEFT}").withColumn("text", F.expr(f"CASE WHEN {_EDITED} THEN concat(text, ' v2') ELSE text END"))
+    path = staging_path(spark, "store")
+    runs = []
+    for number, docs in enumerate((named.where(f"NOT {_LATE}"), second, second), 1):
+        done = ingest.ingest_changes(spark, docs.select("source", "text"), path, chunking.fixed_chunks)
+        runs.append(staged(done.select(F.lit(number).alias("run"), "status", "n_documents", "n_chunks"), "runs"))
+    held = ingest.current_chunks(spark, path).agg(
+        F.lit(4).alias("run"), F.lit("held").alias("status"), F.count_distinct("source").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks")
+    )
+    return reduce(DataFrame.unionByName, runs).unionByName(held)
+
+
+def index_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions published one after the other: the first one's even chunks, then all; the newest is current."""
+    vectors = views.vectors(spark, folder)
+    chunks = views.passages(spark, folder).join(vectors, "chunk_id")
+    queries = vectors.withColumnRenamed("chunk_id", "qid")
+    path = staging_path(spark, "published")
+    ingest.publish_verified(spark, chunks.where("chunk_id % 2 = 0"), queries.where("qid % 2 = 0"), path)
+    ingest.publish_verified(spark, chunks, queries, path)
+    return ingest.index_versions(spark, path).select("version", "n_chunks", "current")
+
+
 QUERIES = {
+    "ingest_changes": ingest_changes,
+    "index_history": index_history,
     "corpus_scan": corpus_scan,
     "chunk_fixed": chunk_fixed,
     "chunk_boundary": chunk_boundary,
@@ -103,7 +138,22 @@ def _last(separator: str) -> str:
 _ENDS = ", ".join(_last(separator) for separator in ("chr(10)||chr(10)", "chr(10)", "chr(32)"))
 _TAKEN = f"CASE WHEN p+{CHUNK_SIZE} >= n THEN n-p ELSE coalesce({_ENDS}, {CHUNK_SIZE}) END"
 
+_CHUNKS_OF = "greatest(1, ceil((length({t})-" + f"{CHUNK_OVERLAP})/{_STRIDE}::DOUBLE)::BIGINT)"
+_CHANGES = f"""{_NAMED}, {_USABLE},
+    docs AS (SELECT doc_id, text, CASE WHEN {_EDITED} THEN concat(text, ' v2') ELSE text END AS later, NOT {_LATE} AS first, NOT {_LEFT} AS second FROM usable),
+    runs AS (SELECT 1 AS run, 'new' AS status, {_CHUNKS_OF.format(t='text')} AS k FROM docs WHERE first
+      UNION ALL SELECT 2, CASE WHEN NOT first THEN 'new' WHEN NOT second THEN 'gone' WHEN text = later THEN 'same' ELSE 'changed' END,
+        CASE WHEN second AND (NOT first OR text <> later) THEN {_CHUNKS_OF.format(t='later')} ELSE 0 END FROM docs WHERE first OR second
+      UNION ALL SELECT 3, 'same', 0 FROM docs WHERE second
+      UNION ALL SELECT 4, 'held', {_CHUNKS_OF.format(t='later')} FROM docs WHERE second)"""
+
 ORACLES = {
+    "ingest_changes": f"WITH {_CHANGES} SELECT run, status, count(*) AS n_documents, sum(k)::BIGINT AS n_chunks FROM runs GROUP BY run, status",
+    "index_history": with_views(
+        ["passages"],
+        """n AS (SELECT count(*) AS a, count(*) FILTER (WHERE chunk_id % 2 = 0) AS b FROM passages JOIN embeddings ON vec_id = chunk_id)
+        SELECT 1::BIGINT AS version, b AS n_chunks, false AS "current" FROM n UNION ALL SELECT 2, a, true FROM n""",
+    ),
     "corpus_scan": f"""WITH {_NAMED}, {_USABLE} SELECT collection, count(*) AS n_documents,
         sum(length(text))::BIGINT AS n_chars, count(*) FILTER (WHERE ends_with(source,'.md')) AS n_md FROM usable GROUP BY collection""",
     "chunk_fixed": f"""WITH s AS (SELECT doc_id, text, unnest({_STARTS})*{_STRIDE} AS start_index FROM documents

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from packlens.functions.numeric import physics_soh
 from packlens.operators import cells as ops, drift
 from packlens.plans.oracle_views import with_views
+from packlens.session import staging_path
 from packlens.settings import END_OF_LIFE_SOH, KS_CRITICAL, SEED, TEST_SHARE
 from packlens.sources import cells as views, sinks
 from packlens.sources.tables import events, table
@@ -152,7 +153,17 @@ def seed_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def prediction_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log after a batch that ran twice and a batch of the next version; the noiseless label stands in for the model."""
+    scored = views.score_requests(spark, folder).withColumn("predicted_soh", physics_soh())
+    path = staging_path(spark, "log")
+    for batch, version in (("1", "7"), ("1", "7"), ("2", "8")):
+        sinks.commit_batch(sinks.prediction_log(scored, version, "event_id", key="event_id", batch=batch), path, batch)
+    return sinks.read_log(spark, path).select("id", "event_id", *views.RAW_INPUTS, "predicted_soh", "model_version")
+
+
 QUERIES = {
+    "prediction_log": prediction_log,
     "soh_features": soh_features,
     "soh_physics": soh_physics,
     "soh_bands": soh_bands,
@@ -221,6 +232,12 @@ _DRIFT = (
 _ROUNDED = "ref_rows, cur_rows, round(ks,6) AS ks, round(wasserstein,6) AS wasserstein, round(psi,6) AS psi, drifted"
 
 ORACLES = {
+    "prediction_log": with_views(
+        ["score_requests"],
+        f"""b AS (SELECT * FROM (VALUES ('1', '7'), ('2', '8')) v(batch, model_version))
+        SELECT ('0x' || substr(md5(event_id || '|' || model_version || '|' || batch), 1, 15))::BIGINT AS id, event_id, {', '.join(views.RAW_INPUTS)},
+          {_NOISELESS} AS predicted_soh, model_version FROM score_requests, b""",
+    ),
     "soh_features": with_views(
         ["cell_samples", "labelled_cells"],
         "SELECT cell_id, soh, round(cycle_count,6) AS cycle_count, round(avg_temperature_c,6) AS avg_temperature_c,"

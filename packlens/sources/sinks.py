@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from packlens.session import staging_path
 
@@ -30,14 +30,22 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def prediction_log(scored: DataFrame, version: str | None = None, *keep: str) -> DataFrame:
-    """Scored requests in the log's shape: a random id, doubles, the model version as text, a time of writing.
+def log_id(key: Column, version: str, batch: str) -> Column:
+    """A positive id that the request, the model version and the batch fix: 60 bits of their digest."""
+    name = F.concat_ws("|", key.cast("string"), F.lit(version), F.lit(batch))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
-    Ids are drawn from 2^63 numbers, so that jobs that append side by side need no common counter.
+
+def prediction_log(scored: DataFrame, version: str | None = None, *keep: str, key: str | None = None, batch: str = "") -> DataFrame:
+    """Scored requests in the log's shape: an id, doubles, the model version as text, a time of writing.
+
+    With ``key``, the column that names a request, ids are the same whenever a task or batch runs again. Without
+    one they are drawn at random from 2^63 numbers, so that jobs that append side by side need no common counter.
     """
+    drawn = F.abs(F.xxhash64(F.uuid())) if key is None else log_id(F.col(key), version or "unknown", batch)
     inputs = ("cycle_count", "avg_temperature_c", "avg_dod", "avg_c_rate", "calendar_age_days")
     return scored.select(
-        F.abs(F.xxhash64(F.uuid())).alias("id"),
+        drawn.alias("id"),
         F.current_timestamp().alias("created_at"),
         *[F.col(c).cast("double").alias(c) for c in inputs],
         F.col("predicted_soh").cast("double").alias("predicted_soh"),
@@ -46,6 +54,19 @@ def prediction_log(scored: DataFrame, version: str | None = None, *keep: str) ->
     )
 
 
+def commit_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Store the rows of one batch of a log in the batch's own folder, which a second run replaces.
+
+    So a batch is in the log once, however often it ran; other batches are not touched.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log of batches, each id once: the same request in two batches has two ids."""
+    return spark.read.option("basePath", path).parquet(path).dropDuplicates(["id"])
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A (nested) report as JSON lines."""
     report.write.mode("overwrite").json(path)

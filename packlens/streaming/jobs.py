@@ -47,8 +47,8 @@ def screen(questions: DataFrame, text: str = "question") -> DataFrame:
 
 
 def score(requests: DataFrame, model: PipelineModel, version: str, *keep: str) -> DataFrame:
-    """Scored requests in the shape of the prediction log, next to the columns to keep."""
-    return prediction_log(forest.score(model, requests, *keep), version, *keep)
+    """Scored requests in the shape of the prediction log, next to the columns to keep; the first one names a request."""
+    return prediction_log(forest.score(model, requests, *keep), version, *keep, key=keep[0] if keep else None, batch="stream")
 
 
 def access_rollup(log: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
