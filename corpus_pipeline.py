@@ -14,18 +14,29 @@ from packlens.sources.tables import table
 
 #: A text whose windows agree on no language to this degree is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Similarity of word shingles, in percent, from which documents are near copies.
+NEAR_PERCENT = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or have no clear language among those of the labels."""
-    found = docs.withColumn("_language", langid.identify(spark, langid.train(docs), F.col("text")))
+    """Rejects texts that are null, have no letter, or have no clear language among those of the labels.
+
+    Where no document has a label there is nothing to learn, and all texts with a letter stay.
+    """
+    network = langid.train(docs)
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("_language", langid.identify(spark, network, F.col("text")))
     sure = (F.col("_language.lang") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
     return found.filter(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group, once. Rows without a doc_id stay."""
-    groups = staged(neardup.near_groups(docs), "groups").filter("doc_id is not null")
+    """Keeps the document of least doc_id of each group, once. Rows without a doc_id stay.
+
+    Groups link at a similarity of ``NEAR_PERCENT``; texts that are null or have no word are in no group.
+    """
+    groups = staged(neardup.near_groups(docs, percent=NEAR_PERCENT), "groups").filter("doc_id is not null")
     gone = groups.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select("doc_id")
     left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = staged(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
@@ -36,13 +47,13 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark item."""
+    """Removes documents that hold a benchmark item, all rows of such a doc_id; rows without a doc_id or text stay."""
     found = staged(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by marks; texts without any stay as they are."""
+    """Replaces personal data by marks; texts without any, null and empty ones stay as they are. No row goes."""
     found = docs.withColumn("_pii", pii.find(spark, pii.train(docs), F.col("text")))
     changed = F.col("_pii.redacted")
     new = {"text": F.coalesce(changed, F.col("text")), "n_chars": F.when(changed.isNotNull(), F.length(changed).cast("long")).otherwise(F.col("n_chars"))}
@@ -50,7 +61,11 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents up to twice, so that sources come near their targets; adds ``copies``."""
+    """Takes documents up to twice, so that sources come near their targets; adds ``copies``.
+
+    A null source is a source; documents without a word cost nothing and are never taken. Repeated rows are
+    documents of their own.
+    """
     sized = docs.withColumns({"_sources": F.array("source"), "_size": mixing.word_count(F.col("text"))})
     targets = staged(mixing.water_targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size"))), "targets")
     mixed = mixing.mix(sized, targets.select("source", "target"), sources="_sources", size="_size")

@@ -13,7 +13,6 @@ look-ups in place of multiplications.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 SPAN = 4
-#: Bounds of the training sample: texts for a language, languages, windows for a text.
+#: Bounds of the training sample: texts for a language, texts in all, windows for a text. Every language has one text at least.
 TEXTS_PER_LANGUAGE = 2000
-LANGUAGES = 64
+TEXTS_IN_ALL = 128_000
 WINDOWS_PER_TEXT = 4
 UNKNOWN = "und"
 #: Windows scored in one numpy call.
 BATCH = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass(frozen=True)
 class ByteNet:
@@ -144,21 +141,22 @@ def fit_network(
 
 def sample_windows(
     texts: DataFrame, *, key: str, text: str, lang: str, per_language: int = TEXTS_PER_LANGUAGE,
-    languages: int = LANGUAGES, per_text: int = WINDOWS_PER_TEXT,
+    in_all: int = TEXTS_IN_ALL, per_text: int = WINDOWS_PER_TEXT,
 ) -> DataFrame:
     """Windows (``lang``, ``bytes``) of a bounded, repeatable sample of the labelled texts.
 
-    The ``languages`` labels with the most texts take part, each with the ``per_language`` texts
-    whose key has the smallest hash, each text with ``per_text`` windows spread over its length.
-    So at most languages * per_language * per_text windows come back. A hash limit keeps about
+    Every label takes part with the ``per_language`` texts whose key has the smallest hash, fewer where
+    there are so many labels that ``in_all`` texts would not do, each text with ``per_text`` windows
+    spread over its length. A hash limit keeps about
     twice as many rows as are wanted before they are ranked, so a label with most rows brings no
     more rows to one task than any other.
     """
     rows = texts.select(F.col(key).alias("k"), F.col(lang).alias("l")).filter("k is not null and l is not null")
-    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages)
+    common = rows.groupBy("l").count()
+    per_language = max(1, min(per_language, in_all // max(1, common.count())))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
     chosen = (
-        rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 30))).join(F.broadcast(common), "l")
+        rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 30))).join(common, "l")
         .filter(F.col("h") * F.col("count") < F.lit((1 << 30) * (2 * per_language + 100)))
         .withColumn("r", rank).filter(F.col("r") <= per_language).select("k").distinct()
     )
@@ -206,7 +204,7 @@ def identify(spark: SparkSession, net: ByteNet | None, text: Column) -> Column:
         tables = model.pair_tables() if model else None
         for batch in batches:
             langs, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            known = [i for i, t in enumerate(batch) if model and isinstance(t, str) and _LETTER.search(t)]
+            known = [i for i, t in enumerate(batch) if model and isinstance(t, str) and any(map(str.isalpha, t))]
             for group in by_size(known, batch):
                 cut = [windows_of(batch.iloc[i]) for i in group]
                 share = model.probabilities(np.concatenate(cut), tables)

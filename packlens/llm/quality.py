@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from packlens.llm.common import words_of
@@ -27,11 +28,11 @@ from packlens.llm.langid import by_size
 
 BUCKETS = 1 << 14
 FACTORS = 8
-#: Bounds of the training sample: rows for each label, and the characters of a text that may be drawn.
+#: Bound of the training sample: rows for each label. A row's inputs are bounded by the buckets, however long its text.
 ROWS_PER_LABEL = 3000
-LONGEST_SAMPLED = 200_000
 STATISTICS = 11
-_UPPER = re.compile(r"[^\W\d_a-z]")
+_CAPITAL = re.compile(r"[A-Z]")
+_UPPER = regex.compile(r"\p{Lu}")
 _SYMBOL = re.compile(r"[^\w\s]")
 _DIGIT = re.compile(r"\d")
 _KNOWN_WORDS = 500_000
@@ -101,7 +102,7 @@ class Features:
             float(np.log1p(len(text))),
             float(np.log1p(len(words))),
             letters / n,
-            len(_UPPER.findall(text)) / chars,
+            len((_CAPITAL if text.isascii() else _UPPER).findall(text)) / chars,
             symbols / chars,
             len(_DIGIT.findall(text)) / chars,
             len(counts) / n,
@@ -138,9 +139,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: st
         labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
         .withColumn("h", h).filter(F.col("h") < limit).withColumn("r", rank).filter(F.col("r") <= per_label).select("k", "y").distinct()
     )
-    texts = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= LONGEST_SAMPLED).select(
-        F.col(key).alias("k"), F.col(text).alias("t"), metadata([F.col(c) for c in meta]).alias("m")
-    )
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), metadata([F.col(c) for c in meta]).alias("m"))
 
     def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()

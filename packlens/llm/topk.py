@@ -21,25 +21,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 QUERY_BLOCK = 4096
 SLICE = 8192
 STEP = 8
-#: Components beyond this size could overflow the sum of a thousand products; such vectors take no part.
-LARGEST = 1 << 26
+#: Whole numbers are exact in doubles up to here. A vector with a larger component takes no part: its product with itself is no long.
+LARGEST = 1 << 53
+_LONG = np.iinfo(np.int64)
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component as array<int>; null where the vector can take no part."""
+    """floor(factor * x) of each component as array<bigint>; null where the vector can take no part."""
     values = F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
     usable = vector.isNotNull() & F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= LARGEST / factor)
     )
-    return F.when(usable, F.transform(values, lambda x: x.cast("int")))
+    return F.when(usable, F.transform(values, lambda x: x.cast("bigint")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "vec_id", vector: str = "vector") -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` highest inner products of each query, ties to the smaller key.
 
-    ``vector`` is array<int>. A query meets every candidate but the row of its own key. Null keys and
+    ``vector`` is an array of whole numbers. A query meets every candidate but the row of its own key. Null keys and
     null vectors take no part; a shorter vector counts as filled with zeros; of several rows with
-    one key the least vector counts. Queries with no candidate at all give no row.
+    one key the least vector counts. Queries with no candidate at all give no row. A product beyond
+    the range of a long is given, and ranked, as the end of that range.
     """
     own = lambda df: df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     asked, offered = own(queries), own(vectors)
@@ -118,8 +120,11 @@ def branch_and_bound(x: np.ndarray, columns: np.ndarray, masses: np.ndarray, k:
     """(row, score) of the k candidates of highest inner product with ``x``, ties to the smaller row.
 
     Masses and partial sums of integers are exact in doubles up to 2^53 only; the bounds carry a
-    margin for what lies beyond, and the final scores are computed in whole numbers.
+    margin for what lies beyond, and the final scores are computed in whole numbers of any size.
     """
+    largest = float((x**2).sum()) * float(masses.max(initial=0.0))
+    # What is left of a mass after subtractions is known to a share of the whole mass.
+    slack = 1e-6 * np.sqrt(largest) if largest > 2.0**100 else 0.0
     order = np.argsort(-np.abs(x), kind="stable")
     alive = np.arange(columns.shape[1])
     if skip >= 0:
@@ -133,10 +138,16 @@ def branch_and_bound(x: np.ndarray, columns: np.ndarray, masses: np.ndarray, k:
         own -= float((x[dims] ** 2).sum())
         if len(alive) > k and at + STEP < len(order):
             reach = np.sqrt(np.maximum(rest, 0) * max(own, 0.0))
-            reach += 1 + 1e-9 * (np.abs(sums) + reach)
-            low = np.partition(sums - reach, len(alive) - k)[len(alive) - k]
-            keep = sums + reach >= low
+            reach += 1 + slack + 1e-9 * (np.abs(sums) + reach)
+            # Products beyond a long are equal to its ends, so no bound may tell them apart.
+            low = min(np.partition(sums - reach, len(alive) - k)[len(alive) - k], 2.0**63)
+            keep = (sums + reach >= low) | (low <= -(2.0**63))
             alive, sums, rest = alive[keep], sums[keep], rest[keep]
-    exact = x.astype(np.int64) @ columns[:, alive].astype(np.int64)
-    best = np.lexsort((alive, -exact))[:k]
-    return [(int(alive[i]), int(exact[i])) for i in best]
+    if largest < 2.0**122:
+        exact = x.astype(np.int64) @ columns[:, alive].astype(np.int64)
+        best = np.lexsort((alive, -exact))[:k]
+        return [(int(alive[i]), int(exact[i])) for i in best]
+    whole = [int(v) for v in x]
+    products = ((int(row), sum(a * int(b) for a, b in zip(whole, columns[:, row], strict=True))) for row in alive)
+    scored = sorted((-min(_LONG.max, max(_LONG.min, p)), row) for row, p in products)[:k]
+    return [(row, -score) for score, row in scored]

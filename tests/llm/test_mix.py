@@ -126,7 +126,7 @@ def test_pipeline_stages_take_effect(spark, small):
         if name == "language_id":
             assert len(after) >= 0.97 * len(before)
         elif name == "near_dedup":
-            want = components_by_hand({i: shingles(r["text"]) for i, r in before.items()})
+            want = components_by_hand({i: shingles(r["text"]) for i, r in before.items()}, 80)
             assert set(after) == {i for i in want if want[i] == i}
         elif name == "decontamination":
             leaked = {i for i, r in before.items() if any(s and 100 * len(s & shingles(r["text"])) >= 80 * len(s) for _, s in items)}

@@ -41,7 +41,7 @@ def family_texts():
     return texts + texts[:10] + ["one two", "One  TWO", "one", "", None, " x y z", "a b c d e", "A B C D E"]
 
 
-def components_by_hand(sets):
+def components_by_hand(sets, percent=85):
     top = {i: i for i in sets}
 
     def root(i):
@@ -51,7 +51,7 @@ def components_by_hand(sets):
 
     for i, j in itertools.combinations(sorted(sets), 2):
         both = len(sets[i] & sets[j])
-        if sets[i] and 100 * both >= 85 * len(sets[i] | sets[j]) and sets[j]:
+        if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]) and sets[j]:
             a, b = root(i), root(j)
             top[max(a, b)] = min(a, b)
     return {i: root(i) for i in sets}
