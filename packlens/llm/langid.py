@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from packlens.llm.common import staged
+
 #: Bytes of a window, and the widths of the filters.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -152,8 +154,11 @@ def sample_windows(
     more rows to one task than any other.
     """
     rows = texts.select(F.col(key).alias("k"), F.col(lang).alias("l")).filter("k is not null and l is not null")
-    common = rows.groupBy("l").count()
-    per_language = max(1, min(per_language, in_all // max(1, common.count())))
+    common = staged(rows.groupBy("l").count(), "labels")
+    labels = common.count()
+    per_language = max(1, min(per_language, in_all // max(1, labels)))
+    # Joined by broadcast as long as the labels are few, so that no label's texts meet in one task.
+    common = F.broadcast(common) if labels <= in_all else common
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
     chosen = (
         rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 30))).join(common, "l")
