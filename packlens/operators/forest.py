@@ -8,7 +8,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.operators.cells import FEATURES, latest_versions, regression_metrics, split_train_test, with_features
-from packlens.settings import FOREST_DEPTH, FOREST_PARTITIONS, FOREST_TREES, SEED, TEST_SHARE
+from packlens.session import shared_folder
+from packlens.settings import FOREST_DEPTH, FOREST_MEMORY_MB, FOREST_PARTITIONS, FOREST_TREES, SEED, TEST_SHARE
 from packlens.sources.cells import RAW_INPUTS
 from packlens.sources.sinks import append_rows
 
@@ -38,7 +39,13 @@ def fit_forest(
         maxDepth=depth,
         featureSubsetStrategy="all",
         seed=seed,
+        # A row keeps the node it has come to in each tree, so deep levels send no trees to every row; the lineage
+        # of these numbers is cut in the checkpoint folder. More memory for statistics means fewer passes a level.
+        cacheNodeIds=True,
+        checkpointInterval=10,
+        maxMemoryInMB=FOREST_MEMORY_MB,
     )
+    shared_folder(cells.sparkSession)
     return Pipeline(stages=[assembler, forest]).fit(dealt)
 
 

@@ -104,21 +104,24 @@ def output_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 def _answers(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
     """All questions answered; ``hits`` may bring the search results of all vector queries."""
+    return answered(spark, folder, logged.question_rows(spark, folder), logged.attempts(spark, folder), hits)
+
+
+def answered(spark: SparkSession, folder: str, asked: DataFrame, attempts: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Questions (keys, question, vec_id) answered from the attempts given."""
     queries = views.vector_queries(spark, folder).select(F.col("qid").alias("query_id"), "embedding")
-    asked = logged.question_rows(spark, folder).withColumnRenamed("vec_id", "query_id")
-    return api.ask_docs(
-        asked.join(queries, "query_id", "left"),
-        views.vectors(spark, folder),
-        views.passages(spark, folder),
-        logged.attempts(spark, folder),
-        KEYS,
-        hits=hits,
-    )
+    questions = asked.withColumnRenamed("vec_id", "query_id").join(queries, "query_id", "left")
+    return api.ask_docs(questions, views.vectors(spark, folder), views.passages(spark, folder), attempts, KEYS, hits=hits)
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
+    return answer_rows(_answers(spark, folder))
+
+
+def answer_rows(answers: DataFrame) -> DataFrame:
+    """Answers in the form that is compared: texts and citations as digests."""
     cited = F.transform("citations", lambda c: F.concat(c["source"], F.lit(":"), c["snippet"]))
-    return _answers(spark, folder).select(
+    return answers.select(
         *KEYS,
         "outcome",
         "refused",

@@ -9,7 +9,8 @@ from packlens.plans.answering import _ANSWER_VIEWS, _ANSWERS, KEYS, _answers, _g
 from packlens.plans.oracle_views import with_views
 from packlens.settings import JUDGED_METRICS, MIN_COVERAGE, MIN_RELEVANCE, SCORE_GATES, TOP_K
 from packlens.sources import golden, passages as views, replies as logged
-from packlens.sources.sinks import staged
+from packlens.session import staging_path
+from packlens.sources.sinks import staged, write_report
 
 
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +102,34 @@ def context_precision(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of the evaluation, written as JSON and read back: one row per metric."""
+    path = staging_path(spark, "report")
+    write_report(golden.report_of(staged(_rolled(spark, folder), "rollup")), path)
+    read = golden.read_report(spark, path).select(F.explode("scores").alias("metric", "score"), "coverage", "n_answerable")
+    return read.select("metric", F.round("score", 6).alias("score"), F.coalesce(F.try_element_at("coverage", "metric"), F.lit(-1)).alias("scored"), "n_answerable")
+
+
+def golden_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The golden set, written as JSON files and read back: what each expected chunk must hold."""
+    chunks = golden.expected_chunks(spark, folder).groupBy("qid").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("position", "source", "must_contain"))), lambda c: F.struct(c["source"].alias("source"), c["must_contain"].alias("must_contain"))
+        ).alias("expected_chunks")
+    )
+    items = golden.golden_items(spark, folder).join(chunks, "qid", "left").withColumns({"query": F.concat(F.lit("query "), F.col("qid").cast("string")), "reference_answer": F.lit("")})
+    path = staging_path(spark, "golden")
+    golden.write_items(items, path, "qid", golden.GOLDEN_SCHEMA, corpus="documents", description="derived from the vectors")
+    read = golden.read_golden(spark, path)
+    held = golden.expected_of(read).withColumn("must", F.md5(F.array_join("must_contain", "|")))
+    return read.select("id", "query", "category", "answerable").join(held.select("id", "position", "source", "must"), "id", "left").select(
+        "query", "id", "category", "answerable", F.coalesce("position", F.lit(-1)).cast("bigint").alias("position"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("must", F.lit("")).alias("must")
+    )
+
+
 QUERIES = {
+    "report_roundtrip": report_roundtrip,
+    "golden_files": golden_files,
     "retrieval_recall": retrieval_recall,
     "golden_rot": golden_rot,
     "golden_composition": golden_composition,
@@ -154,6 +182,16 @@ _RECORDS = (
 _GATES = ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in SCORE_GATES.items())
 
 ORACLES = {
+    "report_roundtrip": with_views(
+        _ANSWER_VIEWS, f"{_RECORDS} SELECT metric, round(score,6) AS score, coalesce(scored,-1) AS scored, n_answerable FROM rolled"
+    ),
+    "golden_files": with_views(
+        ["vector_queries", "passages"],
+        f"""{_GOLDEN}, e AS (SELECT g.id, w.position, p.source, md5(substr(text,1,30) || '|' || lower(substr(text,41,20))) AS must
+          FROM wanted w JOIN golden g USING (qid) JOIN passages p ON p.chunk_id = w.chunk_id)
+        SELECT 'query ' || qid AS query, g.id, category, answerable, coalesce(position,-1)::BIGINT AS position, coalesce(source,'') AS source,
+          coalesce(must,'') AS must FROM golden g LEFT JOIN e ON e.id = g.id""",
+    ),
     "retrieval_recall": with_views(
         ["vector_queries", "hits", "passages"], f"{_GOLDEN}, {_RECALL} SELECT qid, round(recall,6) AS recall FROM recalls"
     ),

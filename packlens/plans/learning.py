@@ -8,7 +8,7 @@ from packlens.operators import drift, forest
 from packlens.operators.cells import latest_versions
 from packlens.plans import answering, degradation, operations
 from packlens.session import staging_path
-from packlens.sources import cells as views, logs
+from packlens.sources import cells as views, logs, replies
 from packlens.sources.passages import PLANTED_QUESTION
 from packlens.sources.tables import spread
 from packlens.streaming import jobs
@@ -112,6 +112,58 @@ def stream_access_rollup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the stream's median and 95th percentile per endpoint and day are within the sketch's bound of the log's own."""
+    rows = jobs.read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = staging_path(spark, "latency")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        jobs.access_latency(logs.access_of(rows)).writeStream.foreachBatch(store).outputMode("update")
+        .option("checkpointLocation", staging_path(spark, "state")).trigger(availableNow=True).start()
+    )
+    rolled = _finished(query, spark, path).groupBy("window", "endpoint").agg(F.max_by(F.struct("n_requests", "latencies"), "batch").alias("last"))
+    shares = {"p50": 0.5, "p95": 0.95}
+    figures = rolled.select(
+        "endpoint", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "last.n_requests",
+        *[F.kll_sketch_get_quantile_double("last.latencies", F.lit(share)).alias(name) for name, share in shares.items()],
+    )
+    log = logs.access_log(spark, folder).select("endpoint", F.date_format("ts", "yyyy-MM-dd").alias("day"), "duration_ms")
+    keys = ["endpoint", "day"]
+    joined = log.join(figures, keys)
+    ranks = [F.avg((F.col("duration_ms") <= F.col(n)).cast("int")).alias(f"_upto_{n}") for n in shares]
+    below = [F.avg((F.col("duration_ms") < F.col(n)).cast("int")).alias(f"_below_{n}") for n in shares]
+    near = [
+        ((F.col(f"_upto_{n}") >= share - jobs.RANK_ERROR) & (F.col(f"_below_{n}") <= share + jobs.RANK_ERROR)).alias(f"{n}_near") for n, share in shares.items()
+    ]
+    return joined.groupBy(*keys, "n_requests").agg(*ranks, *below).select(*keys, "n_requests", *near)
+
+
+def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers of all questions whose attempts came as a second feed. A last row in both feeds, of no
+    conversation, moves the time on, so that questions without an attempt do not stay open."""
+    keys = answering.KEYS
+    # From 2024 on: a stream's first watermark is 1970, and what is not after it is late.
+    second = F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    asked_at, tried_at = F.timestamp_seconds(second), F.timestamp_seconds(second + F.col("attempt"))
+    asked = replies.question_rows(spark, folder).withColumn("asked_at", asked_at)
+    tried = replies.attempts(spark, folder).withColumn("tried_at", tried_at)
+    path, last = staging_path(spark, "feeds"), F.timestamp_seconds(F.lit(4_102_444_800))
+    for name, rows, time in (("asked", asked, "asked_at"), ("tried", tried, "tried_at")):
+        rows.write.parquet(f"{path}/{name}")
+        given = {"conv_id": F.lit(-1), "turn": F.lit(-1), time: last}
+        end = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+        end.write.mode("append").parquet(f"{path}/{name}")
+    feed = {name: spark.readStream.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in (("asked", asked), ("tried", tried))}
+    out = staging_path(spark, "waited")
+    held = _finished(jobs.append_files(jobs.with_attempts(feed["asked"], feed["tried"], keys), out, staging_path(spark, "state")), spark, out).where("conv_id >= 0")
+    known = held.select(asked.drop("asked_at").columns).dropDuplicates(keys)
+    attempts = held.where("attempt is not null").select(tried.drop("tried_at").columns)
+    return answering.answer_rows(answering.answered(spark, folder, known, attempts))
+
+
 def stream_caller_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions that ended an hour or more before the newest request, each stored once when it closed."""
     rows = jobs.read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -137,6 +189,8 @@ QUERIES = {
     "stream_drift_daily": stream_drift_daily,
     "stream_access_rollup": stream_access_rollup,
     "stream_caller_sessions": stream_caller_sessions,
+    "stream_latency": stream_latency,
+    "stream_answers": stream_answers,
     "stream_rate_limit": stream_rate_limit,
 }
 
@@ -147,6 +201,9 @@ ORACLES = {
     "stream_access_rollup": f"""WITH {operations._ACCESS} SELECT endpoint, strftime(ts,'%Y-%m-%d') AS day,
         count(*) AS n_requests, count(*) FILTER (WHERE status_code>=500) AS n_errors, round(sum(duration_ms),4) AS total_ms
         FROM access_log GROUP BY ALL""",
+    "stream_latency": f"""WITH {operations._ACCESS} SELECT endpoint, strftime(ts,'%Y-%m-%d') AS day, count(*) AS n_requests,
+        true AS p50_near, true AS p95_near FROM access_log GROUP BY ALL""",
+    "stream_answers": answering.ORACLES["answers"],
     "stream_caller_sessions": f"""WITH {operations._ACCESS}, {operations._SESSIONS} SELECT sessions.* FROM sessions,
         (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS mark FROM access_log) WHERE session_end <= mark""",
     "stream_rate_limit": operations.ORACLES["rate_limit_replay"],

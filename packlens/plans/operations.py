@@ -8,6 +8,7 @@ from packlens.operators import accesslog, contract, evalgate, ratelimit, runs as
 from packlens.plans.answering import _TOKENS
 from packlens.plans.oracle_views import with_views
 from packlens.settings import TOOLS, TRAJECTORY_GATES
+from packlens.session import staging_path
 from packlens.sources import golden, logs
 from packlens.sources.sinks import staged
 from packlens.sources.tables import events
@@ -65,6 +66,15 @@ def tool_registry_check(spark: SparkSession, folder: str) -> DataFrame:
     return ops.unknown_tools(logs.labelled_runs(spark, folder), TOOLS)
 
 
+def trajectory_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled questions, written as JSON files and read back."""
+    labelled = logs.labelled_runs(spark, folder).withColumns({"id": F.col("request_id").cast("string"), "query": F.concat(F.lit("run "), F.col("request_id").cast("string"))})
+    path = staging_path(spark, "trajectories")
+    golden.write_items(labelled, path, "request_id", golden.TRAJECTORY_SCHEMA)
+    read = golden.read_trajectories(spark, path)
+    return read.select("id", "query", *[F.array_join(c, ",").alias(c) for c in ("expected_tools", "forbidden_tools")])
+
+
 def log_parse(spark: SparkSession, folder: str) -> DataFrame:
     parsed = logs.parse_lines(logs.log_lines(spark, folder))
     return parsed.select(
@@ -136,6 +146,7 @@ QUERIES = {
     "trajectory_rollup": trajectory_rollup,
     "trajectory_gate": trajectory_gate,
     "tool_registry_check": tool_registry_check,
+    "trajectory_files": trajectory_files,
     "log_parse": log_parse,
     "mask_sensitive": mask_sensitive,
     "access_rollup": access_rollup,
@@ -219,6 +230,8 @@ ORACLES = {
     "tool_registry_check": f"""WITH {_LABELLED}, n AS (SELECT request_id, unnest(list_distinct(list_concat(
           flatten(list_transform(expected, lambda e: string_split(e,'|'))), forbidden))) AS tool FROM labelled)
         SELECT tool, count(*) AS n_runs FROM n WHERE tool NOT IN {tuple(TOOLS)} GROUP BY tool""",
+    "trajectory_files": f"""WITH {_LABELLED} SELECT request_id::VARCHAR AS id, 'run ' || request_id AS query,
+        array_to_string(expected,',') AS expected_tools, array_to_string(forbidden,',') AS forbidden_tools FROM labelled""",
     "log_parse": f"""WITH {_LINES0}, {_LINES.replace("lines AS", "good AS", 1)}
         SELECT event_id, true AS malformed, md5(line) AS raw_md5, NULL AS level, NULL AS endpoint, NULL AS status_code, NULL AS duration_ms,
           NULL AS n_extras, NULL AS "user" FROM all_lines WHERE NOT json_valid(line)

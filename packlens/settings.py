@@ -52,6 +52,7 @@ AGENT_REQUESTS_PER_MINUTE = 6
 FOREST_TREES = 200
 FOREST_DEPTH = 30
 FOREST_PARTITIONS = 256
+FOREST_MEMORY_MB = 512
 TEST_SHARE = 0.2
 SEED = 42
 END_OF_LIFE_SOH = 80.0

@@ -36,13 +36,37 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRAJECTORY_SCHEMA).json(path, multiLine=True).select(F.inline("items"))
 
 
+#: Items in one file of a written set.
+ITEMS_PER_FILE = 500
+
+
+def write_items(items: DataFrame, path: str, key: str, schema: str, **header: str) -> None:
+    """Write a set of items as files of the form the readers take: an object with the header and an ``items`` list.
+
+    ``items`` has the item's columns and ``key``, a whole number that numbers the rows about evenly; each file
+    holds the rows of ``ITEMS_PER_FILE`` consecutive keys, so no list grows with the set.
+    """
+    names = items.sparkSession.createDataFrame([], schema).schema["items"].dataType.elementType.names
+    item = F.struct(*[n if n in items.columns else F.lit(None).cast("string").alias(n) for n in names])
+    lists = items.groupBy(F.floor(F.col(key) / ITEMS_PER_FILE).alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_key"), item.alias("item")))).alias("rows"))
+    text = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in header.items()], F.transform("rows", lambda r: r["item"]).alias("items")))
+    lists.select("part", text.alias("value")).repartition("part").write.partitionBy("part").mode("overwrite").text(path)
+
+
+def report_of(rolled: DataFrame) -> DataFrame:
+    """A roll-up of metrics as one report row: maps of scores and of coverage, and the counts. The metrics are few."""
+    counts = [F.first(c).alias(c) for c in rolled.columns if c.startswith("n_")]
+    pairs = lambda value, cond=None: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.lit(True) if cond is None else cond, F.struct("metric", value)))))
+    return rolled.agg(pairs("score").alias("scores"), pairs("scored", F.col("scored").isNotNull()).alias("coverage"), *counts)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame | None:
     """(metric, score, coverage, n_answerable) of an evaluation report; None where there is none.
 
     A report is an object with a ``scores`` object, or the scores themselves.
     """
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=True).where("length(trim(value)) > 0")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -68,6 +68,37 @@ def access_rollup(log: DataFrame, width: str = "1 day", lateness: str = "1 hour"
     )
 
 
+#: Size of a latency sketch, and the share by which the rank of its quantiles may be off (99 of 100 sketches of that size).
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
+
+
+def access_latency(log: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """A mergeable sketch of the latencies per endpoint and tumbling window, as the state of the stream.
+
+    Its quantiles are off by ``RANK_ERROR`` of the rank at most; sketches of neighbouring windows merge.
+    """
+    return (
+        log.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", width).alias("window"), "endpoint")
+        .agg(F.count(F.lit(1)).alias("n_requests"), F.kll_sketch_agg_double("duration_ms", F.lit(SKETCH_SIZE)).alias("latencies"))
+    )
+
+
+def with_attempts(questions: DataFrame, attempts: DataFrame, keys: list[str], wait: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Each question with its model attempts, one row for each, as both arrive; a question to which none came in time
+    comes out once without, when the watermark shows that none can come any more.
+
+    ``questions`` has the keys and ``asked_at``, ``attempts`` the keys and ``tried_at``. Both sides stay in the state
+    for ``wait`` and ``lateness`` only.
+    """
+    asked = questions.withWatermark("asked_at", lateness)
+    tried = attempts.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withWatermark("tried_at", lateness)
+    same = (F.col("tried_at") >= F.col("asked_at")) & (F.col("tried_at") <= F.col("asked_at") + F.expr(f"interval {wait}"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return asked.join(tried, same, "leftOuter").drop(*[f"_of_{k}" for k in keys])
+
+
 def caller_sessions(log: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """Requests per caller and session; a session ends after ``gap`` without a request.
 
