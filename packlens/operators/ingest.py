@@ -150,7 +150,8 @@ def ingest_changes(spark: SparkSession, documents: DataFrame, path: str, chunk:
     number = 1 + (spark.read.schema(STATE).parquet(f"{path}/state").agg(F.max("batch")).first()[0] if _has(spark, f"{path}/state") else 0)
     fresh = changes.where("status in ('new', 'changed')")
     texts = given.join(fresh, ["source", "digest"]).dropDuplicates(["source", "digest"])
-    chunks = chunk(texts.select("source", "digest", "status", "text"))
+    # A chunk carries its document's source and digest, not its whole text.
+    chunks = chunk(texts.select("source", "digest", "status", "text")).drop("text")
     written = replace_table(spark, chunks, "chunks", f"{path}/chunks/batch={number}")
     state = moved.select("source", F.when(F.col("status") != "gone", F.col("digest")).alias("digest"), (F.col("status") == "gone").alias("gone"))
     state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
