@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packlens.functions.windows import join_null_safe
+from packlens.sources.sinks import staged
 
 TOKEN = 60_000_000
 SLICE_MICROS = 600_000_000
@@ -124,19 +125,70 @@ _FUNCTION_SCHEMA = (
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tokens in the bucket at the first request of every slice, after its refill."""
+    """Tokens in the bucket at the first request of every slice, after its refill, and after its last one.
+
+    A caller begins with a full bucket, or with the one held for it.
+    """
     key, tokens, last = None, 0, 0
     for batch in batches:
-        starts = []
+        starts, ends = [], []
         for row in batch.itertuples(index=False):
             full = row.per_minute * TOKEN
             if (row.scope, row.caller) != key:
                 key, tokens, last = (row.scope, row.caller), full, row.first_at
+                if row.held is not None:
+                    tokens, last = int(row.held[0]), int(row.held[1])
             tokens = min(full, tokens + max(0, row.first_at - last) * row.per_minute)
             starts.append(tokens)
             tokens = apply(list(zip(row.lows, row.highs, row.fixed, row.offsets)), tokens)
-            last = row.last_at
-        yield batch[["scope", "caller", "slice"]].assign(start_tokens=starts)
+            ends.append(tokens)
+            last = max(last, row.last_at)
+        yield batch[["scope", "caller", "slice", "last_at"]].assign(start_tokens=starts, end_tokens=ends)
+
+
+BUCKETS = "scope string, caller string, tokens long, at_micros long"
+_CHAINED = "scope string, caller string, slice long, last_at long, start_tokens long, end_tokens long"
+
+
+def _bounded(events: DataFrame) -> Column:
+    return F.coalesce(F.col("per_minute") > 0, F.lit(False))
+
+
+def _limited(events: DataFrame, slice_micros: int) -> DataFrame:
+    """The requests that a bucket decides on, with their time slices."""
+    return events.where(_bounded(events) & F.col("at_micros").isNotNull()).select(
+        "event_id", *KEYS, "at_micros", F.col("per_minute").cast("int").alias("per_minute"),
+        F.floor(F.col("at_micros") / slice_micros).cast("bigint").alias("slice"),
+    )
+
+
+def _chained(limited: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Every slice's tokens at its start and end; ``held`` are the callers' buckets before the first slice."""
+    functions = _streamed(limited, [*KEYS, "slice"], ["at_micros", "event_id"], _slice_functions, _FUNCTION_SCHEMA)
+    none = F.lit(None).cast("array<bigint>")
+    if held is None:
+        return _streamed(functions.withColumn("held", none), KEYS, ["slice"], _chain, _CHAINED)
+    buckets = held.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.array("tokens", "at_micros").alias("held"))
+    same = functions["scope"].eqNullSafe(buckets["_scope"]) & functions["caller"].eqNullSafe(buckets["_caller"])
+    return _streamed(functions.join(buckets, same, "left").drop("_scope", "_caller"), KEYS, ["slice"], _chain, _CHAINED)
+
+
+def _verdicts(events: DataFrame, limited: DataFrame, chained: DataFrame) -> DataFrame:
+    """The slices replayed side by side from their starts, and the requests that no bucket decides on."""
+    starts = chained.select(*KEYS, "slice", "start_tokens")
+    decided = _streamed(
+        join_null_safe(limited, starts, [*KEYS, "slice"]),
+        [*KEYS, "slice"],
+        ["at_micros", "event_id"],
+        _replay,
+        "event_id long, scope string, caller string, allowed boolean, tokens_left long, retry_micros long",
+    )
+    bound = _bounded(events)
+    free = events.where(~bound | F.col("at_micros").isNull()).select(
+        "event_id", *KEYS, (~bound).alias("allowed"), F.lit(None).cast("bigint").alias("tokens_left"),
+        F.lit(0).cast("bigint").alias("retry_micros"),
+    )
+    return decided.unionByName(free)
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,22 +226,23 @@ def replay(events: DataFrame, slice_micros: int = SLICE_MICROS) -> DataFrame:
     to the new size. A limit of 0 or less, or null, is no limit. A null scope or caller is one of
     its own. A request without a time is refused. The result does not depend on ``slice_micros``.
     """
-    bound = F.coalesce(F.col("per_minute") > 0, F.lit(False))
-    limited = events.where(bound & F.col("at_micros").isNotNull()).select(
-        "event_id", *KEYS, "at_micros", F.col("per_minute").cast("int").alias("per_minute"),
-        F.floor(F.col("at_micros") / slice_micros).cast("bigint").alias("slice"),
-    )
-    functions = _streamed(limited, [*KEYS, "slice"], ["at_micros", "event_id"], _slice_functions, _FUNCTION_SCHEMA)
-    starts = _streamed(functions, KEYS, ["slice"], _chain, "scope string, caller string, slice long, start_tokens long")
-    verdicts = _streamed(
-        join_null_safe(limited, starts, [*KEYS, "slice"]),
-        [*KEYS, "slice"],
-        ["at_micros", "event_id"],
-        _replay,
-        "event_id long, scope string, caller string, allowed boolean, tokens_left long, retry_micros long",
-    )
-    free = events.where(~bound | F.col("at_micros").isNull()).select(
-        "event_id", *KEYS, (~bound).alias("allowed"), F.lit(None).cast("bigint").alias("tokens_left"),
-        F.lit(0).cast("bigint").alias("retry_micros"),
-    )
-    return verdicts.unionByName(free)
+    limited = _limited(events, slice_micros)
+    return _verdicts(events, limited, _chained(limited))
+
+
+def replay_from(events: DataFrame, held: DataFrame, slice_micros: int = SLICE_MICROS) -> tuple[DataFrame, DataFrame]:
+    """The verdicts on further requests, and the buckets after them, from the buckets ``held`` so far.
+
+    A request from before its caller's last one counts as made at that time: it does not turn the clock back.
+    """
+    held = held.select(*KEYS, "tokens", "at_micros")
+    clock = held.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("at_micros").alias("_at"))
+    same = events["scope"].eqNullSafe(clock["_scope"]) & events["caller"].eqNullSafe(clock["_caller"])
+    moved = events.join(clock, same, "left").withColumn("at_micros", F.when(F.col("at_micros").isNotNull(), F.greatest("at_micros", "_at")))
+    moved = staged(moved.select(events.columns), "requests")
+    limited = _limited(moved, slice_micros)
+    chained = staged(_chained(limited, held), "slices")
+    last = chained.groupBy(*KEYS).agg(F.max_by(F.struct(F.col("end_tokens").alias("tokens"), F.col("last_at").alias("at_micros")), "slice").alias("x"))
+    both = held.withColumn("_new", F.lit(0)).unionByName(last.select(*KEYS, "x.*", F.lit(1).alias("_new")))
+    after = both.groupBy(*KEYS).agg(F.max_by(F.struct("tokens", F.col("at_micros").alias("at")), "_new").alias("x"))
+    return _verdicts(moved, limited, chained), after.select(*KEYS, "x.tokens", F.col("x.at").alias("at_micros"))

@@ -10,6 +10,7 @@ from packlens.plans import answering, degradation, operations
 from packlens.session import staging_path
 from packlens.sources import cells as views, logs, replies
 from packlens.sources.passages import PLANTED_QUESTION
+from packlens.sources.sinks import staged
 from packlens.sources.tables import spread
 from packlens.streaming import jobs
 
@@ -180,6 +181,21 @@ def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     return _finished(jobs.append_files(verdicts, path, staging_path(spark, "state")), spark, path)
 
 
+def stream_rate_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdicts on requests that arrive in files of a minute each, out of order by up to twenty seconds."""
+    rows, minute, late = logs.rate_events(spark, folder), 60_000_000, 20_000_000
+    path = staging_path(spark, "arrivals")
+    part = F.floor((F.col("at_micros") + F.pmod(F.xxhash64("event_id"), F.lit(late))) / minute)
+    placed = staged(rows.withColumn("part", part), "parts")
+    for number in sorted(r["part"] for r in placed.select("part").distinct().collect()):  # the minutes of the log
+        placed.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = staging_path(spark, "verdicts")
+    query = jobs.rate_limit_in_order(stream, out, staging_path(spark, "state"), late)
+    query.awaitTermination()
+    return jobs.close_in_order(spark, out, query.lastProgress["batchId"], rows.schema)
+
+
 QUERIES = {
     "rf_metrics": rf_metrics,
     "recorded_run": recorded_run,
@@ -192,6 +208,7 @@ QUERIES = {
     "stream_latency": stream_latency,
     "stream_answers": stream_answers,
     "stream_rate_limit": stream_rate_limit,
+    "stream_rate_in_order": stream_rate_in_order,
 }
 
 ORACLES = {
@@ -207,4 +224,5 @@ ORACLES = {
     "stream_caller_sessions": f"""WITH {operations._ACCESS}, {operations._SESSIONS} SELECT sessions.* FROM sessions,
         (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS mark FROM access_log) WHERE session_end <= mark""",
     "stream_rate_limit": operations.ORACLES["rate_limit_replay"],
+    "stream_rate_in_order": operations.ORACLES["rate_limit_replay"],
 }

@@ -14,9 +14,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from packlens.operators import drift, forest, ratelimit, screening
-from packlens.sources.sinks import prediction_log
+from packlens.sources.sinks import prediction_log, staged
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -136,6 +137,46 @@ def keep_value_counts(requests: DataFrame, path: str, checkpoint: str) -> Stream
     )
 
 
+def rate_limit_in_order(events: DataFrame, path: str, checkpoint: str, lateness_micros: int) -> StreamingQuery:
+    """Verdicts in the order of the requests' times, however they arrive, in folders below ``path``.
+
+    Requests are held until one came that is ``lateness_micros`` later, then replayed with the time slices of the batch
+    form: a caller with any share of a batch is cut into slices. A request that comes later still counts as made at
+    its caller's last one. Each batch keeps what it holds and the buckets in folders of its own, made from those of
+    the batch before, so a batch that runs again changes nothing. ``close_in_order`` decides on what is held at the end.
+    """
+    schema = events.schema
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        waiting, buckets = _held(spark, path, number - 1, schema)
+        rows = staged(waiting.unionByName(batch.select(waiting.columns)), "arrived")
+        newest = rows.agg(F.max("at_micros")).first()[0]
+        ready = F.coalesce(F.col("at_micros") <= F.lit((newest or 0) - lateness_micros), F.lit(True))
+        _decide(rows.where(ready), rows.where(~ready), buckets, path, number)
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def close_in_order(spark: SparkSession, path: str, last_batch: int, schema: StructType) -> DataFrame:
+    """Decides on the requests still held after ``last_batch``, as the batch that follows; all verdicts of the feed."""
+    waiting, buckets = _held(spark, path, last_batch, schema)
+    _decide(waiting, waiting.limit(0), buckets, path, last_batch + 1)
+    return spark.read.option("basePath", f"{path}/verdicts").parquet(f"{path}/verdicts").drop("batch")
+
+
+def _held(spark: SparkSession, path: str, number: int, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    if number < 0:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], ratelimit.BUCKETS)
+    return spark.read.schema(schema).parquet(f"{path}/waiting/batch={number}"), spark.read.schema(ratelimit.BUCKETS).parquet(f"{path}/buckets/batch={number}")
+
+
+def _decide(ready: DataFrame, waiting: DataFrame, buckets: DataFrame, path: str, number: int) -> None:
+    verdicts, after = ratelimit.replay_from(ready, buckets)
+    for name, rows in (("verdicts", verdicts), ("buckets", after), ("waiting", waiting)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+
 BUCKET_STATE = "tokens long, at_micros long"
 VERDICTS = "event_id long, scope string, caller string, allowed boolean, tokens_left long, retry_micros long"
 IDLE_MILLIS = 3_600_000

@@ -76,3 +76,36 @@ def test_sets_and_reports_as_files(spark, tmp_path, monkeypatch):
     found = {(r["metric"], r["kind"]) for r in evalgate.report_gate(report, golden.gates(spark)).collect()}
     assert ("faithfulness", "score") in found and ("faithfulness", "coverage") in found and ("retrieval_recall", "score") not in found
     assert golden.read_report(spark, str(tmp_path / "none")) is None
+
+
+def test_buckets_in_order_of_time_however_requests_arrive(spark, tmp_path):
+    """A hot caller, null callers, free requests and ones without a time, in files that overlap in time; a second run."""
+    from packlens.operators import ratelimit
+
+    rng = random.Random(8)
+    rows = [(i, "ask", "hot" if i % 2 else None if i % 5 == 0 else f"c{i % 7}", rng.randrange(400_000_000), rng.choice([6, 6, 3])) for i in range(400)]
+    rows += [(1000, "ask", "hot", None, 6), (1001, "ask", "hot", 5, 0), (1002, "ask", "x", 7, None)]
+    schema = "event_id long, scope string, caller string, at_micros long, per_minute int"
+    path = str(tmp_path / "in")
+    for part in range(4):
+        own = [r for r in rows if (0 if r[3] is None else min(3, (r[3] + r[0] % 10 * 3_000_000) // 100_000_000)) == part]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(path)
+    frame = spark.createDataFrame(rows, schema)
+    want = sorted(map(str, ratelimit.replay(frame, 50_000_000).collect()))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    query = jobs.rate_limit_in_order(stream, out, state, 30_000_000)
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    for _ in range(2):
+        assert sorted(map(str, jobs.close_in_order(spark, out, last, frame.schema).select("event_id", "scope", "caller", "allowed", "tokens_left", "retry_micros").collect())) == want
+
+
+def test_requests_beyond_the_lateness_do_not_turn_the_clock_back(spark):
+    from packlens.operators import ratelimit
+
+    held = spark.createDataFrame([("ask", "a", 0, 100), ("ask", "b", 60_000_000, 100)], ratelimit.BUCKETS)
+    rows = spark.createDataFrame([(1, "ask", "a", 50, 6), (2, "ask", "c", 40, 6)], "event_id long, scope string, caller string, at_micros long, per_minute int")
+    verdicts, after = ratelimit.replay_from(rows, held)
+    assert {r["event_id"]: r["allowed"] for r in verdicts.collect()} == {1: False, 2: True}
+    assert {r["caller"]: (r["tokens"], r["at_micros"]) for r in after.collect()} == {"a": (0, 100), "b": (60_000_000, 100), "c": (5 * 60_000_000, 40)}
