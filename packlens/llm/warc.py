@@ -34,6 +34,8 @@ WHOLE_FILE_BYTES = 64 << 20
 #: Longer records are taken for damaged.
 LONGEST_RECORD = 1 << 30
 _PIECE = 1 << 20
+_FIRST_PIECE = 1 << 14
+_FETCH = 1 << 22
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _LATER = re.compile(rb"\nWARC/1\.[01]\r?\n")
@@ -127,7 +129,7 @@ class Held:
 
 
 class Opened:
-    """A file that is read in pieces from its path."""
+    """A file that is read in pieces from its path. The last piece is kept, so what is read on is fetched once."""
 
     def __init__(self, path: str) -> None:
         from pyarrow import fs
@@ -135,9 +137,21 @@ class Opened:
         system, inner = fs.FileSystem.from_uri(path)
         self.file = system.open_input_file(inner)
         self.size = self.file.size()
+        self.held, self.begin = b"", 0
 
     def read(self, start: int, n: int) -> bytes:
-        return self.file.read_at(max(0, min(n, self.size - start)), start) if start < self.size else b""
+        end = min(start + n, self.size)
+        if start >= end:
+            return b""
+        kept = self.begin + len(self.held)
+        if not self.begin <= start <= kept:
+            self.held, self.begin = self._fetch(start, end), start
+        elif end > kept:
+            self.held, self.begin = self.held[start - self.begin :] + self._fetch(kept, end), start
+        return self.held[start - self.begin : end - self.begin]
+
+    def _fetch(self, start: int, end: int) -> bytes:
+        return self.file.read_at(min(max(end - start, _FETCH), self.size - start), start)
 
     def find(self, what: bytes, start: int) -> int:
         while start < self.size:
@@ -306,9 +320,11 @@ def _check(record: Record, ended: bool) -> None:
 def _inflate(source: Held | Opened, at: int) -> tuple[bytes, int]:
     """Content and end of the member at ``at``."""
     engine, out, where, size = zlib.decompressobj(31), [], at, 0
+    step = _FIRST_PIECE  # most members are small; of a large one more is read each time
     try:
         while not engine.eof:
-            piece = source.read(where, _PIECE)
+            piece = source.read(where, step)
+            step = min(2 * step, _PIECE)
             if not piece:
                 raise Unsound("member is cut")
             part = engine.decompress(piece)
