@@ -83,6 +83,11 @@ def log_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scalar of nested log lines with its path, secrets masked at any depth."""
+    return logs.leaves(logs.nested_lines(spark, folder), "event_id").select("event_id", "path", F.coalesce("value", F.lit("")).alias("value"))
+
+
 def mask_sensitive(spark: SparkSession, folder: str) -> DataFrame:
     parsed = logs.parse_lines(logs.log_lines(spark, folder))
     entries = F.array_sort(
@@ -148,6 +153,7 @@ QUERIES = {
     "tool_registry_check": tool_registry_check,
     "trajectory_files": trajectory_files,
     "log_parse": log_parse,
+    "log_nested": log_nested,
     "mask_sensitive": mask_sensitive,
     "access_rollup": access_rollup,
     "caller_traffic": caller_traffic,
@@ -238,6 +244,10 @@ ORACLES = {
         UNION ALL SELECT event_id, false, NULL, line->>'$.level' AS level, line->>'$.endpoint' AS endpoint,
         (line->>'$.status_code')::BIGINT AS status_code, round((line->>'$.duration_ms')::DOUBLE,3) AS duration_ms,
         len(json_keys(line)) - 6 AS n_extras, line->>'$.user' AS "user" FROM good""",
+    "log_nested": f"""WITH l AS (SELECT event_id, {logs.NESTED_LINE} AS line FROM events),
+        t AS (SELECT event_id, fullkey AS path, atom FROM (SELECT * FROM l WHERE json_valid(line)) g, json_tree(g.line) WHERE atom IS NOT NULL)
+        SELECT event_id, path, CASE WHEN len(list_filter(regexp_split_to_array(lower(path), '[.\[]'), lambda k: regexp_matches(k, 'api_key|apikey|secret|password|token|authorization')
+            AND NOT (ends_with(k,'_tokens') OR k = 'tokens'))) > 0 THEN '***' ELSE atom->>'$' END AS value FROM t""",
     "mask_sensitive": f"""WITH {_LINES0}, {_LINES}, {_EXTRAS},
         m AS (SELECT event_id, k || '=' || CASE WHEN NOT (ends_with(lower(k),'_tokens') OR lower(k)='tokens')
             AND regexp_matches(lower(k), 'api_key|apikey|secret|password|token|authorization') THEN '***'

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packlens.functions.text import estimate_tokens
+from packlens.sources.sinks import staged
 from packlens.sources.tables import events, spread, table
 
 # Parts of a key that mark a secret, and what replaces its value.
@@ -51,6 +54,30 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return whole.withColumns(typed).drop("_log", line)
 
 
+def leaves(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, path, kind, value) of every scalar in each JSON line, however deep: objects and arrays keep their
+    structure as paths (``$.a.b[0]``) and scalars their type.
+
+    A value is masked where a key on its path, not only the last one, names a secret. Lines that are no JSON, and null
+    ones, give no row; an empty object or array is a leaf of that kind without a value. One pass per level of nesting.
+    """
+    spark = lines.sparkSession
+    level = lines.select(F.col(key), F.lit("$").alias("path"), F.lit(False).alias("secret"), F.try_parse_json(line).alias("v")).where(F.col("v").isNotNull())
+    found = []
+    while True:
+        level = staged(level.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)), "log-level")
+        inner = F.col("kind").isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
+        text = F.when(F.col("secret"), F.lit(MASK)).when(F.col("kind").isin("OBJECT", "ARRAY", "VOID"), None).otherwise(F.try_variant_get("v", "$", "string"))
+        found.append(level.where(~inner).select(key, "path", "kind", text.alias("value")))
+        deeper = level.where(inner)
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        each = deeper.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        step = F.when(F.col("_key").isNotNull(), F.concat(F.lit("."), "_key")).otherwise(F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+        hidden = F.col("secret") | F.coalesce(is_secret(F.col("_key")), F.lit(False))
+        level = each.select(key, F.concat("path", step).alias("path"), hidden.alias("secret"), F.col("_value").alias("v"))
+
+
 def endpoint_label(route: Column, path: Column) -> Column:
     """The route pattern where one matched, else the path asked for."""
     return F.coalesce(route, path)
@@ -71,6 +98,19 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spread(events(spark, folder)).selectExpr("event_id", f"{LOG_LINE} AS line")
 
 
+def nested_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_id, line): each event as a line with nested extras."""
+    return events(spark, folder).selectExpr("event_id", f"{NESTED_LINE} AS line")
+
+
+# Same text in the SQL check.
+NESTED_LINE = """
+concat('{"level":"INFO","request":{"id":', cast(event_id as string), ',"headers":{"Authorization":"Bearer ', cast(event_id as string),
+  '","accept":["a","b', cast(user_id as string), '"]},"timings":[', cast(event_id%11 as string), ',{"db_ms":', cast(event_id%7 as string),
+  '}]},"Session_Token":{"id":"s', cast(user_id as string), '","tries":', cast(event_id%3 as string), '},"output_tokens":', cast(event_id%900 as string),
+  ',"ok":', CASE WHEN event_type='error' THEN 'false' ELSE 'true' END, CASE WHEN event_id%40=39 THEN '' ELSE '}' END)
+""".strip()
+
 LOG_LINE = """
 concat('{"level": "', CASE WHEN event_type='error' THEN 'ERROR' ELSE 'INFO' END,
   '", "logger": "api", "message": "request", "endpoint": "/', event_type,
