@@ -1,7 +1,8 @@
 """Exact vector retrieval: every query against every stored vector, k best kept.
 
-Only k rows per query leave a task; the full score matrix never becomes rows. A query side of
-checked size is broadcast and the vectors are scanned in place. A larger one is cut into
+Only k rows per query leave a task; the full score matrix never becomes rows. The smaller side is
+broadcast if its size, which is checked, allows: queries over the vectors in place, or vectors over the
+queries, each of which is then done in one task. Larger sides are cut into
 blocks: both sides are hashed to blocks of bounded bytes, each pair of blocks meets in one
 task, and each task again keeps k rows per query.
 """
@@ -81,6 +82,8 @@ def _running_best(qids: np.ndarray, queries: np.ndarray, batches: Iterator[pd.Da
 def _scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Local best k of each partition of the vectors, the query matrix being broadcast."""
     known = queries.select("qid", "embedding").toPandas()
+    if known.empty:
+        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
     qids = known["qid"].to_numpy(dtype=np.int64)
     shared = queries.sparkSession.sparkContext.broadcast((qids, _unit(known["embedding"])))
 
@@ -91,6 +94,23 @@ def _scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("chunk_id", "embedding").mapInPandas(scan, HIT_SCHEMA)
 
 
+def _scan_queries(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Best k of each query among all vectors, which are broadcast: a query's rows come from one task."""
+    known = vectors.select("chunk_id", "embedding").toPandas().sort_values("chunk_id", kind="stable", ignore_index=True)
+    shared = queries.sparkSession.sparkContext.broadcast(known)
+    step = 4096
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        parts = [table.iloc[i : i + step] for i in range(0, len(table), step)]
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                asked = batch.iloc[i : i + step]
+                yield _running_best(asked["qid"].to_numpy(dtype=np.int64), _unit(asked["embedding"]), iter(parts), k)
+
+    return queries.select("qid", "embedding").mapInPandas(scan, HIT_SCHEMA)
+
+
 def _blocked(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: int, vector_blocks: int) -> DataFrame:
     """Local best k of each (query block, vector block) pair."""
 
@@ -131,10 +151,14 @@ def nearest(
     """
     size = F.sum(F.size("embedding").cast("bigint") * 8)
     query_bytes = queries.agg(size.alias("b")).first()["b"] or 0
-    if query_bytes <= broadcast_bytes:
+    vector_bytes = vectors.agg(size.alias("b")).first()["b"] or 0
+    if vector_bytes <= min(query_bytes, broadcast_bytes):
+        # Few queries are dealt over the cores; many have partitions enough.
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        hits = _scan_queries(queries.repartition(cores) if query_bytes <= broadcast_bytes else queries, vectors, k)
+    elif query_bytes <= broadcast_bytes:
         hits = _scan(queries, vectors, k)
     else:
-        vector_bytes = vectors.agg(size.alias("b")).first()["b"] or 0
         hits = _blocked(
             queries, vectors, k, -(-query_bytes // block_bytes), max(1, -(-vector_bytes // block_bytes))
         )

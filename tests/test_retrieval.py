@@ -125,3 +125,24 @@ def test_citations(spark):
     assert cited(spark, [2, 2]) == [("b", "three")]
     assert cited(spark, []) == [("a", "one two"), ("b", "three")]
     assert cited(spark, [7]) == [("a", "one two"), ("b", "three")]
+
+
+def test_all_ways_of_search_agree(spark):
+    """Broadcast queries, broadcast vectors and blocks; ties, equal vectors, zero vectors, fewer vectors than k."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    queries = vectors.withColumnRenamed("chunk_id", "qid")
+    few, small = queries.where("qid < 7"), vectors.where("chunk_id % 30 = 1")
+    for q, v in ((queries, vectors), (few, vectors), (queries, small)):
+        ways = [retrieval.nearest(q, v, 4), retrieval.nearest(q, v, 4, broadcast_bytes=-1, block_bytes=700)]
+        ways += [retrieval.nearest(q, v, 4, broadcast_bytes=10**9)]
+        want = sorted(map(tuple, ways[0].select("qid", "chunk_id", "score", "rank").collect()))
+        for way in ways[1:]:
+            assert sorted(map(tuple, way.select("qid", "chunk_id", "score", "rank").collect())) == want
+        scores = {i: np.array(e) for i, e in rows}
+        for qid, chunk, score, _ in want:
+            a, b = scores[qid], scores[chunk]
+            norm = np.linalg.norm(a) * np.linalg.norm(b)
+            assert abs(score - (a @ b / norm if norm else 0)) < 1e-9
+    assert retrieval.nearest(queries.limit(0), vectors).collect() == [] == retrieval.nearest(queries, vectors.limit(0)).collect()
