@@ -2,9 +2,8 @@
 
 Only k rows per query leave a task; the full score matrix never becomes rows. The smaller side is
 broadcast if its size, which is checked, allows: queries over the vectors in place, or vectors over the
-queries, each of which is then done in one task. Larger sides are cut into
-blocks: both sides are hashed to blocks of bounded bytes, each pair of blocks meets in one
-task, and each task again keeps k rows per query.
+queries, each of which is then done in one task. Larger sides go through the index of
+``pivots``, which leaves out what the triangle bound rules out.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from packlens.functions.vectors import HIT_SCHEMA, running_best, unit
 from packlens.functions.windows import interpolated, placed_counts
+from packlens.operators import pivots
 from packlens.settings import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
@@ -25,71 +26,17 @@ from packlens.settings import (
 )
 from packlens.sources.sinks import staged
 
-HIT_SCHEMA = "qid long, chunk_id long, score double"
-# Scores are compared at ten places, so equal vectors tie whatever the order of summation.
-SCORE_PLACES = 10
-
-
-def _unit(vectors) -> np.ndarray:
-    """Rows scaled to length one; a zero vector stays zero and scores 0."""
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns per row, by score and then the smaller id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def _block_best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """k best of one block of vectors (ids ascending) for each query row."""
-    scores = np.round(queries @ vectors.T, SCORE_PLACES)
-    if scores.shape[1] <= k:
-        return scores, np.broadcast_to(ids, scores.shape)
-    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    above = scores > kth
-    level = scores == kth
-    room = k - above.sum(axis=1, keepdims=True)
-    rows, columns = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
-    shape = (scores.shape[0], k)
-    return scores[rows, columns].reshape(shape), ids[columns].reshape(shape)
-
-
-def _running_best(qids: np.ndarray, queries: np.ndarray, batches: Iterator[pd.DataFrame], k: int) -> pd.DataFrame:
-    """k best per query over all batches; memory is k rows per query and one score block."""
-    best_scores = np.empty((len(qids), 0))
-    best_ids = np.empty((len(qids), 0), dtype=np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
-        batch = batch.sort_values("chunk_id", kind="stable")
-        ids = batch["chunk_id"].to_numpy(dtype=np.int64)
-        vectors = _unit(batch["embedding"])
-        parts = [
-            _block_best(queries[i : i + 1024], vectors, ids, k) for i in range(0, len(queries), 1024)
-        ]
-        scores = np.concatenate([best_scores, np.concatenate([s for s, _ in parts])], axis=1)
-        found = np.concatenate([best_ids, np.concatenate([i for _, i in parts])], axis=1)
-        best_scores, best_ids = _best(scores, found, k)
-    width = best_scores.shape[1]
-    return pd.DataFrame(
-        {"qid": np.repeat(qids, width), "chunk_id": best_ids.ravel(), "score": best_scores.ravel()}
-    )
-
-
 def _scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Local best k of each partition of the vectors, the query matrix being broadcast."""
     known = queries.select("qid", "embedding").toPandas()
     if known.empty:
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
     qids = known["qid"].to_numpy(dtype=np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((qids, _unit(known["embedding"])))
+    shared = queries.sparkSession.sparkContext.broadcast((qids, unit(known["embedding"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, matrix = shared.value
-        yield _running_best(qids, matrix, batches, k)
+        yield running_best(qids, matrix, batches, k)
 
     return vectors.select("chunk_id", "embedding").mapInPandas(scan, HIT_SCHEMA)
 
@@ -106,37 +53,11 @@ def _scan_queries(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), step):
                 asked = batch.iloc[i : i + step]
-                yield _running_best(asked["qid"].to_numpy(dtype=np.int64), _unit(asked["embedding"]), iter(parts), k)
+                yield running_best(asked["qid"].to_numpy(dtype=np.int64), unit(asked["embedding"]), iter(parts), k)
 
     return queries.select("qid", "embedding").mapInPandas(scan, HIT_SCHEMA)
 
 
-def _blocked(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: int, vector_blocks: int) -> DataFrame:
-    """Local best k of each (query block, vector block) pair."""
-
-    def hashed(df: DataFrame, key: str, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.select(
-            key,
-            "embedding",
-            F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
-        )
-
-    left = hashed(queries, "qid", "qb", query_blocks, "vb", vector_blocks)
-    right = hashed(vectors, "chunk_id", "vb", vector_blocks, "qb", query_blocks)
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "chunk_id": [], "score": []}).astype(
-                {"qid": "int64", "chunk_id": "int64", "score": "float64"}
-            )
-        step = 4096
-        batches = (right.iloc[i : i + step] for i in range(0, len(right), step))
-        return _running_best(left["qid"].to_numpy(dtype=np.int64), _unit(left["embedding"]), batches, k)
-
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, HIT_SCHEMA)
-
-
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -159,9 +80,7 @@ def nearest(
     elif query_bytes <= broadcast_bytes:
         hits = _scan(queries, vectors, k)
     else:
-        hits = _blocked(
-            queries, vectors, k, -(-query_bytes // block_bytes), max(1, -(-vector_bytes // block_bytes))
-        )
+        hits = pivots.hits(pivots.search(queries, pivots.index(vectors, block_bytes), k))
     best_first = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 

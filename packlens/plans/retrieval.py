@@ -20,6 +20,14 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def indexed_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The hits of ``vector_topk`` through the index of pivots, whatever the sizes."""
+    queries, vectors = views.vector_queries(spark, folder), views.vectors(spark, folder)
+    return ops.nearest(queries, vectors, broadcast_bytes=-1).select(
+        "qid", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 4).alias("relevance")
+    )
+
+
 def retrieval_floor(spark: SparkSession, folder: str) -> DataFrame:
     scored = ops.candidate_scores(_hits(spark, folder))
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
@@ -68,6 +76,7 @@ def relevance_separability(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "vector_topk": vector_topk,
+    "indexed_topk": indexed_topk,
     "retrieval_floor": retrieval_floor,
     "context_block": context_block,
     "index_self_check": index_self_check,
@@ -78,11 +87,14 @@ QUERIES = {
 _TOP1 = """top1 AS (SELECT answerable, round(coalesce(score,0),4) AS relevance
     FROM vector_queries LEFT JOIN (SELECT * FROM hits WHERE rank = 1) USING (qid))"""
 
+_TOPK = with_views(
+    ["vector_queries", "hits"],
+    f"SELECT qid, rank, chunk_id, round(score,4) AS relevance FROM hits WHERE rank <= {TOP_K}",
+)
+
 ORACLES = {
-    "vector_topk": with_views(
-        ["vector_queries", "hits"],
-        f"SELECT qid, rank, chunk_id, round(score,4) AS relevance FROM hits WHERE rank <= {TOP_K}",
-    ),
+    "vector_topk": _TOPK,
+    "indexed_topk": _TOPK,
     "retrieval_floor": with_views(
         ["vector_queries", "hits"],
         f"""SELECT qid, count(*) AS n_candidates, count(*) FILTER (WHERE score >= {MIN_RELEVANCE}) AS n_kept,

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import Window, functions as F
 
-from packlens.operators import answers, ingest, retrieval
+from packlens.operators import answers, ingest, pivots, retrieval
 
 VECTORS = "chunk_id long, embedding array<float>"
 QUERIES = "qid long, embedding array<float>"
@@ -146,3 +147,45 @@ def test_all_ways_of_search_agree(spark):
             norm = np.linalg.norm(a) * np.linalg.norm(b)
             assert abs(score - (a @ b / norm if norm else 0)) < 1e-9
     assert retrieval.nearest(queries.limit(0), vectors).collect() == [] == retrieval.nearest(queries, vectors.limit(0)).collect()
+
+
+def by_index(q, v, k, block_bytes):
+    looked = pivots.search(q, pivots.index(v, block_bytes), k).cache()
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    best = pivots.hits(looked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return {(r.qid, r.chunk_id, r["rank"], round(r.score, 6)) for r in best.collect()}, pivots.pairs_compared(looked)
+
+
+@pytest.mark.parametrize(("k", "block_bytes"), [(1, 200), (4, 200), (4, 12000), (1, 10**8)])
+def test_pivot_index_is_exact_and_skips_far_groups(spark, k, block_bytes):
+    """Tight clusters, one of them a third of all rows and all alike; bins smaller and larger than a group."""
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(11, 16))
+    rows = [middles[0] if i % 3 == 0 else middles[i % 11] + 0.02 * rng.normal(size=16) for i in range(600)]
+    asked = [middles[i % 11] + 0.02 * rng.normal(size=16) for i in range(60)]
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], VECTORS).repartition(4)
+    q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(asked)], QUERIES)
+    found, compared = by_index(q, v, k, block_bytes)
+    assert found == brute_force(asked, rows, k)
+    assert compared < 0.5 * len(rows) * len(asked)
+
+
+def test_pivot_index_of_one_vector_zero_vectors_and_nothing(spark):
+    zero = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(6)], VECTORS)
+    one = spark.createDataFrame([(9, [0.0, -1.0])], VECTORS)
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, -2.0])], QUERIES)
+    assert by_index(q, zero, 2, 16)[0] == {(i, c, c + 1, 0.0) for i in (1, 2, 3) for c in (0, 1)}
+    want = {(1, 0, 1, 0.0), (1, 1, 2, 0.0), (2, 0, 1, 0.0), (2, 1, 2, 0.0), (3, 9, 1, 1.0), (3, 0, 2, 0.0)}
+    assert by_index(q, zero.union(one), 2, 16)[0] == want
+    assert by_index(q, one, 2, 16)[0] == {(1, 9, 1, 0.0), (2, 9, 1, -1.0), (3, 9, 1, 1.0)}
+    assert by_index(q, one.limit(0), 2, 16) == (set(), 0) == by_index(q.limit(0), one, 2, 16)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_no_score_lies_above_its_bound(seed):
+    rng = np.random.default_rng(seed)
+    centre, query, *others = np.stack([v / np.linalg.norm(v) for v in rng.normal(size=(9, 4))])
+    angles = [np.arccos(centre @ o) for o in others]
+    bound = pivots.score_bound(np.array(np.arccos(centre @ query)), np.array(min(angles)), np.array(max(angles)))
+    assert max(query @ o for o in others) <= bound + 1e-9
