@@ -7,22 +7,23 @@ pattern side alone, the cheapest largest flow is found layer by layer: a largest
 layer open, extended with the next one. Within a pattern, documents are then taken in a seeded
 order until its flow is used.
 
-Patterns of a single source that shares no document need no network: their flow is the quota. Only
-the patterns of several sources, and the sources these touch, meet on the driver, and at most
-``MOST_PATTERNS`` of them: documents of further patterns, the smallest ones, count for one of their
-sources, chosen by a seeded hash.
+Sources that share documents, directly or through others, form a component, found by join rounds.
+Every pattern goes through the network of its component, and each component is solved in a task of
+its own: nothing meets on the driver, no pattern is left out or folded. A component's patterns are
+held by its task, without their documents. Where every document has one source, each component is
+one pattern with one quota.
 """
 
 from __future__ import annotations
 
-import json
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packlens.llm.common import WORD, staged
+from packlens.llm.graph import components
 
-MOST_PATTERNS = 10_000
 LAYERS = 2
 BITS = 10
 
@@ -145,10 +146,6 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: st
         "_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(size)), 64 - 3 * BITS)
     )
     narrow = staged(rows.select(key, size, sources, "_pattern", "_h"), "sizes")
-    kept = _kept_patterns(narrow, size, sources)
-    if kept is not None:
-        rows = _folded(rows, kept, sources)
-        narrow = staged(_folded(narrow, kept, sources).withColumn(sources, F.from_json("_pattern", "array<string>")), "sizes")
     plan = _flows(narrow.groupBy("_pattern", sources).agg(F.sum(size).alias("words")), targets, sources)
     # Where the flow of a pattern stops in the seeded order: by first digits of the hash, then by the next ones, then by rows.
     first, second = F.shiftright("_h", 2 * BITS), F.shiftright("_h", BITS) % (1 << BITS)
@@ -194,53 +191,41 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", sources: st
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], "copies")
 
 
-def _kept_patterns(rows: DataFrame, size: str, sources: str) -> DataFrame | None:
-    """The largest patterns of several sources, where there are more than the network may have; else None."""
-    several = rows.filter(F.size(F.array_distinct(sources)) > 1).groupBy("_pattern").agg(F.sum(size).alias("_words"))
-    several = staged(several, "several")
-    if several.count() <= MOST_PATTERNS:
-        return None
-    return staged(several.orderBy(F.desc("_words"), "_pattern").limit(MOST_PATTERNS).select("_pattern", F.lit(True).alias("_keep")), "kept")
+def _node(name: Column) -> Column:
+    """A source as a node of a graph; null is a source too."""
+    return F.xxhash64(name.isNull(), name)
 
 
-def _folded(rows: DataFrame, kept: DataFrame, sources: str) -> DataFrame:
-    """Rows of other patterns of several sources get the pattern of one of these, by their hash."""
-    names = F.array_sort(F.array_distinct(sources))
-    one = F.array(F.element_at(names, (F.col("_h") % F.greatest(F.size(names), F.lit(1)) + 1).cast("int")))
-    fold = (F.size(names) > 1) & F.col("_keep").isNull()
-    marked = rows.join(F.broadcast(kept), "_pattern", "left")
-    return marked.withColumn("_pattern", F.when(fold, F.to_json(one)).otherwise(F.col("_pattern"))).drop("_keep")
+def _components(patterns: DataFrame, name: str) -> DataFrame:
+    """(node, component) of the sources that share a document with another one; ``name`` is the array of sources."""
+    names = F.array_distinct(name)
+    several = patterns.filter(F.size(names) > 1).select(_node(F.element_at(names, 1)).alias("a"), F.explode(F.slice(names, 2, F.size(names))).alias("other"))
+    return components(several.select("a", _node(F.col("other")).alias("b")).distinct())
 
 
 def _flows(patterns: DataFrame, targets: DataFrame, sources: str) -> DataFrame:
     """(_pattern, _rounds, _rest): how often a pattern is taken whole, and the words beyond."""
     patterns = staged(patterns.filter(F.size(sources) > 0), "patterns")
     # A pattern that names a source twice is the same pattern.
-    merged = patterns.groupBy("_pattern").agg(F.sum("words").alias("words"), F.first(sources).alias(sources))
-    quotas = targets.select(F.col("source").alias("name"), F.floor("target").alias("quota"))
-    many = merged.filter(F.size(F.array_distinct(sources)) > 1)  # MOST_PATTERNS at most
-    shared = [(r["_pattern"], r["words"]) for r in many.select("_pattern", "words").collect()]
-    alone = merged.filter(F.size(F.array_distinct(sources)) == 1).withColumn("source", F.element_at(sources, 1)).drop(sources)
-    flows = alone.join(quotas, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("flow", F.coalesce("quota", F.lit(0)))
-    if shared:
-        flows = _with_shared(flows, alone, quotas, shared)
-    flow = F.least(F.col("flow"), F.col("words") * LAYERS)
+    merged = patterns.groupBy("_pattern").agg(F.sum("words").alias("words"), F.array_sort(F.array_distinct(F.min_by(sources, F.size(sources)))).alias("names"))
+    joined = staged(_components(merged, "names"), "components")
+
+    def placed(rows: DataFrame, name: Column) -> DataFrame:
+        found = rows.withColumn("node", _node(name)).join(joined, "node", "left")
+        return found.withColumn("component", F.coalesce("component", "node")).drop("node")
+
+    left = placed(merged, F.element_at("names", 1))
+    right = placed(targets.select(F.col("source").alias("name"), F.floor("target").cast("long").alias("quota")), F.col("name"))
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("_pattern")
+        name = right["name"].astype(object).where(right["name"].notna(), None)
+        place = {s: i for i, s in enumerate(name)}
+        reached = [[place[s] for s in names if s in place] for names in left["names"]]
+        words = left["words"].astype(int).tolist()
+        flow = largest_flow(list(zip(reached, words, strict=True)), right["quota"].astype(int).tolist())
+        return pd.DataFrame({"_pattern": left["_pattern"].to_numpy(), "words": words, "flow": flow}).astype({"words": "int64", "flow": "int64"})
+
+    flows = left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(solve, "_pattern string, words long, flow long")
     words = F.greatest("words", F.lit(1))
-    return staged(flows.select("_pattern", F.floor(flow / words).cast("int").alias("_rounds"), (flow % words).alias("_rest")), "flows")
-
-
-def _with_shared(flows: DataFrame, alone: DataFrame, quotas: DataFrame, shared: list[tuple[str, int]]) -> DataFrame:
-    spark = flows.sparkSession
-    names = sorted({s for p, _ in shared for s in json.loads(p)}, key=lambda s: (s is None, s or ""))
-    singles = F.broadcast(spark.createDataFrame([(s,) for s in names], "touched string"))
-    own = alone.join(singles, F.col("source").eqNullSafe(F.col("touched")), "left_semi").select("source", "_pattern", "words").collect()
-    wanted = quotas.join(singles, F.col("name").eqNullSafe(F.col("touched")), "left_semi").collect()
-    place = {s: i for i, s in enumerate(names)}
-    quota = [0] * len(names)
-    for r in wanted:
-        quota[place[r["name"]]] = int(r["quota"])
-    nodes = [([place[r["source"]]], int(r["words"])) for r in own] + [([place[s] for s in json.loads(p)], int(w)) for p, w in shared]
-    drawn = largest_flow(nodes, quota)
-    rows = [(name, size, flow) for name, (_, size), flow in zip([r["_pattern"] for r in own] + [p for p, _ in shared], nodes, drawn, strict=True)]
-    solved = spark.createDataFrame(rows, "_pattern string, words long, flow long")
-    return flows.select("_pattern", "words", "flow").join(F.broadcast(solved.select("_pattern")), "_pattern", "left_anti").unionByName(solved)
+    return staged(flows.select("_pattern", F.floor(F.col("flow") / words).cast("int").alias("_rounds"), (F.col("flow") % words).alias("_rest")), "flows")

@@ -74,10 +74,7 @@ def test_mix_meets_targets_with_overlap(spark):
     assert mix(docs.limit(0), targets).collect() == []
 
 
-def test_patterns_beyond_the_network_count_for_one_source(spark, monkeypatch):
-    from packlens.llm import mixing
-
-    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+def test_many_patterns_meet_all_targets(spark):
     names = [["a", "b"], ["a", "c"], ["b", "c"], ["a"], ["b"], ["c"]]
     docs = spark.createDataFrame([(i, names[i % 6], 10 + i % 3) for i in range(600)], "doc_id long, sources array<string>, size long")
     targets = spark.createDataFrame([("a", 2000.0), ("b", 3000.0), ("c", 1000.0)], "source string, target double")
@@ -86,6 +83,48 @@ def test_patterns_beyond_the_network_count_for_one_source(spark, monkeypatch):
     assert sorted(map(tuple, (r["sources"] for r in got))) == sorted(map(tuple, (names[i % 6] for i in range(600))))
 
 
+def best_flow(patterns, quotas):
+    """(words, cost) of the largest and then cheapest amounts of ``patterns`` (sources, words), by trying all amounts."""
+    found, names = (0, 0), {q for s, _ in patterns for q in s}
+    for amounts in itertools.product(*[range(2 * w + 1) for _, w in patterns]):
+        fits = all(
+            sum(a for a, (s, _) in zip(amounts, patterns, strict=True) if set(s) <= set(k)) <= sum(quotas.get(q, 0) for q in k)
+            for r in range(len(names) + 1) for k in itertools.combinations(names, r)
+        )
+        if fits:
+            found = min(found, (-sum(amounts), sum(a + max(0, a - w) for a, (_, w) in zip(amounts, patterns, strict=True))))
+    return found
+
+
+def test_mix_of_components_is_the_best_flow(spark):
+    """Each component of sources against all amounts: documents of one word, so that a flow is met exactly."""
+    groups = [
+        ([(["a", "b"], 3), (["b"], 2), (["a"], 1)], {"a": 5, "b": 4}),
+        ([(["c", None], 2), ([None], 3), (["c"], 2)], {"c": 3, None: 9}),
+        ([(["d", "e"], 2), (["e", "f"], 2), (["f"], 1)], {"d": 1, "e": 2, "f": 4}),
+        ([(["g"], 4)], {"g": 5}),
+        ([(["h", "no target"], 2)], {"h": 3}),
+        ([(["no target either"], 2)], {}),
+    ]
+    rows, n = [], 0
+    for patterns, _ in groups:
+        for sources, words in patterns:
+            for _ in range(words):
+                rows.append((n, sources if n % 2 else sources[::-1] + sources[:1], 1))
+                n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")
+    targets = spark.createDataFrame([(s, float(q)) for _, quotas in groups for s, q in quotas.items()], "source string, target double")
+    copies = {r["doc_id"]: r["copies"] for r in mix(docs, targets).collect()}
+    at = 0
+    for patterns, quotas in groups:
+        amounts = []
+        for _, words in patterns:
+            amounts.append(sum(copies[at + i] for i in range(words)))
+            at += words
+        want = best_flow(patterns, quotas)
+        assert (-sum(amounts), sum(a + max(0, a - w) for a, (_, w) in zip(amounts, patterns, strict=True))) == want
+
+
 def test_mix_query(spark, small):
     got = op6_source_mix(spark, small).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
