@@ -138,6 +138,43 @@ def _last(separator: str) -> str:
 _ENDS = ", ".join(_last(separator) for separator in ("chr(10)||chr(10)", "chr(10)", "chr(32)"))
 _TAKEN = f"CASE WHEN p+{CHUNK_SIZE} >= n THEN n-p ELSE coalesce({_ENDS}, {CHUNK_SIZE}) END"
 
+def _cut(level: int, separator: str) -> str:
+    """Views of one level: its parts' pieces, each from a separator to the next one, and the long pieces as parts of the next level."""
+    return f"""w{level} AS (SELECT doc_id, p, unnest(a) AS w, generate_subscripts(a, 1) AS k
+        FROM (SELECT doc_id, p, string_split(t, {separator}) AS a FROM part{level})),
+      v{level} AS (SELECT doc_id, p, k, CASE WHEN k = 1 THEN w ELSE {separator} || w END AS t FROM w{level}),
+      piece{level} AS (SELECT doc_id, {level} AS level, p AS part, t, length(t) AS n,
+          (p + sum(length(t)) OVER o - length(t))::BIGINT AS s,
+          count(*) FILTER (WHERE length(t) >= {CHUNK_SIZE}) OVER o AS n_long
+        FROM v{level} WINDOW o AS (PARTITION BY doc_id, p ORDER BY k)),
+      part{level + 1} AS (SELECT doc_id, s AS p, t FROM piece{level} WHERE n >= {CHUNK_SIZE})"""
+
+
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]*"
+# Runs of short pieces, as their starts and ends; chunks of each run, one after the other; white space off both ends.
+_RECURSIVE = f"""WITH RECURSIVE part1 AS (SELECT doc_id, 0::BIGINT AS p, text AS t FROM documents WHERE length(text) > 0),
+    {_cut(1, "chr(10)||chr(10)")}, {_cut(2, "chr(10)")}, {_cut(3, "chr(32)")},
+    runs AS (
+      SELECT doc_id, list(s ORDER BY s) AS starts, max(s + n) AS stop FROM (
+        SELECT doc_id, level, part, n_long, s, n FROM piece1 WHERE n BETWEEN 1 AND {CHUNK_SIZE - 1}
+        UNION ALL SELECT doc_id, level, part, n_long, s, n FROM piece2 WHERE n BETWEEN 1 AND {CHUNK_SIZE - 1}
+        UNION ALL SELECT doc_id, level, part, n_long, s, n FROM piece3 WHERE n BETWEEN 1 AND {CHUNK_SIZE - 1})
+      GROUP BY doc_id, level, part, n_long
+      UNION ALL SELECT doc_id, range(p, p + length(t)), p + length(t) FROM part4),
+    run AS (SELECT row_number() OVER () AS id, doc_id, starts, list_append(starts[2:], stop) AS ends, stop FROM runs),
+    c AS (
+      SELECT id, starts[1] AS s, list_max(list_filter(ends, lambda x: x <= starts[1] + {CHUNK_SIZE})) AS e FROM run
+      UNION ALL
+      SELECT id, s, list_max(list_filter(ends, lambda x: x <= s + {CHUNK_SIZE})) FROM (
+        SELECT id, ends, list_min(list_filter(starts, lambda x: x >= greatest(e - {CHUNK_OVERLAP}, p - {CHUNK_SIZE}))) AS s FROM (
+          SELECT id, e, starts, ends, list_min(list_filter(ends, lambda x: x > e)) AS p FROM c JOIN run USING (id) WHERE e < stop))),
+    inner_ AS (SELECT doc_id, s, e, substr(text, s + 1, e - s) AS t FROM c JOIN run USING (id) JOIN documents USING (doc_id)),
+    stripped AS (SELECT doc_id, e, s + length(regexp_extract(t, '^{_WHITE}')) AS start_index,
+        regexp_replace(regexp_replace(t, '^{_WHITE}', ''), '{_WHITE}$', '') AS t FROM inner_),
+    kept AS (SELECT *, start_index + length(t) AS stop, max(start_index + length(t)) OVER (
+        PARTITION BY doc_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM stripped WHERE t <> '')
+    SELECT doc_id, start_index, length(t) AS n_chars, md5(t) AS digest FROM kept WHERE reached IS NULL OR stop > reached"""
+
 _CHUNKS_OF = "greatest(1, ceil((length({t})-" + f"{CHUNK_OVERLAP})/{_STRIDE}::DOUBLE)::BIGINT)"
 _CHANGES = f"""{_NAMED}, {_USABLE},
     docs AS (SELECT doc_id, text, CASE WHEN {_EDITED} THEN concat(text, ' v2') ELSE text END AS later, NOT {_LATE} AS first, NOT {_LEFT} AS second FROM usable),
@@ -174,6 +211,7 @@ ORACLES = {
               FROM c JOIN t USING (doc_id) WHERE c.p+c.k < t.n)))
         SELECT doc_id, p AS start_index, length(substr(text, p+1, k)) AS n_chars, md5(substr(text, p+1, k)) AS digest
         FROM c JOIN t USING (doc_id)""",
+    "chunk_recursive": _RECURSIVE,
     "ingest_idempotent": f"""WITH {_NAMED}, {_USABLE},
         n AS (SELECT sum(len({_STARTS}))::BIGINT AS n FROM usable)
         SELECT 'reset' AS mode, n AS n_chunks FROM n UNION ALL SELECT 'append', 2*n FROM n""",
