@@ -9,7 +9,7 @@ from packlens.functions import screening as rules
 from packlens.functions.text import STOPWORDS
 from packlens.operators import answers as ops, screening
 from packlens.plans.oracle_views import with_views
-from packlens.settings import MIN_RELEVANCE, TOP_K
+from packlens.settings import MIN_RELEVANCE, PHONE_DIGITS, TOP_K
 from packlens.sources import passages as views, replies as logged, sinks
 from packlens.sources.tables import spread, table
 
@@ -54,7 +54,7 @@ def pii_redaction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pii_redaction_full(spark: SparkSession, folder: str) -> DataFrame:
-    """All labels, and the redacted texts themselves; SQL without lookaround cannot repeat it."""
+    """All labels, and the redacted texts themselves."""
     scrubbed = rules.scrub(spread(table(spark, folder, "documents").select("doc_id", "text")), "text")
     return scrubbed.select("doc_id", F.md5("pii_text").alias("digest"), F.array_join("pii_labels", "|").alias("labels"))
 
@@ -215,6 +215,38 @@ def _pii_steps(source: str, column: str, keep: str) -> str:
     return ", ".join(out)
 
 
+def _runs_replaced(step: int, label: str, counts: str, run: str, lengths: tuple[int, int], first: str, around: str, digits: tuple[int, int]) -> str:
+    """CTEs up to p<step>: runs of a pattern that SQL can only test with all neighbours at hand.
+
+    At each character that may be first, the longest run is taken whose neighbours are none of ``around``; of
+    overlapping runs the leftmost stays, and those with a number of digits outside ``digits`` stay as they are.
+    """
+    x, near = f"x{step}", _quoted(around)
+    part = "array_to_string(ch[i:i+n-1], '')"
+    gap = "coalesce(array_to_string(ch[CASE WHEN k = 1 THEN 1 ELSE hits[k-1].e END:hits[k].s-1], ''), '')"
+    return f"""{x} AS (SELECT *, string_split(t, '') AS ch FROM p{step - 1}),
+      {x}_start AS (SELECT doc_id, ch, unnest(list_filter(range(1, len(ch) + 1), lambda i:
+          regexp_matches(ch[i], {_quoted(first)}) AND NOT (i > 1 AND regexp_matches(ch[i-1], {near})))) AS i FROM {x}),
+      {x}_run AS (SELECT doc_id, ch, i, list_max(list_filter(range({lengths[0]}, {lengths[1] + 1}), lambda n: i + n - 1 <= len(ch)
+          AND regexp_full_match({part}, {_quoted(run)}) AND (i + n > len(ch) OR NOT regexp_matches(ch[i+n], {near})))) AS n FROM {x}_start),
+      {x}_all AS (SELECT doc_id, list({{'s': i, 'e': i + n, 'run': {part}}} ORDER BY i) AS hits FROM {x}_run WHERE n IS NOT NULL GROUP BY doc_id),
+      {x}_left AS (SELECT doc_id, hits, hits[1] AS h FROM {x}_all UNION ALL SELECT * FROM (
+          SELECT doc_id, hits, list_filter(hits, lambda o: o.s >= h.e)[1] AS h FROM {x}_left) WHERE h IS NOT NULL),
+      {x}_hits AS (SELECT doc_id, list(struct_insert(h, good := length(regexp_replace(h.run, '\\P{{Nd}}', '', 'g'))
+          BETWEEN {digits[0]} AND {digits[1]}) ORDER BY h.s) AS hits FROM {x}_left GROUP BY doc_id),
+      p{step} AS (SELECT doc_id{counts}, coalesce(len(list_filter(hits, lambda h: h.good)), 0) AS n_{label}, CASE WHEN hits IS NULL THEN t ELSE
+          array_to_string(list_transform(range(1, len(hits) + 1), lambda k: {gap} || CASE WHEN hits[k].good THEN '[{label}]' ELSE hits[k].run END), '')
+          || coalesce(array_to_string(ch[hits[len(hits)].e:], ''), '') END AS t FROM {x} LEFT JOIN {x}_hits USING (doc_id))"""
+
+
+_PII_COUNTS = "".join(f", n_{label}" for label in _PII)
+_CARDS = _runs_replaced(4, "CREDIT_CARD", _PII_COUNTS, r"(?:\p{Nd}[ -]?){13,19}", (13, 38), r"\p{Nd}", r"[\p{Nd}.]", (13, 19))
+_PHONES = _runs_replaced(
+    5, "PHONE", f"{_PII_COUNTS}, n_CREDIT_CARD", r"\+?\p{Nd}[\p{Nd}\s\x0B\x{85}\p{Z}.\-()]{7,18}\p{Nd}", (9, 21),
+    r"[\p{Nd}+]", r"[\p{L}\p{M}\p{N}\p{Pc}.]", PHONE_DIGITS,
+)
+_ALL_LABELS = ", ".join(f"CASE WHEN n_{label} > 0 THEN '{label}' END" for label in sorted([*_PII, "CREDIT_CARD", "PHONE"]))
+
 _TEXTS = """texts AS (SELECT 'questions' AS origin, question AS text FROM questions
     UNION ALL SELECT 'documents-' || lang, text FROM documents)"""
 _TOKENS = r"greatest(length(question)//4, len(regexp_extract_all(question, '[^\s\p{Z}]+')))"
@@ -363,6 +395,12 @@ ORACLES = {
         u AS (SELECT origin, unnest([{{'l':'EMAIL','n':n_EMAIL}},{{'l':'IBAN','n':n_IBAN}},{{'l':'IP','n':n_IP}}]) AS x FROM p3)
         SELECT origin, x.l AS label, count(*) FILTER (WHERE x.n > 0) AS n_texts, sum(x.n)::BIGINT AS n_hits FROM u GROUP BY ALL""",
     ),
+    "pii_redaction_full": with_views(
+        [],
+        f"""{_pii_steps("documents", "text", "doc_id")}, {_CARDS}, {_PHONES}
+        SELECT doc_id, md5(t) AS digest, concat_ws('|', {_ALL_LABELS}) AS labels FROM p5""",
+        recursive=True,
+    ),
     "groundedness": with_views(
         ["replies"],
         f"""{_AUDIT}, {_AUDIT_ROWS} SELECT conv_id, turn, n AS n_sentences, n_bad AS n_unsupported,
