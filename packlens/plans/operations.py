@@ -246,7 +246,7 @@ ORACLES = {
         len(json_keys(line)) - 6 AS n_extras, line->>'$.user' AS "user" FROM good""",
     "log_nested": f"""WITH l AS (SELECT event_id, {logs.NESTED_LINE} AS line FROM events),
         t AS (SELECT event_id, fullkey AS path, atom FROM (SELECT * FROM l WHERE json_valid(line)) g, json_tree(g.line) WHERE atom IS NOT NULL)
-        SELECT event_id, path, CASE WHEN len(list_filter(regexp_split_to_array(lower(path), '[.\[]'), lambda k: regexp_matches(k, 'api_key|apikey|secret|password|token|authorization')
+        SELECT event_id, path, CASE WHEN len(list_filter(regexp_split_to_array(lower(path), '[.\\[]'), lambda k: regexp_matches(k, 'api_key|apikey|secret|password|token|authorization')
             AND NOT (ends_with(k,'_tokens') OR k = 'tokens'))) > 0 THEN '***' ELSE atom->>'$' END AS value FROM t""",
     "mask_sensitive": f"""WITH {_LINES0}, {_LINES}, {_EXTRAS},
         m AS (SELECT event_id, k || '=' || CASE WHEN NOT (ends_with(lower(k),'_tokens') OR lower(k)='tokens')
