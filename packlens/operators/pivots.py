@@ -27,6 +27,8 @@ from packlens.settings import BLOCK_BYTES, BROADCAST_BYTES
 from packlens.sources.sinks import staged
 
 MOST_CENTRES = 1024
+# Vectors looked at for each centre that is chosen.
+SAMPLED = 4
 # A bin holds as many rows at least, so that a first look finds k of them.
 LEAST_ROWS = 32
 RUN = 256
@@ -65,6 +67,16 @@ def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ centres.T, -1.0, 1.0))
 
 
+def _far_apart(units: np.ndarray, wanted: int) -> np.ndarray:
+    """At most ``wanted`` of the vectors, each the one farthest from those before it; no two alike."""
+    chosen = [0]
+    nearest = units @ units[0]
+    while len(chosen) < wanted and nearest.min() < 1.0 - SCORE_SLACK:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, units @ units[chosen[-1]])
+    return units[chosen]
+
+
 def score_bound(angle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The largest cosine with a query at ``angle`` from a centre of vectors at ``low`` to ``high`` from it."""
     return np.cos(np.maximum(np.maximum(low - angle, angle - high) - ANGLE_SLACK, 0.0))
@@ -76,11 +88,12 @@ def index(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
     source = vectors.select("chunk_id", "embedding")
     rows, width = source.agg(F.count("*"), F.max(F.size("embedding"))).first()
     row_bytes = 8 * max(width or 0, 1)
-    wanted = max(1, min(MOST_CENTRES, ceil(sqrt(rows)), BROADCAST_BYTES // row_bytes))
+    wanted = min(MOST_CENTRES, ceil(sqrt(rows)))
+    most = max(1, min(SAMPLED * wanted, BROADCAST_BYTES // row_bytes))
     # The least hashed ids: a sample that any partitioning gives alike. A zero vector has no direction.
     pointing = source.where(F.exists("embedding", lambda x: x != 0))
-    sample = pointing.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(wanted).collect()
-    centres = np.unique(unit([r[0] for r in sample]), axis=0) if sample else np.zeros((0, width or 0))
+    sample = pointing.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(most).collect()
+    centres = _far_apart(unit([r[0] for r in sample]), wanted) if sample else np.zeros((0, width or 0))
     shared = spark.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,8 +188,11 @@ def _look(routes: DataFrame, found: Index, k: int) -> DataFrame:
     width = routes.agg(F.max(F.size("embedding"))).first()[0] or 1
     room = max(1, found.block_bytes // (8 * width))
     asked = routes.select("qid", "embedding", "floor", F.explode("bins").alias("bin"))
-    # One row per bin: a bin's vectors go only where a block of its queries waits for them.
-    waiting = staged(asked.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(room)).alias("blocks")), "waiting-bins")
+    # One row per bin: a bin's vectors go only where a block of its queries waits for them. Few bins are cut for all cores.
+    counts = staged(asked.groupBy("bin").agg(F.count("*").alias("n")), "waiting-counts")
+    each = (counts.agg(F.sum("n")).first()[0] or 0) / routes.sparkSession.sparkContext.defaultParallelism
+    room = float(min(room, max(each, LEAST_ROWS)))
+    waiting = counts.select("bin", F.ceil(F.col("n") / F.lit(room)).alias("blocks"))
     block = F.pmod(F.xxhash64("qid"), "blocks").alias("block")
     left = asked.join(waiting, "bin").select("bin", block, "qid", "embedding", "floor")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
@@ -195,7 +211,10 @@ def _look(routes: DataFrame, found: Index, k: int) -> DataFrame:
         out.append(pd.DataFrame({"qid": [None], "chunk_id": [None], "score": [None], "compared": [compared]}))
         return pd.concat([frame.astype({"qid": "Int64", "chunk_id": "Int64", "score": "Float64", "compared": "Int64"}) for frame in out])
 
-    return left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInPandas(meet, RAW_SCHEMA)
+    # A number of its own keeps the adaptive plan from joining these few rows with much work into one task.
+    tasks = int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(tasks, "bin", "block").groupBy("bin", "block") for side in (left, right))
+    return left.cogroup(right).applyInPandas(meet, RAW_SCHEMA)
 
 
 def _runs(stored: pd.DataFrame) -> list[tuple[int, float, float, np.ndarray, np.ndarray]]:
@@ -224,12 +243,18 @@ def _look_in(asked: pd.DataFrame, runs: list, centres: np.ndarray, k: int) -> tu
     scores = np.full((len(queries), k), -np.inf)
     ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     compared = 0
-    for r in np.argsort(-bounds.mean(axis=0), kind="stable"):
+    # Each query's likeliest run comes first, so that it has a score to reach before it meets the others.
+    likeliest = bounds.argmax(axis=1)
+    for near, r in [(True, r) for r in np.unique(likeliest)] + [(False, r) for r in range(len(runs))]:
         _, _, _, run_ids, units = runs[r]
-        open_ = np.flatnonzero(bounds[:, r] + SCORE_SLACK >= np.maximum(floor, scores[:, k - 1]))
+        reach = np.maximum(floor, scores[:, k - 1]) - SCORE_SLACK
+        open_ = np.flatnonzero(((likeliest == r) == near) & (bounds[:, r] >= reach))
         if not len(open_):
             continue
         compared += len(open_) * len(run_ids)
+        open_ = open_[(queries[open_] @ units.T >= reach[open_, None]).any(axis=1)]
+        if not len(open_):
+            continue
         new_scores, new_ids = block_best(queries[open_], units, run_ids, k)
         both = np.concatenate([scores[open_], new_scores], axis=1), np.concatenate([ids[open_], new_ids], axis=1)
         scores[open_], ids[open_] = best(*both, k)
