@@ -102,3 +102,13 @@ def test_forest_is_accurate_and_versions_count_up(spark, small, tmp_path):
     model, version = forest.load_latest(spark, str(tmp_path))
     assert version == "2"
     assert forest.score(model, views.score_requests(spark, small), "event_id").count() == 1000
+
+
+def test_more_training_rows_get_more_partitions(spark):
+    cells = spark.range(4000).selectExpr(
+        "cast(id as double) cycle_count", "25e0 + id % 7 avg_temperature_c", "5e-1 avg_dod", "1e0 avg_c_rate", "1e1 + id calendar_age_days", "9e1 soh"
+    )
+    sizes = forest.dealt(cells, partitions=2, rows=500).rdd.glom().map(len).collect()
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 1000
+    assert forest.dealt(cells, partitions=10, rows=500).rdd.getNumPartitions() == 10
+    assert forest.dealt(cells.limit(0), partitions=2).rdd.getNumPartitions() == 2
