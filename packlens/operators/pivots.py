@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from packlens.functions.vectors import best, block_best, unit
+from packlens.functions.vectors import improve, unit
 from packlens.settings import BLOCK_BYTES, BROADCAST_BYTES
 from packlens.sources.sinks import staged
 
@@ -233,6 +233,7 @@ def _runs(stored: pd.DataFrame) -> list[tuple[int, float, float, np.ndarray, np.
 def _look_in(asked: pd.DataFrame, runs: list, centres: np.ndarray, k: int) -> tuple[pd.DataFrame, int]:
     qids, floor = asked["qid"].to_numpy(dtype=np.int64), asked["floor"].to_numpy(dtype=np.float64)
     queries = unit(asked["embedding"])
+    single = queries.astype(np.float32)
     groups = np.array([r[0] for r in runs])
     pointing = groups < len(centres)
     bounds = np.zeros((len(queries), len(runs)))
@@ -252,12 +253,9 @@ def _look_in(asked: pd.DataFrame, runs: list, centres: np.ndarray, k: int) -> tu
         if not len(open_):
             continue
         compared += len(open_) * len(run_ids)
-        open_ = open_[(queries[open_] @ units.T >= reach[open_, None]).any(axis=1)]
-        if not len(open_):
-            continue
-        new_scores, new_ids = block_best(queries[open_], units, run_ids, k)
-        both = np.concatenate([scores[open_], new_scores], axis=1), np.concatenate([ids[open_], new_ids], axis=1)
-        scores[open_], ids[open_] = best(*both, k)
+        better, their = scores[open_], ids[open_]
+        improve(better, their, queries[open_], single[open_], units, run_ids, floor[open_])
+        scores[open_], ids[open_] = better, their
     rows, columns = np.nonzero((scores > -np.inf) & (scores >= floor[:, None]))
     found = {"qid": qids[rows], "chunk_id": ids[rows, columns], "score": scores[rows, columns]}
     return pd.DataFrame(found).assign(compared=0), compared

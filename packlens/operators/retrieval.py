@@ -26,34 +26,50 @@ from packlens.settings import (
 )
 from packlens.sources.sinks import staged
 
+# Vectors, and queries of a task, that meet at once.
+STEP = 4096
+
+
+def _blocks(ids: np.ndarray, vectors) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of at most ``STEP`` vectors as (ids ascending, units)."""
+    for i in range(0, len(ids), STEP):
+        order = np.argsort(ids[i : i + STEP], kind="stable")
+        yield ids[i : i + STEP][order], unit(vectors[i : i + STEP])[order]
+
+
+def _matrix(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and unit vectors of a side small enough to be broadcast, as two arrays."""
+    known = rows.select(key, "embedding").toPandas().sort_values(key, kind="stable", ignore_index=True)
+    ids = known[key].to_numpy(dtype=np.int64)
+    return ids, unit(known["embedding"]) if len(ids) else np.zeros((0, 0))
+
+
 def _scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Local best k of each partition of the vectors, the query matrix being broadcast."""
-    known = queries.select("qid", "embedding").toPandas()
-    if known.empty:
+    qids, matrix = _matrix(queries, "qid")
+    if not len(qids):
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
-    qids = known["qid"].to_numpy(dtype=np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((qids, unit(known["embedding"])))
+    shared = queries.sparkSession.sparkContext.broadcast((qids, matrix))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, matrix = shared.value
-        yield running_best(qids, matrix, batches, k)
+        blocks = (b for batch in batches for b in _blocks(batch["chunk_id"].to_numpy(dtype=np.int64), batch["embedding"].to_numpy()))
+        yield running_best(qids, matrix, blocks, k)
 
     return vectors.select("chunk_id", "embedding").mapInPandas(scan, HIT_SCHEMA)
 
 
 def _scan_queries(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Best k of each query among all vectors, which are broadcast: a query's rows come from one task."""
-    known = vectors.select("chunk_id", "embedding").toPandas().sort_values("chunk_id", kind="stable", ignore_index=True)
-    shared = queries.sparkSession.sparkContext.broadcast(known)
-    step = 4096
+    shared = queries.sparkSession.sparkContext.broadcast(_matrix(vectors, "chunk_id"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        parts = [table.iloc[i : i + step] for i in range(0, len(table), step)]
+        ids, units = shared.value
         for batch in batches:
-            for i in range(0, len(batch), step):
-                asked = batch.iloc[i : i + step]
-                yield running_best(asked["qid"].to_numpy(dtype=np.int64), unit(asked["embedding"]), iter(parts), k)
+            for i in range(0, len(batch), STEP):
+                asked = batch.iloc[i : i + STEP]
+                blocks = ((ids[j : j + STEP], units[j : j + STEP]) for j in range(0, len(ids), STEP))
+                yield running_best(asked["qid"].to_numpy(dtype=np.int64), unit(asked["embedding"]), blocks, k)
 
     return queries.select("qid", "embedding").mapInPandas(scan, HIT_SCHEMA)
 

@@ -189,3 +189,25 @@ def test_no_score_lies_above_its_bound(seed):
     angles = [np.arccos(centre @ o) for o in others]
     bound = pivots.score_bound(np.array(np.arccos(centre @ query)), np.array(min(angles)), np.array(max(angles)))
     assert max(query @ o for o in others) <= bound + 1e-9
+
+
+def test_block_search_holds_arrays_and_is_exact(spark):
+    from packlens.functions import vectors as blocks
+
+    rows = [(5, [1.0, 0.0]), (2, [0.0, 2.0])]
+    ids, units = retrieval._matrix(spark.createDataFrame(rows, VECTORS), "chunk_id")
+    assert ids.tolist() == [2, 5] and units.dtype == np.float64 and units.tolist() == [[0.0, 1.0], [1.0, 0.0]]
+
+    # Neighbours closer than single precision can tell, many copies, and a vector that holds no number.
+    rng = np.random.default_rng(4)
+    base = blocks.unit(rng.normal(size=(60, 16)))
+    stored = blocks.unit(np.concatenate([base, base[:1].repeat(300, 0), base + 1e-8 * rng.normal(size=base.shape), rng.normal(size=(500, 16))]))
+    queries = blocks.unit(np.concatenate([base, rng.normal(size=(40, 16))]))
+    exact = np.round(queries @ stored.T, blocks.SCORE_PLACES)
+    spoilt = np.vstack([stored, np.full((1, 16), np.nan)])
+    parts = [(np.arange(len(spoilt))[i : i + 100], spoilt[i : i + 100]) for i in range(0, len(spoilt), 100)]
+    found = blocks.running_best(np.arange(len(queries)), queries, iter(parts), 4)
+    for q, own in found.groupby("qid"):
+        best = sorted(range(len(stored)), key=lambda i: (-exact[q, i], i))[:4]
+        assert own["chunk_id"].tolist() == best
+    assert len(found) == 4 * len(queries)
