@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from packlens.settings import SNIPPET_CHARS
@@ -70,3 +71,22 @@ def content_words(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """Distinct numbers as written: 1,500 and 1500 differ."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+
+
+# Characters of a batch whose results are held at once.
+HELD_CHARS = 1 << 20
+
+
+def few_at_once(texts: pd.Series, most: int = HELD_CHARS) -> Iterator[pd.Series]:
+    """Stretches of a batch of at most ``most`` characters, or of one longer text; an empty batch is one of them.
+
+    What a function makes of a stretch leaves the task before the next one is begun.
+    """
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text) if isinstance(text, str) else 0
+        if i > start and held + size > most:
+            yield texts.iloc[start:i]
+            start, held = i, 0
+        held += size
+    yield texts.iloc[start:]

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from packlens.functions.text import few_at_once
 from packlens.settings import CHUNK_OVERLAP, CHUNK_SIZE
 
+CHUNKS = "array<struct<start:int,chunk:string>>"
+
 
 def fixed_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks of ``size`` characters, each repeating the last ``overlap`` of the one before.
@@ -45,11 +48,17 @@ def boundary_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_
     if not 0 <= overlap < size // 2:
         raise ValueError("overlap must be below half the size")
 
-    @F.pandas_udf("array<struct<start:int,chunk:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "chunk": t[s:e]} for s, e in boundary_spans(t, size, overlap)] for t in texts])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return cut_batches(batches, lambda t: boundary_spans(t, size, overlap))
+
+    return _one_each(documents.where(F.length(text) > 0).withColumn("_chunks", F.pandas_udf(cut, CHUNKS)(F.col(text))))
+
 
-    return _one_each(documents.where(F.length(text) > 0).withColumn("_chunks", cut(F.col(text))))
+def cut_batches(batches: Iterator[pd.Series], spans: Callable[[str], Iterator[tuple[int, int]]]) -> Iterator[pd.Series]:
+    """The chunks of each text of the batches; those of a few texts are held at once."""
+    for batch in batches:
+        for texts in few_at_once(batch):
+            yield pd.Series([[{"start": s, "chunk": t[s:e]} for s, e in spans(t)] for t in texts], dtype=object)
 
 
 def boundary_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -87,11 +96,10 @@ def recursive_chunks(documents: DataFrame, text: str = "text", size: int = CHUNK
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below size")
 
-    @F.pandas_udf("array<struct<start:int,chunk:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "chunk": t[s:e]} for s, e in recursive_spans(t, size, overlap)] for t in texts])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return cut_batches(batches, lambda t: recursive_spans(t, size, overlap))
 
-    rows = documents.where(F.length(text) > 0).withColumn("_chunks", cut(F.col(text)))
+    rows = documents.where(F.length(text) > 0).withColumn("_chunks", F.pandas_udf(cut, CHUNKS)(F.col(text)))
     return _one_each(rows).where(F.col("chunk").isNotNull())
 
 

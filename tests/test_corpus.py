@@ -200,3 +200,16 @@ def test_recursive_chunks_cover_every_text():
         assert all(a[1] < b[1] for a, b in zip(spans, spans[1:]))
     text = "para one here.\n\npara two is a bit longer than that\nline"
     assert [text[s:e] for s, e in recursive_spans(text, 20, 6)] == ["para one here.", "para two is a bit", "a bit longer than", "than that", "line"]
+
+
+def test_chunks_of_a_batch_leave_the_task_in_parts():
+    import pandas as pd
+
+    from packlens.functions.text import HELD_CHARS, few_at_once
+    from packlens.operators import chunking
+
+    texts = pd.Series(["word " * 40_000] * 20 + ["a"])
+    parts = list(chunking.cut_batches(iter([texts, texts.iloc[:0]]), lambda t: chunking.recursive_spans(t, 1000, 100)))
+    assert len(parts) > 2 and max(sum(len(c["chunk"]) for row in p for c in row) for p in parts) < 2 * HELD_CHARS
+    assert [len(row) for p in parts for row in p] == [len(list(chunking.recursive_spans(t, 1000, 100))) for t in texts]
+    assert [p.tolist() for p in few_at_once(pd.Series(["abc", None, "d", "efghij"]), 4)] == [["abc", None, "d"], ["efghij"]]
