@@ -213,3 +213,14 @@ def test_chunks_of_a_batch_leave_the_task_in_parts():
     assert len(parts) > 2 and max(sum(len(c["chunk"]) for row in p for c in row) for p in parts) < 2 * HELD_CHARS
     assert [len(row) for p in parts for row in p] == [len(list(chunking.recursive_spans(t, 1000, 100))) for t in texts]
     assert [p.tolist() for p in few_at_once(pd.Series(["abc", None, "d", "efghij"]), 4)] == [["abc", None, "d"], ["efghij"]]
+
+
+def test_index_rows_hold_their_chunk_alone(spark, tmp_path, monkeypatch):
+    from packlens.operators import ingest
+    from packlens.plans import corpus as plans
+
+    spark.createDataFrame([(1, "word " * 1000, "en", "web", 5000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, write = [], ingest.write_index
+    monkeypatch.setattr(ingest, "write_index", lambda spark, chunks, *a, **b: seen.append(chunks.columns) or write(spark, chunks, *a, **b))
+    plans.ingest_idempotent(spark, str(tmp_path)).collect()
+    assert len(seen) == 4 and all("chunk" in c and "text" not in c for c in seen)
