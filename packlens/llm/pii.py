@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from packlens.functions.text import few_at_once
 from packlens.llm.boost import Boosted, fit
 
 #: The base kinds, in the order in which spans are listed.
@@ -265,17 +266,22 @@ def redacted(text: str, spans: list[tuple[str, int, int, float, bool]]) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 
 
+def found_in(batches: Iterator[pd.Series], trees: Boosted) -> Iterator[pd.DataFrame]:
+    """Spans and redacted text of each text of the batches; those of a few texts are held at once."""
+    for batch in batches:
+        for texts in few_at_once(batch):
+            spans = [all_spans(t if isinstance(t, str) else None, trees) for t in texts]
+            yield pd.DataFrame({
+                "spans": [[dict(zip(("kind", "start", "end", "score", "base"), s, strict=True)) for s in row] for row in spans],
+                "redacted": [redacted(t, row) if row else None for t, row in zip(texts, spans, strict=True)],
+            })
+
+
 def find(spark: SparkSession, model: Boosted, text: Column) -> Column:
     """Struct (spans, redacted) of a text; ``redacted`` is null where nothing was found."""
     shared = spark.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
-        for batch in batches:
-            spans = [all_spans(t if isinstance(t, str) else None, trees) for t in batch]
-            yield pd.DataFrame({
-                "spans": [[dict(zip(("kind", "start", "end", "score", "base"), s, strict=True)) for s in row] for row in spans],
-                "redacted": [redacted(t, row) if row else None for t, row in zip(batch, spans, strict=True)],
-            })
+        yield from found_in(batches, shared.value)
 
     return F.pandas_udf(found, f"spans {SPANS}, redacted string").asNondeterministic()(text)

@@ -154,3 +154,15 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = boost.fit(x, y)
     assert ((model.probability(x) > 0.5) == y).mean() > 0.95
+
+
+def test_spans_of_a_batch_leave_the_task_in_parts():
+    import pandas as pd
+
+    from packlens.llm import pii as op
+
+    texts = pd.Series(["plain words " * 50_000] * 6 + ["write to a@b.example", None])
+    parts = list(op.found_in(iter([texts]), None))  # nothing here needs the trees
+    assert len(parts) > 2 and sum(map(len, parts)) == len(texts)
+    assert [len(s) for p in parts for s in p["spans"]] == [0] * 6 + [1, 0]
+    assert parts[-1]["redacted"].tolist()[-2:] == ["write to [EMAIL]", None]
