@@ -23,6 +23,8 @@ from packlens.sources.sinks import staged
 
 TOKEN = 60_000_000
 SLICE_MICROS = 600_000_000
+# Requests that a task replays, about.
+TASK_ROWS = 50_000
 
 KEYS = ["scope", "caller"]
 
@@ -162,22 +164,23 @@ def _limited(events: DataFrame, slice_micros: int) -> DataFrame:
     )
 
 
-def _chained(limited: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def _chained(limited: DataFrame, tasks: int, held: DataFrame | None = None) -> DataFrame:
     """Every slice's tokens at its start and end; ``held`` are the callers' buckets before the first slice."""
-    functions = _streamed(limited, [*KEYS, "slice"], ["at_micros", "event_id"], _slice_functions, _FUNCTION_SCHEMA)
+    functions = _streamed(limited, tasks, [*KEYS, "slice"], ["at_micros", "event_id"], _slice_functions, _FUNCTION_SCHEMA)
     none = F.lit(None).cast("array<bigint>")
     if held is None:
-        return _streamed(functions.withColumn("held", none), KEYS, ["slice"], _chain, _CHAINED)
+        return _streamed(functions.withColumn("held", none), tasks, KEYS, ["slice"], _chain, _CHAINED)
     buckets = held.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.array("tokens", "at_micros").alias("held"))
     same = functions["scope"].eqNullSafe(buckets["_scope"]) & functions["caller"].eqNullSafe(buckets["_caller"])
-    return _streamed(functions.join(buckets, same, "left").drop("_scope", "_caller"), KEYS, ["slice"], _chain, _CHAINED)
+    return _streamed(functions.join(buckets, same, "left").drop("_scope", "_caller"), tasks, KEYS, ["slice"], _chain, _CHAINED)
 
 
-def _verdicts(events: DataFrame, limited: DataFrame, chained: DataFrame) -> DataFrame:
+def _verdicts(events: DataFrame, limited: DataFrame, tasks: int, chained: DataFrame) -> DataFrame:
     """The slices replayed side by side from their starts, and the requests that no bucket decides on."""
     starts = chained.select(*KEYS, "slice", "start_tokens")
     decided = _streamed(
         join_null_safe(limited, starts, [*KEYS, "slice"]),
+        tasks,
         [*KEYS, "slice"],
         ["at_micros", "event_id"],
         _replay,
@@ -213,9 +216,17 @@ def retry_after_seconds(retry_micros: str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.col(retry_micros) / 1e6 + 0.999)).cast("int")
 
 
-def _streamed(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
-    """``step`` over the rows of each partition: hashed by ``keys``, sorted by keys and ``order``."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(step, schema)
+def _tasks(limited: DataFrame) -> int:
+    """Tasks among which the requests are dealt; they grow with the requests."""
+    return -(-limited.count() // TASK_ROWS) or 1
+
+
+def _streamed(df: DataFrame, tasks: int, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """``step`` over the rows of each partition: hashed by ``keys``, sorted by keys and ``order``.
+
+    A number of its own keeps the adaptive plan from joining partitions of few bytes but much work.
+    """
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(step, schema)
 
 
 def replay(events: DataFrame, slice_micros: int = SLICE_MICROS) -> DataFrame:
@@ -227,7 +238,8 @@ def replay(events: DataFrame, slice_micros: int = SLICE_MICROS) -> DataFrame:
     its own. A request without a time is refused. The result does not depend on ``slice_micros``.
     """
     limited = _limited(events, slice_micros)
-    return _verdicts(events, limited, _chained(limited))
+    tasks = _tasks(limited)
+    return _verdicts(events, limited, tasks, _chained(limited, tasks))
 
 
 def replay_from(events: DataFrame, held: DataFrame, slice_micros: int = SLICE_MICROS) -> tuple[DataFrame, DataFrame]:
@@ -241,8 +253,9 @@ def replay_from(events: DataFrame, held: DataFrame, slice_micros: int = SLICE_MI
     moved = events.join(clock, same, "left").withColumn("at_micros", F.when(F.col("at_micros").isNotNull(), F.greatest("at_micros", "_at")))
     moved = staged(moved.select(events.columns), "requests")
     limited = _limited(moved, slice_micros)
-    chained = staged(_chained(limited, held), "slices")
+    tasks = _tasks(limited)
+    chained = staged(_chained(limited, tasks, held), "slices")
     last = chained.groupBy(*KEYS).agg(F.max_by(F.struct(F.col("end_tokens").alias("tokens"), F.col("last_at").alias("at_micros")), "slice").alias("x"))
     both = held.withColumn("_new", F.lit(0)).unionByName(last.select(*KEYS, "x.*", F.lit(1).alias("_new")))
     after = both.groupBy(*KEYS).agg(F.max_by(F.struct("tokens", F.col("at_micros").alias("at")), "_new").alias("x"))
-    return _verdicts(moved, limited, chained), after.select(*KEYS, "x.tokens", F.col("x.at").alias("at_micros"))
+    return _verdicts(moved, limited, tasks, chained), after.select(*KEYS, "x.tokens", F.col("x.at").alias("at_micros"))

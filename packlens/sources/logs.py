@@ -161,6 +161,15 @@ def rate_events_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def in_minutes(rows: DataFrame, late_micros: int, path: str) -> DataFrame:
+    """``rows`` with ``part``, the minute in which each arrives, up to ``late_micros`` after its time; one without a time
+    comes with the first minute. Stored at ``path`` in a folder for each minute, so that a minute is read alone."""
+    part = F.floor((F.col("at_micros") + F.pmod(F.xxhash64("event_id"), F.lit(late_micros))) / 60_000_000)
+    rows.withColumn("part", F.coalesce(part, F.lit(0)).cast("bigint")).write.partitionBy("part").parquet(path)
+    schema = f"{', '.join(f'{name} {kind}' for name, kind in rows.dtypes)}, part bigint"
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant rows as the turns of an agent run, one run per conversation."""
     rows = table(spark, folder, "conversations").where("role = 'assistant'")

@@ -109,3 +109,22 @@ def test_requests_beyond_the_lateness_do_not_turn_the_clock_back(spark):
     verdicts, after = ratelimit.replay_from(rows, held)
     assert {r["event_id"]: r["allowed"] for r in verdicts.collect()} == {1: False, 2: True}
     assert {r["caller"]: (r["tokens"], r["at_micros"]) for r in after.collect()} == {"a": (0, 100), "b": (60_000_000, 100), "c": (5 * 60_000_000, 40)}
+
+
+def test_replay_is_dealt_by_requests_and_minutes_by_arrival(spark, tmp_path, monkeypatch):
+    from packlens.operators import ratelimit
+    from packlens.sources import logs
+
+    rows = [(i, "ask", f"c{i % 40}", i * 1_000_000, 6) for i in range(200)] + [(900, "ask", "c0", None, 6)]
+    frame = spark.createDataFrame(rows, "event_id long, scope string, caller string, at_micros long, per_minute int")
+    want = sorted(map(str, ratelimit.replay(frame).collect()))
+    monkeypatch.setattr(ratelimit, "TASK_ROWS", 10)
+    dealt = ratelimit.replay(frame)
+    assert sorted(map(str, dealt.collect())) == want
+    assert dealt.where("tokens_left is not null").select(F.spark_partition_id()).distinct().count() > 8
+
+    arrived = logs.in_minutes(frame, 20_000_000, str(tmp_path / "parts"))
+    assert arrived.drop("part").exceptAll(frame).count() == 0 and arrived.count() == len(rows)
+    parts = {r["event_id"]: r["part"] for r in arrived.collect()}
+    assert parts[900] == 0 and set(parts.values()) == {0, 1, 2, 3}
+    assert all(i // 60 <= parts[i] <= (i + 20) // 60 for i in range(200))
