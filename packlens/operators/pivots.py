@@ -2,9 +2,12 @@
 
 Stored vectors are grouped around sampled centres, each vector at its nearest one. By the triangle
 inequality of angles a vector at angle a from a centre is at least ``|a - b|`` from a query at angle b,
-so a group whose angles all lie too far from b holds none of the query's best. A query first looks into
+so a group whose angles all lie too far from b holds none of the query's best. A vector also lies on its own
+centre's side of the plane midway between that and any other centre, so it is as far from a query on the other
+side as the plane is at least. A query first looks into
 one bin of its nearest group, which gives a score to reach, and then only into those bins that may
-still reach it; inside a bin, the same bound is applied to short runs of vectors ordered by angle.
+still reach it; inside a bin, the same bounds are applied to short runs of vectors ordered by angle. A query
+that finds itself thus looks into one group, about, whatever the number of vectors.
 
 Groups are packed into bins of bounded bytes; a group beyond a bin, such as thousands of copies of one
 vector, is sliced over many. The queries that look into one bin are cut into blocks of bounded bytes.
@@ -32,7 +35,7 @@ SAMPLED = 4
 # A bin holds as many rows at least, so that a first look finds k of them.
 LEAST_ROWS = 32
 RUN = 256
-QUERY_ROWS = 4096
+QUERY_ROWS = 1024
 RAW_SCHEMA = "qid long, chunk_id long, score double, compared long"
 # Angles near zero are exact to about 1e-8; scores are compared at ten places.
 ANGLE_SLACK = 1e-6
@@ -43,7 +46,7 @@ NO_FLOOR = -2.0
 class Pivots(NamedTuple):
     """Centres, then for each group least and largest angle, first bin and number of bins.
 
-    The group after those of the centres holds the zero vectors.
+    The group after those of the centres holds the vectors without a direction.
     """
 
     centres: np.ndarray
@@ -61,10 +64,10 @@ class Index(NamedTuple):
     block_bytes: int
 
 
-def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _cosines(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     if not len(vectors) or not len(centres):
         return np.zeros((len(vectors), len(centres)))
-    return np.arccos(np.clip(vectors @ centres.T, -1.0, 1.0))
+    return np.clip(vectors @ centres.T, -1.0, 1.0)
 
 
 def _far_apart(units: np.ndarray, wanted: int) -> np.ndarray:
@@ -82,6 +85,19 @@ def score_bound(angle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return np.cos(np.maximum(np.maximum(low - angle, angle - high) - ANGLE_SLACK, 0.0))
 
 
+def side_bound(cosines: np.ndarray, centres: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The largest cosine of each query with a vector of each of the groups, from the plane midway between their centres.
+
+    ``cosines`` holds those of the queries with all centres, no two of which are alike.
+    """
+    if not cosines.size or not len(groups):
+        return np.ones((len(cosines), len(groups)))
+    home = cosines.argmax(axis=1)
+    width = np.sqrt(np.maximum(2.0 - 2.0 * (centres @ centres[groups].T), SCORE_SLACK))[home]
+    gap = np.take_along_axis(cosines, home[:, None], 1) - cosines[:, groups]
+    return np.cos(np.maximum(np.arcsin(np.minimum(gap / width, 1.0)) - ANGLE_SLACK, 0.0))
+
+
 def index(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
     """The index of ``vectors`` (chunk_id, embedding); further columns are dropped."""
     spark = vectors.sparkSession
@@ -90,8 +106,8 @@ def index(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
     row_bytes = 8 * max(width or 0, 1)
     wanted = min(MOST_CENTRES, ceil(sqrt(rows)))
     most = max(1, min(SAMPLED * wanted, BROADCAST_BYTES // row_bytes))
-    # The least hashed ids: a sample that any partitioning gives alike. A zero vector has no direction.
-    pointing = source.where(F.exists("embedding", lambda x: x != 0))
+    # The least hashed ids: a sample that any partitioning gives alike. A zero vector, or one that holds no number, has no direction.
+    pointing = source.where(F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: F.abs(x) < float("inf")))
     sample = pointing.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(most).collect()
     centres = _far_apart(unit([r[0] for r in sample]), wanted) if sample else np.zeros((0, width or 0))
     shared = spark.sparkContext.broadcast(centres)
@@ -103,7 +119,7 @@ def index(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
             for start in range(0, len(batch) if len(centres) else 0, QUERY_ROWS):
                 units = unit(batch["embedding"].iloc[start : start + QUERY_ROWS])
                 cosines = units @ centres.T
-                alive = units.any(axis=1)
+                alive = units.any(axis=1) & np.isfinite(units).all(axis=1)
                 part = slice(start, start + len(units))
                 group[part] = np.where(alive, cosines.argmax(axis=1), len(centres))
                 angle[part] = np.where(alive, np.arccos(np.clip(cosines.max(axis=1), -1.0, 1.0)), 0.0)
@@ -141,7 +157,8 @@ def _packed(centres: np.ndarray, facts: list, room: int) -> Pivots:
 def _group_bounds(known: Pivots, queries: np.ndarray) -> np.ndarray:
     """Bound of each query for each group, -inf for empty ones. A zero vector scores 0 with everything."""
     bounds = np.zeros((len(queries), len(known.bins)))
-    bounds[:, :-1] = score_bound(_angles(queries, known.centres), known.low[:-1], known.high[:-1])
+    cosines = _cosines(queries, known.centres)
+    bounds[:, :-1] = np.minimum(score_bound(np.arccos(cosines), known.low[:-1], known.high[:-1]), side_bound(cosines, known.centres, np.arange(len(known.centres))))
     bounds[~queries.any(axis=1)] = 0.0
     bounds[:, known.bins == 0] = -np.inf
     return bounds
@@ -149,10 +166,10 @@ def _group_bounds(known: Pivots, queries: np.ndarray) -> np.ndarray:
 
 def _home(known: Pivots, qids: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """The bin in which each query looks first: one of the nearest group that is not empty."""
-    angles = np.full((len(queries), len(known.bins)), np.pi)
-    angles[:, :-1] = _angles(queries, known.centres)
-    angles[:, known.bins == 0] = np.inf
-    group = angles.argmin(axis=1)
+    near = np.full((len(queries), len(known.bins)), -1.0)
+    near[:, :-1] = _cosines(queries, known.centres)
+    near[:, known.bins == 0] = -np.inf
+    group = near.argmax(axis=1)
     return known.first[group] + qids % known.bins[group]
 
 
@@ -238,8 +255,10 @@ def _look_in(asked: pd.DataFrame, runs: list, centres: np.ndarray, k: int) -> tu
     pointing = groups < len(centres)
     bounds = np.zeros((len(queries), len(runs)))
     names, place = np.unique(groups[pointing], return_inverse=True)
-    angles = _angles(queries, centres[names])[:, place] if len(names) else np.zeros((len(queries), 0))
-    bounds[:, pointing] = score_bound(angles, np.array([r[1] for r in runs])[pointing], np.array([r[2] for r in runs])[pointing])
+    cosines = _cosines(queries, centres)
+    angles = np.arccos(cosines[:, names])[:, place]
+    band = score_bound(angles, np.array([r[1] for r in runs])[pointing], np.array([r[2] for r in runs])[pointing])
+    bounds[:, pointing] = np.minimum(band, side_bound(cosines, centres, names)[:, place])
     bounds[~queries.any(axis=1)] = 0.0
     scores = np.full((len(queries), k), -np.inf)
     ids = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -273,6 +292,8 @@ def search(queries: DataFrame, found: Index, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     reached = hits(first).withColumn("at", F.row_number().over(order)).where(F.col("at") == k).select("qid", F.col("score").alias("floor"))
     known = plain.join(reached, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
+    # As in ``_look``: few bytes, but each query meets all centres.
+    known = known.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return first.unionByName(_look(_routes(known, found, "further-bins", True), found, k))
 
 

@@ -21,6 +21,7 @@ from packlens.settings import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
     MIN_RELEVANCE,
+    SELF_BROADCAST_BYTES,
     SELF_RETRIEVAL_FLOOR,
     TOP_K,
 )
@@ -134,7 +135,8 @@ def self_retrieval(chunks: DataFrame, queries: DataFrame, stored: DataFrame, flo
     with qid = chunk_id, ``stored`` the vectors in the index. Identity is by text: an exact
     copy that wins is not a problem.
     """
-    best = nearest(queries, stored, k=1).select(
+    # Most vectors find themselves, which the index answers without comparing all with all.
+    best = nearest(queries, stored, k=1, broadcast_bytes=SELF_BROADCAST_BYTES).select(
         F.col("qid").alias("chunk_id"), F.col("chunk_id").alias("best_id"), "score"
     )
     digest = F.sha2("text", 256)

@@ -62,3 +62,5 @@ END_OF_LIFE_SOH = 80.0
 # Byte bounds behind which a side may be broadcast or held by one task.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 32 * 1024 * 1024
+# Vectors that look for themselves go through the index beyond this.
+SELF_BROADCAST_BYTES = 2 * 1024 * 1024

@@ -211,3 +211,26 @@ def test_block_search_holds_arrays_and_is_exact(spark):
         best = sorted(range(len(stored)), key=lambda i: (-exact[q, i], i))[:4]
         assert own["chunk_id"].tolist() == best
     assert len(found) == 4 * len(queries)
+
+
+def test_vectors_that_find_themselves_look_into_few_groups(spark):
+    """Vectors in all directions, where bands of angles alone leave out next to nothing; one holds no number."""
+    rng = np.random.default_rng(7)
+    rows = [[float(x) for x in r] for r in rng.normal(size=(1500, 16))]
+    v = spark.createDataFrame(list(enumerate(rows)), VECTORS)
+    q = v.withColumnRenamed("chunk_id", "qid")
+    for more in (0, 1):
+        spoilt = v.union(spark.createDataFrame([(9000, [float("nan")] * 16)], VECTORS)) if more else v
+        found, compared = by_index(q, spoilt, 1, 8 * 16 * 200)
+        assert found == {(i, i, 1, 1.0) for i in range(1500)}
+        assert compared < 0.1 * 1500 * 1500
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_no_score_lies_above_the_bound_of_its_side(seed):
+    rng = np.random.default_rng(seed)
+    centres, queries, others = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(n, 3)) for n in (6, 20, 200)))
+    bound = pivots.side_bound(queries @ centres.T, centres, np.arange(6))
+    group = (others @ centres.T).argmax(axis=1)
+    assert (queries @ others.T <= bound[:, group] + 1e-9).all()
