@@ -292,8 +292,6 @@ def search(queries: DataFrame, found: Index, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     reached = hits(first).withColumn("at", F.row_number().over(order)).where(F.col("at") == k).select("qid", F.col("score").alias("floor"))
     known = plain.join(reached, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
-    # As in ``_look``: few bytes, but each query meets all centres.
-    known = known.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return first.unionByName(_look(_routes(known, found, "further-bins", True), found, k))
 
 
