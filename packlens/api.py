@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packlens.operators import answers, drift, evalgate, forest, retrieval, screening
@@ -64,7 +63,7 @@ def ask_docs(
 
 
 def predict_soh(
-    requests: DataFrame, model: PipelineModel, version: str | None = None, log: str | None = None,
+    requests: DataFrame, model: forest.Forest, version: str | None = None, log: str | None = None,
     key: str | None = None, batch: str | None = None,
 ) -> DataFrame:
     """Predicted state of health per request; with ``log`` the rows are stored there as well.

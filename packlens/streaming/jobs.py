@@ -10,14 +10,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from packlens.operators import drift, forest, ratelimit, screening
-from packlens.sources.sinks import prediction_log, staged
+from packlens.sources.sinks import commit_batch, prediction_log, staged
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -47,9 +46,17 @@ def screen(questions: DataFrame, text: str = "question") -> DataFrame:
     return screening.screen_questions(questions, text)
 
 
-def score(requests: DataFrame, model: PipelineModel, version: str, *keep: str) -> DataFrame:
-    """Scored requests in the shape of the prediction log, next to the columns to keep; the first one names a request."""
-    return prediction_log(forest.score(model, requests, *keep), version, *keep, key=keep[0] if keep else None, batch="stream")
+def score(requests: DataFrame, model: forest.Forest, version: str, path: str, checkpoint: str, *keep: str) -> StreamingQuery:
+    """Store scored requests in the shape of the prediction log, next to the columns to keep; the first one names a request.
+
+    A batch is scored as a table and stored in a folder of its own, which it replaces if it runs again.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        scored = forest.score(model, batch, *keep)
+        commit_batch(prediction_log(scored, version, *keep, key=keep[0] if keep else None, batch="stream"), path, str(number))
+
+    return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def access_rollup(log: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
